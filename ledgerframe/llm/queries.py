@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import functions as F
-
-from . import bpe, chat, exactdedup, packing, tokenfile
+from . import bpe, chat, exactdedup, langid, packing, quality, tokenfile
 from .common import crc_mod, table
 
 
@@ -27,6 +25,17 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model, ["doc_id", "held_out"])
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    return langid.predict_language(docs, langid.fit_language(docs), ["doc_id", "held_out"])
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
 
@@ -51,8 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_chat_format": op7_chat_format,
+        "op8_language": op8_language,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
