@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .words import Memo, normalise, piece_pattern
+from .words import Memo, normalise, pieces, split
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -176,7 +176,7 @@ class Transducer:
             if i is not None:
                 out.append(i)
             else:
-                for piece in piece_pattern().findall(normalise(part)):
+                for piece in pieces(part):
                     out += self.encode_piece(piece)
         return out
 
@@ -256,7 +256,7 @@ def _digests(path: str):
         ids = t.encode_piece(piece)
         return " ".join(map(str, ids)), t.decode(ids), len(ids)
 
-    memo, split = Memo(entry, 120_000), piece_pattern().findall
+    memo = Memo(entry, 120_000)
 
     def of(text: str) -> tuple[int, str, str]:
         found: list[tuple[str, str, int]] = []

@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, directory: s
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_tokens], pa.int64())], ["shard", "path", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     manifest = f"{directory}/manifest"
     ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, MANIFEST).write.parquet(manifest)

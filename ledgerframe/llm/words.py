@@ -18,6 +18,7 @@ from collections.abc import Callable
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
+@functools.cache
 def _ranges(prop: str) -> str:
     """A character class body: what the library's own expressions hold to have the property."""
     from tokenizers import Regex, pre_tokenizers
@@ -27,10 +28,32 @@ def _ranges(prop: str) -> str:
     return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run, _ in runs)
 
 
+def _pattern(letter: str, number: str, white: str) -> re.Pattern[str]:
+    # the alternatives start with different characters, so their order is free but for the last two
+    return re.compile(f"[{letter}]+|[{number}]|'(?:[stmd]|re|ve|ll)|[^{white}{letter}{number}]+")
+
+
 @functools.cache
 def piece_pattern() -> re.Pattern[str]:
-    letter, number, white = _ranges("L"), _ranges("N"), re.escape(WHITE)
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
+    return _pattern(_ranges("L"), _ranges("N"), re.escape(WHITE))
+
+
+@functools.cache
+def latin_pattern() -> re.Pattern[str]:
+    """The same for texts within Latin-1, whose classes fit a bit map."""
+    letter, number = (f"[{_ranges(p)}]" for p in "LN")
+    latin = [chr(i) for i in range(256)]
+    of = lambda c: re.escape("".join(x for x in latin if re.match(c, x)))
+    return _pattern(of(letter), of(number), re.escape("".join(x for x in WHITE if x < "\u0100")))
+
+
+def split(low: str) -> list[str]:
+    """Pieces of a normalised text."""
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        return piece_pattern().findall(low)
+    return latin_pattern().findall(low)
 
 
 def normalise(text: str) -> str:
@@ -42,7 +65,7 @@ def normalise(text: str) -> str:
 
 def pieces(text: str) -> list[str]:
     """Pieces of a text that holds no special string."""
-    return piece_pattern().findall(normalise(text))
+    return split(normalise(text))
 
 
 class Memo(dict):
@@ -89,7 +112,6 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._array = array.array
         self.memo = Memo(self._whole, memo)
-        self.split = piece_pattern().findall
 
     def _whole(self, text: str) -> bytes:
         ids = self._array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -103,7 +125,7 @@ class LibraryEncoder:
         low = normalise(text)
         if any(s in text for s in self.specials) or not unicodedata.is_normalized("NFC", low):
             return self._whole(text)
-        return b"".join(map(self.memo.__getitem__, self.split(low)))
+        return b"".join(map(self.memo.__getitem__, split(low)))
 
 
 @functools.cache
