@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, langid, packing, quality, tokenfile
+from . import bpe, chat, exactdedup, langid, neardup, packing, quality, tokenfile
 from .common import crc_mod, table
 
 
@@ -50,6 +50,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(forged), path), path)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One half of the table (by crc32 of doc_id) is the snapshot, the other arrives as a batch."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_chat_format": op7_chat_format,
         "op8_language": op8_language,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
