@@ -22,7 +22,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
@@ -237,6 +237,13 @@ class Snapshot:
         return cut(left.cogroup(right).applyInArrow(run, "digest binary, text binary, keep long, size long, local long, maybe boolean"), "dedup-batch")
 
 
+def text_key(column: str) -> Column:
+    """``text_sha256`` of ``dedup`` as an expression."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.translate(F.coalesce(F.col(column).cast("string"), F.lit("")), upper, upper.lower())
+    return F.sha2(text.cast("binary"), 256)
+
+
 def dedup(earlier: DataFrame, incoming: DataFrame, bucket_mb: int = 24) -> DataFrame:
     """Every row of both with its group: doc_id, keep_id, group_size, kept, text_sha256.
 

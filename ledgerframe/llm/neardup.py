@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 from .words import Memo
@@ -270,10 +270,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def text_key(column: str) -> Column:
+    """What equal texts share: half of the SHA-256 of the text, in hex; null counts as empty."""
+    return F.substring(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256), 1, 32)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, n_links, kept for every row.
+    """doc_id, class_id (the smallest doc_id of the class), class_size, n_links, kept, text_key for every row.
 
-    ``n_links`` counts the different texts that the row's own text is linked to.
+    ``text_key`` is ``text_key(text)``.  ``n_links`` counts the different texts that the row's own text is linked to.
     Equal texts are always one class; null and empty texts are equal texts, without
     links.  ``kept`` is true for one row of a class: that with the class_id (of rows
     that repeat it, for one).  A null doc_id is larger than any other, so it is a
@@ -282,7 +287,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"), "text")
+    rows = rows.select("doc_id", F.unhex(text_key("text")).alias("key"), "text")
     n_docs = rows.count()
     df = spark.sparkContext.broadcast(document_frequencies(rows))  # a table of fixed size
     signed = cut(signatures(rows, df, n_docs), "signatures")
@@ -303,7 +308,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     out = signed.select("doc_id", "key").join(named, "key")
     # of rows that repeat (doc_id, text) one is kept: those few are numbered, the others are not touched
     mine = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    out = out.select("doc_id", "class_id", "class_size", "n_links", mine.alias("mine"), F.monotonically_increasing_id().alias("at"))
+    out = out.select("doc_id", "class_id", "class_size", "n_links", F.lower(F.hex("key")).alias("text_key"), mine.alias("mine"), F.monotonically_increasing_id().alias("at"))
     out = cut(out, "near")
     first = out.where("mine").groupBy("class_id").agg(F.min("at").alias("first"))
-    return out.join(first.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")), "left").select("doc_id", "class_id", "class_size", "n_links", (F.col("mine") & (F.col("at") == F.col("first"))).alias("kept"))
+    return out.join(first.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")), "left").select("doc_id", "class_id", "class_size", "n_links", (F.col("mine") & (F.col("at") == F.col("first"))).alias("kept"), "text_key")

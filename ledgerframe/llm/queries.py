@@ -60,8 +60,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(docs.where(crc_mod("doc_id", 2) == 0), docs.where(crc_mod("doc_id", 2) == 1))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_token_files": op1_token_files,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_quality": op4_quality,
