@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, langid, neardup, packing, quality, tokenfile
+from . import ann, bpe, chat, exactdedup, langid, neardup, packing, quality, tokenfile
 from .common import crc_mod, table
 
 
@@ -40,6 +40,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.knn(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_nearest": op6_nearest,
         "op7_chat_format": op7_chat_format,
         "op8_language": op8_language,
         "op9_near_duplicates": op9_near_duplicates,
