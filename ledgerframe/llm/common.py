@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,11 +40,15 @@ def work_path(spark: SparkSession, tag: str) -> str:
 def cut(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    Cuts lineage so that a lost executor costs a re-read, not a re-run.
+    Cuts lineage so that a lost executor costs a re-read, not a re-run.  The shuffles
+    behind the table are not needed any more: Spark's cleaner drops their files once
+    the driver's garbage is collected, so that is done now.
     """
     spark = df.sparkSession
     path = work_path(spark, tag)
     df.write.option("compression", compression).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exactdedup, langid, neardup, packing, quality, tokenfile
+from . import ann, bpe, chat, exactdedup, katz, langid, neardup, packing, quality, tokenfile
 from .common import crc_mod, table
 
 
@@ -21,6 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
         "op1_token_files": op1_token_files,
+        "op2_katz": op2_katz,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
