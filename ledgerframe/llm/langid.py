@@ -62,8 +62,9 @@ class ByteNetwork:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 11) -> ByteNetwork:
-        """Adam on cross entropy; ``y`` holds indices of languages."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, steps: int = 300, batch: int = 128, rate: float = 0.01, seed: int = 11) -> ByteNetwork:
+        """Adam on cross entropy, for ``epochs`` and at least ``steps`` steps; ``y`` holds indices of languages."""
+        epochs = max(epochs, -(-steps // -(-len(x) // batch)))
         rng = np.random.default_rng(seed)
         params = [*self.tables, *self.bias, self.out, self.out_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]

@@ -88,7 +88,9 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: in
             if not bins[giver]:
                 live.discard(giver)
                 break
-        if not gained:
+        if gained:
+            given_up.clear()  # the bins have changed: others may help now
+        else:
             given_up.add(giver)
     return [b for b in bins if b]
 

@@ -129,12 +129,15 @@ class Shard:
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Sequence ``i``, by arithmetic: no other batch is read, its ids are not copied."""
-        if not self.rows:
+        if not self.rows or i < 0:
             raise IndexError(i)
         self.source.seek(self.begin + i // self.rows * self.batch_bytes)
-        batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        try:
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        except EOFError:
+            raise IndexError(i) from None
         k = i % self.rows
-        if i < 0 or k >= batch.num_rows:
+        if k >= batch.num_rows:
             raise IndexError(i)
         ids = batch.column(0).values.slice(k * self.length, self.length).to_numpy(zero_copy_only=True)
         return ids, batch.column(1).values.slice(k * self.length, self.length).to_numpy(zero_copy_only=False)
