@@ -15,7 +15,7 @@ def yaml_files(spark: SparkSession, directory: str, schema: T.StructType | str)
 
 def decode_yaml(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``json``, the document in a YAML column as JSON text; broken YAML stops the job."""
-    schema = rows.drop(column).schema.add("json", "string")
+    schema = T.StructType([*rows.drop(column).schema.fields, T.StructField("json", T.StringType())])
 
     def run(frames):
         import yaml
@@ -29,7 +29,7 @@ def decode_yaml(rows: DataFrame, column: str) -> DataFrame:
 
 def encode_yaml(rows: DataFrame, json_column: str) -> DataFrame:
     """``rows`` with ``yaml``: the JSON text as YAML, keys in order."""
-    schema = rows.schema.add("yaml", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("yaml", T.StringType())])
 
     def run(frames):
         import yaml
