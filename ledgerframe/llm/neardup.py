@@ -9,8 +9,9 @@
 * Improved consistent weighted sampling (Ioffe 2010) gives ``BANDS * ROWS`` samples a
   document; two documents agree on one with the probability of their weighted
   Jaccard similarity.  Documents that agree on all samples of a band meet in a bucket.
+* Texts most of whose shingles occur nowhere else are left out beforehand.
 * Buckets are screened with the samples themselves, and what passes is verified on
-  the two whole texts: linked where the weighted Jaccard similarity, or the plain one
+  the two whole texts, in rounds that leave out what is connected already: linked where the weighted Jaccard similarity, or the plain one
   of the two shingle sets, is at least the threshold.
 * Equal texts are one node from the start, however many there are.  Classes are the
   connected components of the links.
@@ -33,6 +34,7 @@ SAMPLES = BANDS * ROWS
 COUNTERS = 1 << 22
 CHUNK = 1 << 16
 DAMPING = 0.25
+ANCHOR, ANCHORS_LEAST = 16, 24
 _U = np.uint64
 
 
@@ -64,21 +66,37 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(h), return_counts=True)
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Hashed counters over all documents: one per low bits of a shingle's hash.
+def first_pass(docs: DataFrame) -> DataFrame:
+    """Kind 0: a task's document frequencies, hashed counters by chunk; kind 1: a document's anchors.
 
-    Each task counts its own documents; the fixed-size tables are added up by chunk
-    on the executors, and only their sum (16 MB, whatever the corpus) is collected.
+    ``docs``: doc_id, key, text.  Anchors are the shingles whose hash is divisible by
+    ``ANCHOR``, whole documents long.
     """
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
+        names = ["kind", "doc_id", "key", "n", "anchors", "chunk", "data"]
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts[np.unique(shingles(text)[0] & _U(COUNTERS - 1)).astype(np.int64)] += 1
+            anchors, sizes = [], []
+            for text in batch.column(2).to_pylist():
+                h = shingles(text)[0]
+                counts[np.unique(h & _U(COUNTERS - 1)).astype(np.int64)] += 1
+                own = h[(h >> _U(40)) % _U(ANCHOR) == 0]
+                anchors.append(own.astype(np.int64))
+                sizes.append(len(own))
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         used = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         data = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].astype("<u4").tobytes(), 1) for k in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
+        m = len(used)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
+
+    return cut(docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key binary, n int, anchors array<long>, chunk int, data binary"), "near-first")
+
+
+def document_frequencies(first: DataFrame) -> np.ndarray:
+    """The counters over all documents: added up by chunk on the executors; only their sum
+    (16 MB, whatever the corpus) is collected."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -89,14 +107,32 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         data = [zlib.compress(np.minimum(x, 2**32 - 1).astype("<u4").tobytes(), 1) for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
 
-    schema = "chunk int, data binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    parts = first.where("kind = 0").select("chunk", "data").repartition("chunk").mapInArrow(add, "chunk int, data binary").toArrow()
     out = np.zeros(COUNTERS, np.uint32)
     for k, data in zip(parts.column("chunk").to_pylist(), parts.column("data").to_pylist()):
         out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(zlib.decompress(data), "<u4")
     return out
 
 
+def may_have_partners(classes: DataFrame) -> DataFrame:
+    """The classes (key, least, n, anchors) that can have a near duplicate among the others.
+
+    Of two texts with similarity 0.8, each shares at least 0.8 of its shingles with the
+    other, so about as many of its anchors occur elsewhere.  A text with ``ANCHORS_LEAST``
+    anchors or more, half of which occur nowhere else, is out (with 0.8 shared the chance
+    of that is under 1 in 2000); one with fewer anchors always stays.
+    """
+    enough = F.size("anchors") >= ANCHORS_LEAST
+    spread = classes.where(enough).select("key", F.explode("anchors").alias("anchor"))
+    common = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
+    # short texts count as places of an anchor too
+    common = common.unionByName(classes.where(~enough).select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("df")))
+    common = common.groupBy("anchor").agg(F.sum("df").alias("df")).where("df > 1").select("anchor")
+    shared = spread.join(common, "anchor").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+    rest = classes.where(enough).select("key", "least", F.size("anchors").alias("n_anchors")).join(shared, "key").where(F.col("shared") * 2 >= F.col("n_anchors"))
+    return classes.where(~enough ).select("key", "least").unionByName(rest.select("key", "least"))
+
+
 def weights(hashes: np.ndarray, counts: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
     """Term frequency times damped inverse document frequency."""
     seen = df[(hashes & _U(COUNTERS - 1)).astype(np.int64)]
@@ -140,14 +176,14 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, df, n_docs: int) -> DataFrame:
-    """Per row of ``docs`` (doc_id, key, text): doc_id, key, low bytes of the samples, band keys.  Narrow."""
+def signatures(texts: DataFrame, df, n_docs: int) -> DataFrame:
+    """Per text (key, text): key, low bytes of the samples, band keys.  Narrow."""
 
     def run(batches):
         sampler = Sampler()
         for batch in batches:
             sigs, bands = [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(1).to_pylist():
                 h, c = shingles(text)
                 if not len(h):
                     sigs.append(b"")
@@ -159,64 +195,73 @@ def signatures(docs: DataFrame, df, n_docs: int) -> DataFrame:
                 for j in range(ROWS):
                     band = _mix(band * _U(0x9E3779B97F4A7C15) + s.reshape(BANDS, ROWS)[:, j])
                 bands.append(band.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "sig", "bands"])
-
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>")
-
-
-def bucket_pairs(sig: np.ndarray, threshold: float):
-    """Pairs (i, j) within a bucket whose samples do not rule the threshold out.
-
-    Members that surely belong to a leader are tied to it and to what is near the
-    border, not to each other, so a large group of near copies gives few pairs; what
-    is far from the leader goes on to the next leader.
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "sig", "bands"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, sig binary, bands array<long>")
+
+
+def bucket_pairs(sig: np.ndarray, root: np.ndarray, threshold: float, most: int, block: int = 256):
+    """Pairs (i, j) of a bucket's members in different components whose samples do not rule the
+    threshold out: for each member its ``most`` likest before it.  Returns the pairs and
+    whether a member had more."""
+    low = int((threshold - 2.5 * np.sqrt(threshold * (1 - threshold) / SAMPLES)) * SAMPLES)
+    left, right, more = [], [], False
+    for at in range(0, len(sig), block):
+        part = sig[at : at + block]
+        same = np.zeros((len(part), min(len(sig), at + block)), np.int16)
+        for k in range(SAMPLES):
+            same += part[:, k, None] == sig[None, : same.shape[1], k]
+        same[np.arange(same.shape[1])[None, :] >= at + np.arange(len(part))[:, None]] = -1
+        same[root[at : at + block, None] == root[None, : same.shape[1]]] = -1
+        n = (same >= low).sum(1)
+        more |= bool((n > most).any())
+        for i in np.flatnonzero(n):
+            near = np.argsort(-same[i], kind="stable")[: min(most, int(n[i]))]
+            left += [at + int(i)] * len(near)
+            right += near.tolist()
+    return left, right, more
+
+
+def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of keys; a row of nulls where some member had more than ``most``.
+
+    ``members``: bucket, key, sig.  ``roots`` (node, root): components so far; buckets
+    that lie within one are left out.
     """
-    margin = 2.5 * np.sqrt(threshold * (1 - threshold) / SAMPLES)
-    low, high = int((threshold - margin) * SAMPLES), int((threshold + margin) * SAMPLES)
-    left = np.arange(len(sig))
-    while len(left) > 1:
-        leader, rest = left[0], left[1:]
-        same = (sig[rest] == sig[leader]).sum(1)
-        near = rest[same >= low]
-        for j in near:
-            yield leader, j
-        sure = rest[same >= high]
-        if len(sure):
-            # Jaccard distance is a metric: only what is this near the leader can be near its members
-            border = rest[(same < high) & (same >= 2 * low - SAMPLES)]
-            for b in border:
-                for x in sure[(sig[sure] == sig[b]).sum(1) >= low]:
-                    yield x, b
-        left = rest[same < high]
-
-
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of keys that share a bucket and pass the screen."""
-    spread = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    rows = spread.join(shared, "bucket").join(classes.select("key", "sig"), "key")
-    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "sig")
+    if roots is None:
+        rows = members.withColumn("root", F.col("key"))
+    else:
+        rows = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        rows = rows.join(open_, "bucket")
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "sig", "root")
 
     def run(batches):
-        held, keys, sigs, out = None, [], [], []
+        held, keys, sigs, roots_, out = None, [], [], [], set()
 
         def close():
             sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(keys), SAMPLES)
-            out.extend((min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in bucket_pairs(sig, threshold))
+            number: dict[bytes, int] = {}
+            root = np.array([number.setdefault(r, len(number)) for r in roots_])
+            left, right, more = bucket_pairs(sig, root, threshold, most)
+            out.update((keys[j], keys[i]) for i, j in zip(left, right))
+            if more:
+                out.add((None, None))
 
         def sent():
-            rows = list(set(out))
+            rows = list(out)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for bucket, key, sig in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, key, sig, root in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != held:
                     if len(keys) > 1:
                         close()
-                    held, keys, sigs = bucket, [], []
+                    held, keys, sigs, roots_ = bucket, [], [], []
                 keys.append(key)
                 sigs.append(sig)
+                roots_.append(root)
             if len(out) > 20_000:
                 yield sent()
         if len(keys) > 1:
@@ -226,6 +271,36 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def linked(signed: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame | None:
+    """(node, root): components of the verified links; None where there is no link.
+
+    In each round a member brings its likest few of other components in its buckets, so
+    a group of near copies gives a number of pairs in proportion to its size, not to
+    its square.  What is verified joins components; rounds, each with twice as many
+    pairs a member, go on until every pair that the samples allow between two
+    components has been looked at.
+    """
+    spread = signed.select("key", "sig", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = cut(spread.join(shared, "bucket").select("bucket", "key", "sig"), "near-members")
+    roots, links, tested, most = None, None, None, 3
+    while True:
+        pairs = cut(candidates(members, roots, threshold, most), "near-pairs")
+        more = not pairs.where("a is null").isEmpty()
+        fresh = pairs.where("a is not null")
+        if tested is not None:
+            fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
+        if not fresh.isEmpty():
+            found = cut(verified(fresh, texts, df, n_docs, threshold), "near-links")
+            links = found if links is None else links.unionByName(found)
+            tested = fresh if tested is None else tested.unionByName(fresh)
+            if not found.isEmpty():
+                roots = components(links)
+        elif not more:
+            return roots
+        most *= 2
+
+
 def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame:
     """The pairs whose whole texts are similar enough."""
 
@@ -276,39 +351,39 @@ def text_key(column: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, n_links, kept, text_key for every row.
-
-    ``text_key`` is ``text_key(text)``.  ``n_links`` counts the different texts that the row's own text is linked to.
-    Equal texts are always one class; null and empty texts are equal texts, without
-    links.  ``kept`` is true for one row of a class: that with the class_id (of rows
-    that repeat it, for one).  A null doc_id is larger than any other, so it is a
-    class_id only where a class has no other.  An empty table gives an empty result;
-    other columns are ignored.
+    """doc_id, class_id (the smallest doc_id of the class), class_size, kept, text_key for every row.
+
+    ``text_key`` is ``text_key(text)``.  Equal texts are always one class; null and
+    empty texts are equal texts, and like no other.  ``kept`` is true for one row of a
+    class: that with the class_id (of rows that repeat it, for one).  A null doc_id is
+    larger than any other, so it is a class_id only where a class has no other.  An
+    empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.unhex(text_key("text")).alias("key"), "text")
-    n_docs = rows.count()
-    df = spark.sparkContext.broadcast(document_frequencies(rows))  # a table of fixed size
-    signed = cut(signatures(rows, df, n_docs), "signatures")
-    classes = cut(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    pairs = cut(candidates(classes, threshold), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = classes.select("key", "least").join(wanted, "key")
+    first = first_pass(rows)
+    ids = first.where("kind = 1").select("doc_id", "key")
+    n_docs = ids.count()
+    df = spark.sparkContext.broadcast(document_frequencies(first))  # a table of fixed size
+    classes = cut(first.where("kind = 1").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")), "near-classes")
+    wanted = may_have_partners(classes).select(F.col("key").alias("k"), "least")
     # by text and doc_id, so that the rows of one text spread over the tasks
-    wanted = wanted.select(F.col("key").alias("k"), "least")
-    texts = cut(rows.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"]), "texts")
-    links = cut(verified(pairs, texts, df, n_docs, threshold), "links")
-    roots = components(links)
-    degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = classes.select("key", "least", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    linked = cut(linked.select("key", "least", "n", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "linked")
-    whole = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    named = linked.join(whole, "root").select("key", "class_id", "class_size", "n_links", "least")
-    out = signed.select("doc_id", "key").join(named, "key")
+    texts = cut(rows.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"]), "near-texts")
+    signed = cut(signatures(texts, df, n_docs).where("size(bands) > 0"), "near-signatures")
+    roots = linked(signed, texts, df, n_docs, threshold)
+    named = classes.select("key", "least", "n")
+    if roots is None:
+        named = named.withColumn("root", F.col("key"))
+    else:
+        named = named.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = cut(named, "near-named")
+    whole = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    named = named.join(whole, "root").select("key", "class_id", "class_size", "least")
+    out = ids.join(named, "key")
     # of rows that repeat (doc_id, text) one is kept: those few are numbered, the others are not touched
     mine = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    out = out.select("doc_id", "class_id", "class_size", "n_links", F.lower(F.hex("key")).alias("text_key"), mine.alias("mine"), F.monotonically_increasing_id().alias("at"))
+    out = out.select("doc_id", "class_id", "class_size", F.lower(F.hex("key")).alias("text_key"), mine.alias("mine"), F.monotonically_increasing_id().alias("at"))
     out = cut(out, "near")
-    first = out.where("mine").groupBy("class_id").agg(F.min("at").alias("first"))
-    return out.join(first.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")), "left").select("doc_id", "class_id", "class_size", "n_links", (F.col("mine") & (F.col("at") == F.col("first"))).alias("kept"), "text_key")
+    one = out.where("mine").groupBy("class_id").agg(F.min("at").alias("one"))
+    return out.join(one.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")), "left").select("doc_id", "class_id", "class_size", (F.col("mine") & (F.col("at") == F.col("one"))).alias("kept"), "text_key")
