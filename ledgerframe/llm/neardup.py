@@ -11,8 +11,9 @@
   Jaccard similarity.  Documents that agree on all samples of a band meet in a bucket.
 * Texts most of whose shingles occur nowhere else are left out beforehand.
 * Buckets are screened with the samples themselves, and what passes is verified on
-  the two whole texts, in rounds that leave out what is connected already: linked where the weighted Jaccard similarity, or the plain one
-  of the two shingle sets, is at least the threshold.
+  the two whole texts, in rounds that leave out what is connected already: linked
+  where the weighted Jaccard similarity, or the plain one of the two shingle sets, is
+  at least the threshold.
 * Equal texts are one node from the start, however many there are.  Classes are the
   connected components of the links.
 """
@@ -35,6 +36,9 @@ COUNTERS = 1 << 22
 CHUNK = 1 << 16
 DAMPING = 0.25
 ANCHOR, ANCHORS_LEAST = 16, 24
+FIRST_PLACES = 2
+#: What a bucket's member carries: the samples' low bytes, half of each band key, weight and number of its shingles.
+SIG = np.dtype([("low", np.uint8, SAMPLES), ("band", "<u4", BANDS), ("weight", "<f4"), ("n", "<u4")])
 _U = np.uint64
 
 
@@ -130,7 +134,7 @@ def may_have_partners(classes: DataFrame) -> DataFrame:
     common = common.groupBy("anchor").agg(F.sum("df").alias("df")).where("df > 1").select("anchor")
     shared = spread.join(common, "anchor").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
     rest = classes.where(enough).select("key", "least", F.size("anchors").alias("n_anchors")).join(shared, "key").where(F.col("shared") * 2 >= F.col("n_anchors"))
-    return classes.where(~enough ).select("key", "least").unionByName(rest.select("key", "least"))
+    return classes.where(~enough).select("key", "least").unionByName(rest.select("key", "least"))
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -177,7 +181,7 @@ class Sampler:
 
 
 def signatures(texts: DataFrame, df, n_docs: int) -> DataFrame:
-    """Per text (key, text): key, low bytes of the samples, band keys.  Narrow."""
+    """Per text (key, text): key, ``sig`` (see ``SIG``), band keys.  Narrow."""
 
     def run(batches):
         sampler = Sampler()
@@ -189,41 +193,58 @@ def signatures(texts: DataFrame, df, n_docs: int) -> DataFrame:
                     sigs.append(b"")
                     bands.append([])
                     continue
-                s = sampler.samples(h, weights(h, c, df.value, n_docs))
-                sigs.append((s & _U(0xFF)).astype(np.uint8).tobytes())
+                w = weights(h, c, df.value, n_docs)
+                s = sampler.samples(h, w)
                 band = np.arange(1, BANDS + 1, dtype=_U)
                 for j in range(ROWS):
                     band = _mix(band * _U(0x9E3779B97F4A7C15) + s.reshape(BANDS, ROWS)[:, j])
                 bands.append(band.astype(np.int64))
+                made = np.zeros((), SIG)
+                made["low"], made["band"], made["weight"], made["n"] = s & _U(0xFF), band & _U(0xFFFFFFFF), w.sum(), len(h)
+                sigs.append(made.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "sig", "bands"])
 
     return texts.select("key", "text").mapInArrow(run, "key binary, sig binary, bands array<long>")
 
 
-def bucket_pairs(sig: np.ndarray, root: np.ndarray, threshold: float, most: int, block: int = 256):
+def bucket_pairs(sig: np.ndarray, bucket: int, root: np.ndarray, threshold: float, since: int, until: int, block: int = 256):
     """Pairs (i, j) of a bucket's members in different components whose samples do not rule the
-    threshold out: for each member its ``most`` likest before it.  Returns the pairs and
-    whether a member had more."""
+    threshold out: for each member, of all such before it by likeness, those placed ``since``
+    to ``until``.  Places do not depend on components, so rounds never repeat a pair;
+    a pair that shares an earlier band too is left to that band's bucket, where it has
+    its place.  Texts that differ too much in size for the threshold are no pair.
+    Returns the pairs and whether later places hold more."""
     low = int((threshold - 2.5 * np.sqrt(threshold * (1 - threshold) / SAMPLES)) * SAMPLES)
+    band = int((sig["band"] == np.uint32(bucket & 0xFFFFFFFF)).all(0).argmax())
+    bands, samples, sizes = sig["band"], sig["low"], (sig["weight"], sig["n"].astype(np.float32))
     left, right, more = [], [], False
     for at in range(0, len(sig), block):
-        part = sig[at : at + block]
+        part = samples[at : at + block]
         same = np.zeros((len(part), min(len(sig), at + block)), np.int16)
         for k in range(SAMPLES):
-            same += part[:, k, None] == sig[None, : same.shape[1], k]
+            same += part[:, k, None] == samples[None, : same.shape[1], k]
         same[np.arange(same.shape[1])[None, :] >= at + np.arange(len(part))[:, None]] = -1
-        same[root[at : at + block, None] == root[None, : same.shape[1]]] = -1
-        n = (same >= low).sum(1)
-        more |= bool((n > most).any())
-        for i in np.flatnonzero(n):
-            near = np.argsort(-same[i], kind="stable")[: min(most, int(n[i]))]
+        alike = np.zeros(same.shape, bool)
+        for size in sizes:
+            a, b = size[at : at + block, None], size[None, : same.shape[1]]
+            alike |= np.minimum(a, b) >= np.float32(threshold * 0.9999) * np.maximum(a, b)
+        same[~alike] = -1
+        fits = same >= low
+        apart = fits & (root[at : at + block, None] != root[None, : same.shape[1]])
+        for i in np.flatnonzero(apart.any(1) & (fits.sum(1) > since)):
+            place = np.argsort(-same[i], kind="stable")[since : int(fits[i].sum())]
+            other = apart[i, place]
+            more |= bool(other[until - since :].any())
+            near = place[: until - since][other[: until - since]]
+            if band:
+                near = near[~(bands[near, :band] == bands[at + i, :band]).any(1)]
             left += [at + int(i)] * len(near)
             right += near.tolist()
     return left, right, more
 
 
-def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of keys; a row of nulls where some member had more than ``most``.
+def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, since: int, until: int) -> DataFrame:
+    """Distinct pairs (a, b) of keys; a row of nulls where some member has more than ``until``.
 
     ``members``: bucket, key, sig.  ``roots`` (node, root): components so far; buckets
     that lie within one are left out.
@@ -234,16 +255,18 @@ def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, mo
         rows = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         rows = rows.join(open_, "bucket")
-    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "key", "sig", "root")
+    # dealt by a hash of the bucket: an exchange by the bucket itself would be left out as the
+    # join's own, and where the join turns into a broadcast the bucket's rows lie in many tasks
+    ordered = rows.repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket", "key").select("bucket", "key", "sig", "root")
 
     def run(batches):
         held, keys, sigs, roots_, out = None, [], [], [], set()
 
         def close():
-            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(keys), SAMPLES)
+            sig = np.frombuffer(b"".join(sigs), SIG)
             number: dict[bytes, int] = {}
             root = np.array([number.setdefault(r, len(number)) for r in roots_])
-            left, right, more = bucket_pairs(sig, root, threshold, most)
+            left, right, more = bucket_pairs(sig, held, root, threshold, since, until)
             out.update((keys[j], keys[i]) for i, j in zip(left, right))
             if more:
                 out.add((None, None))
@@ -274,31 +297,32 @@ def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, mo
 def linked(signed: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame | None:
     """(node, root): components of the verified links; None where there is no link.
 
-    In each round a member brings its likest few of other components in its buckets, so
-    a group of near copies gives a number of pairs in proportion to its size, not to
-    its square.  What is verified joins components; rounds, each with twice as many
-    pairs a member, go on until every pair that the samples allow between two
-    components has been looked at.
+    In the first round a member brings its likest few in each bucket, so a group of near
+    copies gives a number of pairs in proportion to its size, not to its square.  What
+    is verified joins components; each later round takes the next places, eight times as
+    many, and of those only pairs between two components.  Rounds go on until no member
+    has a place left, so every pair that the samples allow is looked at or within one
+    component already.
     """
     spread = signed.select("key", "sig", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = cut(spread.join(shared, "bucket").select("bucket", "key", "sig"), "near-members")
-    roots, links, tested, most = None, None, None, 3
+    roots, links, tested, since, until = None, None, None, 0, FIRST_PLACES
     while True:
-        pairs = cut(candidates(members, roots, threshold, most), "near-pairs")
+        pairs = cut(candidates(members, roots, threshold, since, until), "near-pairs")
         more = not pairs.where("a is null").isEmpty()
         fresh = pairs.where("a is not null")
         if tested is not None:
             fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
         if not fresh.isEmpty():
             found = cut(verified(fresh, texts, df, n_docs, threshold), "near-links")
-            links = found if links is None else links.unionByName(found)
             tested = fresh if tested is None else tested.unionByName(fresh)
             if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
                 roots = components(links)
-        elif not more:
+        if not more:
             return roots
-        most *= 2
+        since, until = until, 8 * until
 
 
 def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame:
@@ -350,6 +374,11 @@ def text_key(column: str) -> Column:
     return F.substring(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256), 1, 32)
 
 
+def id_or_last(column: str) -> Column:
+    """A doc_id to join on; null, which is larger than any other, as the largest number."""
+    return F.coalesce(F.col(column), F.lit((1 << 63) - 1)).alias("id")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, kept, text_key for every row.
 
@@ -367,9 +396,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     n_docs = ids.count()
     df = spark.sparkContext.broadcast(document_frequencies(first))  # a table of fixed size
     classes = cut(first.where("kind = 1").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")), "near-classes")
-    wanted = may_have_partners(classes).select(F.col("key").alias("k"), "least")
-    # by text and doc_id, so that the rows of one text spread over the tasks
-    texts = cut(rows.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"]), "near-texts")
+    wanted = may_have_partners(classes).select("key", id_or_last("least"))
+    # by text and doc_id, so that the rows of one text spread over the tasks; the rows that
+    # repeat both already lie together, so the texts move once
+    texts = rows.select("key", id_or_last("doc_id"), "text").join(wanted, ["key", "id"])
+    texts = cut(texts.dropDuplicates(["key", "id"]).select("key", "text"), "near-texts")
     signed = cut(signatures(texts, df, n_docs).where("size(bands) > 0"), "near-signatures")
     roots = linked(signed, texts, df, n_docs, threshold)
     named = classes.select("key", "least", "n")
