@@ -37,6 +37,7 @@ CHUNK = 1 << 16
 DAMPING = 0.25
 ANCHOR, ANCHORS_LEAST = 16, 24
 FIRST_PLACES = 2
+SLOTS = 1 << 18
 #: What a bucket's member carries: the samples' low bytes, half of each band key, weight and number of its shingles.
 SIG = np.dtype([("low", np.uint8, SAMPLES), ("band", "<u4", BANDS), ("weight", "<f4"), ("n", "<u4")])
 _U = np.uint64
@@ -346,6 +347,10 @@ def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: flo
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
+    # of the texts only those that may be in a pair move: their places among SLOTS are broadcast
+    place = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(place).distinct()  # at most SLOTS rows
+    texts = texts.select("key", "text", place).join(F.broadcast(slots), "slot", "left_semi")
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(run, "a binary, b binary")
