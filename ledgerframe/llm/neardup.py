@@ -349,7 +349,8 @@ def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: flo
 
     # of the texts only those that may be in a pair move: their places among SLOTS are broadcast
     place = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(place).distinct()  # at most SLOTS rows
+    ends = pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct())
+    slots = ends.select(place).distinct()  # at most SLOTS rows
     texts = texts.select("key", "text", place).join(F.broadcast(slots), "slot", "left_semi")
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
