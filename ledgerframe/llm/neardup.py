@@ -9,7 +9,11 @@
 * Improved consistent weighted sampling (Ioffe 2010) gives ``BANDS * ROWS`` samples a
   document; two documents agree on one with the probability of their weighted
   Jaccard similarity.  Documents that agree on all samples of a band meet in a bucket.
-* Texts most of whose shingles occur nowhere else are left out beforehand.
+* A text that repeats shingles has a second row of samples, with each of its shingles
+  counted once (a text that repeats none has the same samples either way), so that pairs
+  alike as sets meet too.
+* Texts more of whose shingles occur nowhere else than either similarity allows are left
+  out beforehand.
 * Buckets are screened with the samples themselves, and what passes is verified on
   the two whole texts, in rounds that leave out what is connected already: linked
   where the weighted Jaccard similarity, or the plain one of the two shingle sets, is
@@ -71,24 +75,39 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(h), return_counts=True)
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
+def spared(counts: np.ndarray, anchors: int, threshold: float) -> int:
+    """How many of a text's ``anchors`` may occur nowhere else though it has a near duplicate.
+
+    What a partner lacks weighs at most ``1 - threshold`` of the text, and a shingle weighs
+    1 to ``1 + DAMPING`` times its count; most shingles fit into that weight where it is
+    made of the rarest.  Their share of all shingles holds for the set similarity too.
+    Anchors are a sample of the shingles: half of them, or 3.5 deviations, are allowed for.
+    """
+    if not anchors:
+        return 0
+    free = (1 - threshold) * (1 + DAMPING) * counts.sum()
+    share = min(1.0, np.searchsorted(np.cumsum(np.sort(counts)), free, "right") / len(counts))
+    return int(max(anchors / 2, anchors * share + 3.5 * np.sqrt(anchors * share * (1 - share)) + 1))
+
+
+def first_pass(docs: DataFrame, threshold: float) -> DataFrame:
     """Kind 0: a task's document frequencies, hashed counters by chunk; kind 1: a document's anchors.
 
     ``docs``: doc_id, key, text.  Anchors are the shingles whose hash is divisible by
-    ``ANCHOR``, whole documents long.
+    ``ANCHOR``, whole documents long; ``spared``: see there.
     """
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
-        names = ["kind", "doc_id", "key", "n", "anchors", "chunk", "data"]
+        names = ["kind", "doc_id", "key", "spared", "anchors", "chunk", "data"]
         for batch in batches:
             anchors, sizes = [], []
             for text in batch.column(2).to_pylist():
-                h = shingles(text)[0]
+                h, c = shingles(text)
                 counts[np.unique(h & _U(COUNTERS - 1)).astype(np.int64)] += 1
                 own = h[(h >> _U(40)) % _U(ANCHOR) == 0]
                 anchors.append(own.astype(np.int64))
-                sizes.append(len(own))
+                sizes.append(spared(c, len(own), threshold))
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         used = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
@@ -96,7 +115,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         m = len(used)
         yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
 
-    return cut(docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key binary, n int, anchors array<long>, chunk int, data binary"), "near-first")
+    return cut(docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key binary, spared int, anchors array<long>, chunk int, data binary"), "near-first")
 
 
 def document_frequencies(first: DataFrame) -> np.ndarray:
@@ -120,21 +139,20 @@ def document_frequencies(first: DataFrame) -> np.ndarray:
 
 
 def may_have_partners(classes: DataFrame) -> DataFrame:
-    """The classes (key, least, n, anchors) that can have a near duplicate among the others.
+    """The classes (key, least, n, anchors, spared) that can have a near duplicate among the others.
 
-    Of two texts with similarity 0.8, each shares at least 0.8 of its shingles with the
-    other, so about as many of its anchors occur elsewhere.  A text with ``ANCHORS_LEAST``
-    anchors or more, half of which occur nowhere else, is out (with 0.8 shared the chance
-    of that is under 1 in 2000); one with fewer anchors always stays.
+    A text with ``ANCHORS_LEAST`` anchors or more is out where more of them than ``spared``
+    occur nowhere else (with a near duplicate the chance of that is under 1 in 2000); one
+    with fewer anchors, or whose weight lies in few shingles, always stays.
     """
-    enough = F.size("anchors") >= ANCHORS_LEAST
+    enough = (F.size("anchors") >= ANCHORS_LEAST) & (F.col("spared") < F.size("anchors"))
     spread = classes.where(enough).select("key", F.explode("anchors").alias("anchor"))
     common = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
     # short texts count as places of an anchor too
     common = common.unionByName(classes.where(~enough).select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("df")))
     common = common.groupBy("anchor").agg(F.sum("df").alias("df")).where("df > 1").select("anchor")
     shared = spread.join(common, "anchor").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
-    rest = classes.where(enough).select("key", "least", F.size("anchors").alias("n_anchors")).join(shared, "key").where(F.col("shared") * 2 >= F.col("n_anchors"))
+    rest = classes.where(enough).select("key", "least", "spared", F.size("anchors").alias("n_anchors")).join(shared, "key").where(F.col("n_anchors") - F.col("shared") <= F.col("spared"))
     return classes.where(~enough).select("key", "least").unionByName(rest.select("key", "least"))
 
 
@@ -182,28 +200,29 @@ class Sampler:
 
 
 def signatures(texts: DataFrame, df, n_docs: int) -> DataFrame:
-    """Per text (key, text): key, ``sig`` (see ``SIG``), band keys.  Narrow."""
+    """Per text (key, text): key, ``sig`` (see ``SIG``), band keys; a second row, of the set of
+    shingles, where the text repeats some.  Narrow."""
 
     def run(batches):
         sampler = Sampler()
         for batch in batches:
-            sigs, bands = [], []
-            for text in batch.column(1).to_pylist():
+            keys, sigs, bands = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, c = shingles(text)
                 if not len(h):
-                    sigs.append(b"")
-                    bands.append([])
                     continue
-                w = weights(h, c, df.value, n_docs)
-                s = sampler.samples(h, w)
-                band = np.arange(1, BANDS + 1, dtype=_U)
-                for j in range(ROWS):
-                    band = _mix(band * _U(0x9E3779B97F4A7C15) + s.reshape(BANDS, ROWS)[:, j])
-                bands.append(band.astype(np.int64))
-                made = np.zeros((), SIG)
-                made["low"], made["band"], made["weight"], made["n"] = s & _U(0xFF), band & _U(0xFFFFFFFF), w.sum(), len(h)
-                sigs.append(made.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "sig", "bands"])
+                for counts in (c, np.ones_like(c)) if (c > 1).any() else (c,):
+                    w = weights(h, counts, df.value, n_docs)
+                    s = sampler.samples(h, w)
+                    band = np.arange(1, BANDS + 1, dtype=_U)
+                    for j in range(ROWS):
+                        band = _mix(band * _U(0x9E3779B97F4A7C15) + s.reshape(BANDS, ROWS)[:, j])
+                    bands.append(band.astype(np.int64))
+                    made = np.zeros((), SIG)
+                    made["low"], made["band"], made["weight"], made["n"] = s & _U(0xFF), band & _U(0xFFFFFFFF), w.sum(), len(h)
+                    sigs.append(made.tobytes())
+                    keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "sig", "bands"])
 
     return texts.select("key", "text").mapInArrow(run, "key binary, sig binary, bands array<long>")
 
@@ -258,7 +277,7 @@ def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, si
         rows = rows.join(open_, "bucket")
     # dealt by a hash of the bucket: an exchange by the bucket itself would be left out as the
     # join's own, and where the join turns into a broadcast the bucket's rows lie in many tasks
-    ordered = rows.repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket", "key").select("bucket", "key", "sig", "root")
+    ordered = rows.repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket", "key", "sig").select("bucket", "key", "sig", "root")
 
     def run(batches):
         held, keys, sigs, roots_, out = None, [], [], [], set()
@@ -306,7 +325,7 @@ def linked(signed: DataFrame, texts: DataFrame, df, n_docs: int, threshold: floa
     component already.
     """
     spread = signed.select("key", "sig", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = spread.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
     members = cut(spread.join(shared, "bucket").select("bucket", "key", "sig"), "near-members")
     roots, links, tested, since, until = None, None, None, 0, FIRST_PLACES
     while True:
@@ -397,17 +416,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.unhex(text_key("text")).alias("key"), "text")
-    first = first_pass(rows)
+    first = first_pass(rows, threshold)
     ids = first.where("kind = 1").select("doc_id", "key")
     n_docs = ids.count()
     df = spark.sparkContext.broadcast(document_frequencies(first))  # a table of fixed size
-    classes = cut(first.where("kind = 1").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")), "near-classes")
+    classes = cut(first.where("kind = 1").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"), F.first("spared").alias("spared")), "near-classes")
     wanted = may_have_partners(classes).select("key", id_or_last("least"))
     # by text and doc_id, so that the rows of one text spread over the tasks; the rows that
     # repeat both already lie together, so the texts move once
     texts = rows.select("key", id_or_last("doc_id"), "text").join(wanted, ["key", "id"])
     texts = cut(texts.dropDuplicates(["key", "id"]).select("key", "text"), "near-texts")
-    signed = cut(signatures(texts, df, n_docs).where("size(bands) > 0"), "near-signatures")
+    signed = cut(signatures(texts, df, n_docs), "near-signatures")
     roots = linked(signed, texts, df, n_docs, threshold)
     named = classes.select("key", "least", "n")
     if roots is None:
