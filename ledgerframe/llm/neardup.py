@@ -42,6 +42,8 @@ DAMPING = 0.25
 ANCHOR, ANCHORS_LEAST = 16, 24
 FIRST_PLACES = 2
 SLOTS = 1 << 18
+#: Members of a bucket that one task compares at a time, about.
+LARGE = 512
 #: What a bucket's member carries: the samples' low bytes, half of each band key, weight and number of its shingles.
 SIG = np.dtype([("low", np.uint8, SAMPLES), ("band", "<u4", BANDS), ("weight", "<f4"), ("n", "<u4")])
 _U = np.uint64
@@ -263,21 +265,26 @@ def bucket_pairs(sig: np.ndarray, bucket: int, root: np.ndarray, threshold: floa
     return left, right, more
 
 
+def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` with the root of their component so far."""
+    if roots is None:
+        return members.withColumn("root", F.col("key"))
+    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, since: int, until: int) -> DataFrame:
     """Distinct pairs (a, b) of keys; a row of nulls where some member has more than ``until``.
 
-    ``members``: bucket, key, sig.  ``roots`` (node, root): components so far; buckets
-    that lie within one are left out.
+    ``members``: bucket, part, key, sig; a part of a bucket is compared in one task.
+    ``roots`` (node, root): components so far; parts that lie within one are left out.
     """
-    if roots is None:
-        rows = members.withColumn("root", F.col("key"))
-    else:
-        rows = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        rows = rows.join(open_, "bucket")
-    # dealt by a hash of the bucket: an exchange by the bucket itself would be left out as the
-    # join's own, and where the join turns into a broadcast the bucket's rows lie in many tasks
-    ordered = rows.repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket", "key", "sig").select("bucket", "key", "sig", "root")
+    rows = rooted(members, roots)
+    if roots is not None:
+        open_ = rows.groupBy("bucket", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "part")
+        rows = rows.join(open_, ["bucket", "part"])
+    # dealt by a hash of the part: an exchange by the part itself would be left out as the
+    # join's own, and where the join turns into a broadcast the part's rows lie in many tasks
+    ordered = rows.repartition(F.xxhash64("bucket", "part")).sortWithinPartitions("bucket", "part", "key", "sig").select("bucket", "part", "key", "sig", "root")
 
     def run(batches):
         held, keys, sigs, roots_, out = None, [], [], [], set()
@@ -286,7 +293,7 @@ def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, si
             sig = np.frombuffer(b"".join(sigs), SIG)
             number: dict[bytes, int] = {}
             root = np.array([number.setdefault(r, len(number)) for r in roots_])
-            left, right, more = bucket_pairs(sig, held, root, threshold, since, until)
+            left, right, more = bucket_pairs(sig, held[0], root, threshold, since, until)
             out.update((keys[j], keys[i]) for i, j in zip(left, right))
             if more:
                 out.add((None, None))
@@ -297,11 +304,11 @@ def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, si
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for bucket, key, sig, root in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != held:
+            for bucket, part, key, sig, root in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, part) != held:
                     if len(keys) > 1:
                         close()
-                    held, keys, sigs, roots_ = bucket, [], [], []
+                    held, keys, sigs, roots_ = (bucket, part), [], [], []
                 keys.append(key)
                 sigs.append(sig)
                 roots_.append(root)
@@ -323,26 +330,90 @@ def linked(signed: DataFrame, texts: DataFrame, df, n_docs: int, threshold: floa
     many, and of those only pairs between two components.  Rounds go on until no member
     has a place left, so every pair that the samples allow is looked at or within one
     component already.
+
+    A bucket of more than ``LARGE`` members is dealt into parts by a hash of the key, and
+    the rounds run within the parts; then between parts: first among one member for each
+    (component, part), again while that makes them fewer, which joins a large group at a
+    cost in proportion to its size, then among all members that are still in different
+    components (see ``crossed``), so no link is lost.
     """
     spread = signed.select("key", "sig", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
-    members = cut(spread.join(shared, "bucket").select("bucket", "key", "sig"), "near-members")
-    roots, links, tested, since, until = None, None, None, 0, FIRST_PLACES
-    while True:
-        pairs = cut(candidates(members, roots, threshold, since, until), "near-pairs")
-        more = not pairs.where("a is null").isEmpty()
-        fresh = pairs.where("a is not null")
-        if tested is not None:
-            fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        if not fresh.isEmpty():
-            found = cut(verified(fresh, texts, df, n_docs, threshold), "near-links")
-            tested = fresh if tested is None else tested.unionByName(fresh)
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                roots = components(links)
-        if not more:
+    n = F.count(F.lit(1)).alias("n")
+    shared = cut(spread.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), n).where("lo <> hi").select("bucket", "n"), "near-shared")
+    members = cut(dealt(spread, shared, 0), "near-members")
+    roots, links, tested = None, None, None
+
+    def settle(members: DataFrame) -> None:
+        nonlocal roots, links, tested
+        since, until = 0, FIRST_PLACES
+        while True:
+            pairs = cut(candidates(members, roots, threshold, since, until), "near-pairs")
+            more = not pairs.where("a is null").isEmpty()
+            fresh = pairs.where("a is not null")
+            if tested is not None:
+                fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
+            if not fresh.isEmpty():
+                found = cut(verified(fresh, texts, df, n_docs, threshold), "near-links")
+                tested = fresh if tested is None else tested.unionByName(fresh)
+                if not found.isEmpty():
+                    links = found if links is None else links.unionByName(found)
+                    roots = components(links)
+            if not more:
+                return
+            since, until = until, 8 * until
+
+    settle(members)
+    large = members.join(shared.where(F.col("n") > LARGE).select("bucket"), "bucket")
+    rest, turn, before = large, 1, large.count()
+    while before:
+        one = opened(rest, roots).groupBy("bucket", "root", "part").agg(F.min(F.struct("key", "sig")).alias("one"))
+        one = cut(one.select("bucket", "one.key", "one.sig"), "near-ones")
+        now = one.count()
+        if not now:
             return roots
-        since, until = until, 8 * until
+        if 2 * now > before:
+            break
+        rest = cut(dealt(one, cut(one.groupBy("bucket").agg(n), "near-shared"), turn), "near-members")
+        settle(rest)
+        turn, before = turn + 1, now
+    if before:
+        settle(cut(crossed(opened(large, roots)), "near-members"))
+    return roots
+
+
+def dealt(rows: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
+    """``rows`` (bucket, key, sig) of the buckets in ``sizes`` (bucket, n), with parts of about ``LARGE``."""
+    part = F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("n") / F.lit(LARGE)))
+    return rows.join(sizes, "bucket").select("bucket", part.cast("long").alias("part"), "key", "sig")
+
+
+def opened(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` with roots, of the buckets that hold different components."""
+    rows = cut(rooted(members, roots), "near-rooted")
+    open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return rows.join(cut(open_, "near-open"), "bucket")
+
+
+def crossed(rows: DataFrame) -> DataFrame:
+    """bucket, part, key, sig: a part for every two cells of a bucket that may hold different components.
+
+    ``rows``: bucket, key, sig, root.  A component of more than ``LARGE`` members has cells
+    of its own, which are not compared with each other; other members share cells.
+    """
+    rows = cut(rows.select("bucket", "key", "sig", "root"), "near-rows")
+    sizes = cut(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+    alone = sizes.where(F.col("n") > LARGE).select("bucket", "root", "n")
+    mixed = cut(sizes.where(F.col("n") <= LARGE).groupBy("bucket").agg(F.sum("n").alias("m")), "near-mixed")
+    slot = F.xxhash64("key", F.lit(-1))
+    own = F.when(F.col("n").isNotNull(), F.col("root")).alias("own")
+    cell = F.when(F.col("n").isNotNull(), F.xxhash64("root", F.pmod(slot, F.ceil(F.col("n") / F.lit(LARGE))))).otherwise(F.pmod(slot, F.ceil(F.col("m") / F.lit(LARGE)))).cast("long").alias("cell")
+    rows = rows.join(alone, ["bucket", "root"], "left").join(mixed, "bucket", "left").select("bucket", "key", "sig", own, cell)
+    rows = cut(rows, "near-cells")
+    cells = cut(rows.select("bucket", "own", "cell").distinct(), "near-cells")
+    other = cells.select("bucket", F.col("own").alias("own2"), F.col("cell").alias("cell2"))
+    both = cells.join(other, "bucket").where(F.col("cell") <= F.col("cell2")).where(F.col("own").isNull() | F.col("own2").isNull() | (F.col("own") != F.col("own2")))
+    both = both.select("bucket", F.xxhash64("cell", "cell2").alias("part"), F.explode(F.array_distinct(F.array("cell", "cell2"))).alias("cell"))
+    return rows.join(both, ["bucket", "cell"]).select("bucket", "part", "key", "sig")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame:
