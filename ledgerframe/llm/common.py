@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store works."""
@@ -18,18 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local tests), a folder of our own is set.
+    Only a local session may have none: there a temporary folder is set.  On a cluster
+    a folder of one machine would lose data, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if base:
+        return base.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
-        if current:
-            # getCheckpointDir() gives the session's own subfolder
-            return current.rstrip("/")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerframe-shared")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    return base.rstrip("/")
+    return current.rstrip("/")  # the session's own subfolder
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
@@ -37,26 +38,71 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/ledgerframe/{tag}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, tag: str, compression: str, by: str | None = None) -> str:
+    spark = df.sparkSession
+    path = work_path(spark, tag)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        out = df.write.option("compression", compression)
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return path
+
+
 def cut(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts lineage so that a lost executor costs a re-read, not a re-run.  The shuffles
-    behind the table are not needed any more: Spark's cleaner drops their files once
-    the driver's garbage is collected, so that is done now.
+    behind the table go with the write (a setting of Spark's, on for the write alone).
     """
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, tag, compression))
+
+
+class Scratch:
+    """The written tables of one job; those not handed out are deleted when they are not needed any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+        """As ``cut``, in folders by the values of ``by``; the table lives until ``drop`` or the end of the job."""
+        path = _written(df, tag, "zstd", by)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if id(table) in self.paths:
+                self._delete(self.paths.pop(id(table))[0])
+
+    def drop_parts(self, table: DataFrame, *folders: str) -> None:
+        """Deletes some folders of a table that was cut ``by`` a column."""
+        for folder in folders:
+            self._delete(f"{self.paths[id(table)][0]}/{folder}")
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These outlive the job."""
+        for table in tables:
+            self.paths.pop(id(table), None)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path, _table in self.paths.values():
+            self._delete(path)
+        self.paths.clear()
 
 
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32(column as text) mod ``modulus``; a null column counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
-
-def only_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns and nothing else, so that extra columns cannot clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

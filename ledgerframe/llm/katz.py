@@ -1,23 +1,31 @@
-"""Operator 2: a Katz backoff language model over all training text.
-
-Order two: a token's probability comes from its pair with the token before, and
-backs off to the single token where training has no such pair.  Good-Turing
-discounts (up to count ``K``) free the mass, and each history's backoff weight is
-what makes its probabilities sum to exactly one over the vocabulary and one unknown
-token.
-
-How it runs.  Texts become blocks: a block's documents as one stream of numbers into
-the block's own vocabulary.  Blocks ask, and tables answer: each block sends its
-distinct tokens (later its distinct pairs) with their training counts, split by
-bucket; a bucket adds up what all blocks sent, which makes its part of the model's
-table, and answers every block in the order of its question.  So each distinct token
-or pair travels once per block, not once per occurrence, a very frequent one is summed
-before it travels, and the model is never in one place.
+"""Operator 2: a Katz backoff language model of any order over all training text.
+
+A token's probability comes from its n-gram; where training has no such n-gram it backs
+off to the next shorter history, and so on down to the single token.  Good-Turing
+discounts (up to count ``K``, by order) free the mass, and each history's backoff weight
+is what makes its probabilities sum to exactly one over the vocabulary and one unknown
+token.  A document starts with one start mark, so its first tokens have short histories.
+
+How it runs.  Texts become blocks: a block's documents as one stream of numbers into the
+block's own vocabulary.  Blocks ask, and tables answer, order by order: a block sends its
+distinct n-grams with their training counts, split by bucket; a bucket adds up what all
+blocks sent, which makes its part of that order's table, and answers every block in the
+order of its question with counts and, for each history, what its backoff weight is
+made of.  So a distinct n-gram travels once per block, not once per occurrence, and the
+model is never in one place.  A bucket is chosen by the history; a history with more
+than ``hot`` occurrences is dealt over several buckets by its followers, and the sums of
+its parts are added up and sent to the blocks that hold it.  Blocks do not ask for
+n-grams whose history or whose shorter form training does not have.
+
+A message between blocks and buckets is a row, so there are at most as many as distinct
+n-grams per block, and far fewer while blocks hold many n-grams of each bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +33,66 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, cut
+from .common import Scratch, crc_mod, cut
 
 K = 5
 UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 END = b" end"  # no word holds a space
-BOS = (1 << 32) - 1
-BLOCK = "block long, n_docs int, doc_ids binary, lengths binary, train binary, vocab binary, counts binary, stream binary"
-ANSWER = "kind int, bucket int, block long, ids binary, counts binary, stats array<double>"
-PAIRS = "kind int, bucket int, block long, heads binary, runs binary, tails binary, counts binary, totals binary, seen binary, stats array<double>"
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Compressed by byte planes: small numbers' high bytes cost nothing."""
-    x = np.ascontiguousarray(x)
-    return zstandard.compress(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 3)
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def _hash(word: bytes) -> bytes:
-    return hashlib.blake2b(word, digest_size=8).digest()
+BLOCK = "block long, n_docs long, n_train long, tokens long, entries long, data binary"
+ASK = "bucket int, block long, data binary"
+ANSWER = "kind int, bucket int, block long, head binary, data binary, stats array<double>"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Kinds of answers: a bucket's table, an answer to a block, a part of a hot history, a block's wish for one.
+TABLE, REPLY, PART, WISH = range(4)
+STORED = -1  # the block number of a table that is asked again
+_U = np.uint64
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def _dump(*arrays: np.ndarray) -> bytes:
+    """Arrays in one value: numbers in the narrowest type, by byte planes, compressed."""
+    parts = []
+    for x in map(np.asarray, arrays):
+        if x.dtype.kind in "bu" or x.dtype.kind == "i" and (not len(x) or x.min() >= 0):
+            top = int(x.max()) if len(x) else 0
+            x = x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
+        size = x.dtype.itemsize
+        planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T if len(x) else b""
+        data = zstandard.compress(np.ascontiguousarray(planes).tobytes() if len(x) else b"", 3)
+        parts += [struct.pack("<cBQ", x.dtype.kind.encode(), size, len(data)), data]
+    return b"".join(parts)
+
+
+def _load(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, size, n = struct.unpack_from("<cBQ", data, at)
+        planes = np.frombuffer(zstandard.decompress(data[at + 10 : at + 10 + n]), np.uint8).reshape(size, -1)
+        x = np.ascontiguousarray(planes.T).reshape(-1).view(f"<{kind.decode()}{size}")
+        out.append(x.astype(np.int64) if kind == b"u" and size < 8 else x)
+        at += 10 + n
+    return out
+
+
+def _rows(rows: list, schema: str) -> pa.Table:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], _TYPES[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(29))
+
+
+def _fold(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of each row's combination in sorted order, first row of each, the sorted keys) of columns below 2**32."""
+    key = columns[0].astype(_U)
+    for k, c in enumerate(columns[1:]):
+        if k:
+            key = np.unique(key, return_inverse=True)[1].astype(_U)
+        key = key << _U(32) | c.astype(_U)
+    every, first, where = np.unique(key, return_index=True, return_inverse=True)
+    return where, first, every
 
 
 class _Local(dict):
@@ -68,19 +111,21 @@ def make_blocks(docs: DataFrame, tokens: int) -> DataFrame:
 
         def closed():
             flat = np.concatenate(stream)
-            known = np.repeat(np.array(train, bool), lengths)
-            counts = np.bincount(flat[known], minlength=len(local)).astype(np.uint32)
-            # null ids are marked apart
-            numbers = _pack(np.array([0 if i is None else i for i in ids], np.int64)) + bytes(i is None for i in ids)
-            row = [base + made, len(ids), numbers, _pack(np.array(lengths, np.int64)), bytes(train), b"".join(map(_hash, local)), _pack(counts), _pack(flat)]
-            kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 6
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], [f.split(" ")[0] for f in BLOCK.split(", ")])
+            counts = np.bincount(flat[np.repeat(np.array(train, bool), lengths)], minlength=len(local))
+            hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in local]), "<u8")
+            # the vocabulary goes in the order of its hashes
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            numbers = np.array([0 if i is None else i for i in ids], np.int64)
+            data = _dump(numbers.view(_U), np.array([i is None for i in ids]), np.array(lengths), np.array(train, bool), np.diff(hashes[order], prepend=_U(0)), counts[order], place[flat])
+            return _rows([[base + made, len(ids), sum(train), size, len(local), data]], BLOCK).to_batches()[0]
 
         for batch in batches:
             for doc_id, text, learn in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or "").encode().translate(UPPER).split()
                 words.append(END)
-                stream.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
+                stream.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
                 lengths.append(len(words))
                 ids.append(doc_id)
                 train.append(bool(learn))
@@ -95,48 +140,51 @@ def make_blocks(docs: DataFrame, tokens: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCK)
 
 
-def _batch(rows: list[list], schema: str, kinds: list) -> pa.Table:
-    names = [f.split(" ")[0] for f in schema.split(", ")]
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+def _by_range(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of sorted hashes begins, and the end."""
+    bucket = (hashes >> _U(32)) * _U(buckets) >> _U(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1))
 
 
-ANSWER_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
-PAIR_KINDS = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6 + [pa.list_(pa.float64())]
+def ask_tokens(blocks: DataFrame, buckets: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for block, data in zip(*(c.to_pylist() for c in batch.columns)):
+                *_, hashes, counts, _ = _load(data)
+                hashes = np.cumsum(hashes.astype(_U), dtype=_U)
+                cuts = _by_range(hashes, buckets)
+                rows = [[b, block, _dump(np.diff(hashes[i:j], prepend=_U(0)), counts[i:j])] for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                yield from _rows(rows, ASK).to_batches()
 
+    return blocks.select("block", "data").mapInArrow(run, ASK)
 
-def token_table(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Kind 0: a bucket's table (hashes in ``ids``, counts); kind 1: the answer to a block (token numbers, counts)."""
 
-    def ask(batches):
-        for batch in batches:
-            for block, vocab, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                h, c = np.frombuffer(vocab, "<u8"), _unpack(counts, np.uint32)
-                bucket = (h % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [[b, block, h[o].tobytes(), _pack(c[o])] for b in range(buckets) if len(o := order[cuts[b] : cuts[b + 1]])]
-                yield _batch(rows, "bucket int, block long, hashes binary, counts binary", [pa.int32(), pa.int64(), pa.binary(), pa.binary()]).to_batches()[0]
-
-    def answer(t: pa.Table) -> pa.Table:
+def answer_tokens(buckets: int):
+    """A bucket's tokens: total counts, and numbers from 1 (frequent ones small); 0 where training has none."""
+
+    def run(t: pa.Table) -> pa.Table:
         b = t.column("bucket")[0].as_py()
-        asked = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
-        given = [_unpack(x, np.uint32) for x in t.column("counts").to_pylist()]
-        every, where = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(where, np.concatenate(given), len(every)).astype(np.int64)
-        seen = total[total > 0]
-        # frequent tokens get small numbers
-        rank = np.empty(len(every), np.int64)
-        rank[np.argsort(-total, kind="stable")] = np.arange(len(every))
-        stats = [float(len(seen)), float(seen.sum()), *[float((seen == r).sum()) for r in range(1, K + 2)]]
-        rows, at = [[0, b, None, every.tobytes(), _pack(total), stats]], 0
-        for block, x in zip(t.column("block").to_pylist(), asked):
-            k = where[at : at + len(x)]
-            at += len(x)
-            rows.append([1, b, block, _pack((rank[k] * buckets + b).astype(np.uint32)), _pack(total[k]), None])
-        return _batch(rows, ANSWER, ANSWER_KINDS)
-
-    asked = blocks.select("block", "vocab", "counts").mapInArrow(ask, "bucket int, block long, hashes binary, counts binary")
-    return cut(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "katz-tokens")
+        asked = [_load(x) for x in t.column("data").to_pylist()]
+        hashes = [np.cumsum(x[0].astype(_U), dtype=_U) for x in asked]
+        every, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(where, np.concatenate([x[1] for x in asked]), len(every)).astype(np.int64)
+        seen = total > 0
+        number = np.zeros(len(every), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(every)) * buckets + b + 1
+        number[~seen] = 0
+        if number.max() >= 1 << 32:
+            raise ValueError("more than 2**32 different tokens: their numbers do not fit")
+        stats = [float(seen.sum()), float(total.sum()), *[float((total == r).sum()) for r in range(1, K + 2)]]
+        rows = [[TABLE, b, None, None, _dump(np.diff(every[seen], prepend=_U(0)), total[seen]), stats]]
+        at = 0
+        for block, h in zip(t.column("block").to_pylist(), hashes):
+            k = where[at : at + len(h)]
+            at += len(h)
+            if block != STORED:
+                rows.append([REPLY, b, block, None, _dump(number[k], total[k]), None])
+        return _rows(rows, ANSWER)
+
+    return run
 
 
 class Discounts:
@@ -170,152 +218,375 @@ class Unigrams:
         return np.where(counts > 0, self.discount(counts) / self.scale, self.unknown)
 
 
+class _Level:
+    """The distinct n-grams of one order in a block.
+
+    ``place``: the n-gram that ends at each position; ``head`` and ``suffix``: its history and
+    the n-gram without its first token, as places in the order below; ``count``: in training.
+    ``few`` and ``low`` belong to the histories: followers with count 1 to K, and the
+    discounted counts that the followers have without the history's first token, summed.
+    """
+
+    def __init__(self, place, head, tail, suffix, own, below: int) -> None:
+        self.place, self.head, self.tail, self.suffix, self.own = place, head, tail, suffix, own
+        self.count = np.zeros(len(tail), np.int64)
+        self.few, self.low = np.zeros((K, below)), np.zeros(below)
+
+
 class _Block:
-    """A block with its answers: global numbers and counts of its tokens, and its distinct pairs."""
-
-    def __init__(self, block: dict, tokens: list[dict], buckets: int) -> None:
-        self.n = block["n_docs"]
-        data = block["doc_ids"]
-        null = np.frombuffer(data[-self.n :], bool)
-        self.doc_ids = [None if z else i for i, z in zip(_unpack(data[: -self.n], np.int64).tolist(), null)]
-        self.lengths = _unpack(block["lengths"], np.int64)
-        self.train = np.frombuffer(block["train"], np.uint8).astype(bool)
-        h = np.frombuffer(block["vocab"], "<u8")
-        order = np.argsort((h % np.uint64(buckets)).astype(np.int32), kind="stable")
-        tokens = sorted(tokens, key=lambda r: r["bucket"])
-        self.ids, self.counts = np.zeros(len(h), np.uint32), np.zeros(len(h), np.int64)
-        self.ids[order] = np.concatenate([_unpack(r["ids"], np.uint32) for r in tokens])
-        self.counts[order] = np.concatenate([_unpack(r["counts"], np.int64) for r in tokens])
-        self.stream = _unpack(block["stream"], np.uint32)
-        first = np.zeros(len(self.stream), bool)
-        first[np.cumsum(self.lengths)[:-1]] = True
-        first[0] = True
-        before = np.empty(len(self.stream), np.int64)
-        before[1:] = self.stream[:-1]
-        before[first] = len(h)
-        heads = np.append(self.ids, np.uint32(BOS)).astype(np.uint64)
-        pairs, self.place = np.unique(before * (len(h) + 1) + self.stream, return_inverse=True)
-        self.tail = (pairs % (len(h) + 1)).astype(np.int64)  # local numbers
-        self.head_id, self.tail_id = heads[pairs // (len(h) + 1)], self.ids[self.tail].astype(np.uint64)
-
-    def by_bucket(self, buckets: int):
-        """(bucket, indices of its pairs sorted by head and tail)."""
-        bucket = (self.head_id * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
-        order = np.lexsort((self.tail_id, self.head_id, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-
-
-def pair_table(blocks: DataFrame, tokens: DataFrame, token_buckets: int, buckets: int, unigrams: Unigrams) -> DataFrame:
-    """Kind 0: a bucket's table of pairs (heads with run lengths, tails, counts); kind 1: the answer to a block."""
-
-    def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = "bucket int, block long, heads binary, runs binary, tails binary, counts binary, tail_counts binary"
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5
-        rows = []
-        if left.num_rows:
-            x = _Block(left.to_pylist()[0], right.to_pylist(), token_buckets)
-            train = np.bincount(x.place, np.repeat(x.train, x.lengths), len(x.tail)).astype(np.uint32)
-            for b, o in x.by_bucket(buckets):
-                heads, runs = np.unique(x.head_id[o], return_counts=True)
-                rows.append([b, key[0].as_py(), _pack(heads.astype(np.uint32)), _pack(runs.astype(np.uint32)), _pack(x.tail_id[o].astype(np.uint32)), _pack(train[o]), _pack(x.counts[x.tail[o]])])
-        return _batch(rows, names, kinds)
-
-    def answer(t: pa.Table) -> pa.Table:
-        b = t.column("bucket")[0].as_py()
-        heads = [_unpack(x, np.uint32).astype(np.uint64) for x in t.column("heads").to_pylist()]
-        runs = [_unpack(x, np.uint32) for x in t.column("runs").to_pylist()]
-        tails = [_unpack(x, np.uint32).astype(np.uint64) for x in t.column("tails").to_pylist()]
-        keys = np.concatenate([np.repeat(h, r) << np.uint64(32) | w for h, r, w in zip(heads, runs, tails)])
-        given = np.concatenate([_unpack(x, np.uint32) for x in t.column("counts").to_pylist()])
-        ones = np.concatenate([_unpack(x, np.int64) for x in t.column("tail_counts").to_pylist()])
-        every, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(where, given, len(every)).astype(np.int64)
+    """A block whose tokens have their numbers; orders are added one by one."""
+
+    def __init__(self, values: list[np.ndarray], n_train: int, hot: int, buckets: int) -> None:
+        ids, null, self.lengths, train, self.numbers, counts, stream = values
+        self.doc_ids = [None if z else int(i) for i, z in zip(ids.view(np.int64) if ids.dtype == _U else ids, null)]
+        self.train, self.hot, self.buckets = train.astype(bool), hot, buckets
+        starts = np.cumsum(self.lengths) - self.lengths + np.arange(len(self.lengths))
+        self.v = len(self.numbers)  # the start mark's place in the vocabulary
+        self.stream = np.full(int(self.lengths.sum()) + len(starts), self.v)
+        inside = np.ones(len(self.stream), bool)
+        inside[starts] = False
+        self.stream[inside] = stream
+        self.depth = np.arange(len(self.stream)) - np.repeat(starts, self.lengths + 1)
+        self.learned = np.repeat(self.train, self.lengths + 1)
+        self.starts = starts
+        self.numbers = np.append(self.numbers, 0)
+        one = _Level(self.stream, None, np.arange(self.v + 1), None, None, 0)
+        one.count = np.append(counts, n_train)
+        self.levels = [None, one]
+
+    def grow(self) -> int:
+        """Adds the next order; returns it."""
+        m, prior = len(self.levels), self.levels[-1].place
+        j = np.flatnonzero(self.depth >= m - 1)
+        key = prior[j - 1] * (self.v + 1) + self.stream[j]
+        every, first, where = np.unique(key, return_index=True, return_inverse=True)
+        place = np.full(len(prior), -1)
+        place[j] = where
+        own = np.bincount(where, self.learned[j], len(every)).astype(np.int64)
+        head, tail = np.divmod(every, self.v + 1)
+        self.levels.append(_Level(place, head, tail, prior[j[first]], own, len(self.levels[-1].tail)))
+        return m
+
+    def spelled(self, m: int, which: np.ndarray) -> list[np.ndarray]:
+        """The token numbers of n-grams of order ``m``, by column."""
+        if m == 1:
+            return [self.numbers[which]]
+        level = self.levels[m]
+        return [*self.spelled(m - 1, level.head[which]), self.numbers[level.tail[which]]]
+
+    def entries(self, m: int):
+        """What order ``m`` asks, sorted by bucket, history and follower: n-grams (-1: none, a
+        history alone), histories, their columns, followers, parts of a history, bounds of buckets."""
+        level, below = self.levels[m], self.levels[m - 1].count
+        some = below[level.head] > 0
+        gram = np.flatnonzero(some & (below[level.suffix] > 0))
+        alone = np.zeros(len(below), bool)
+        alone[level.head[some]] = True
+        alone[level.head[gram]] = False
+        alone = np.flatnonzero(alone)
+        head = np.concatenate([level.head[gram], alone])
+        tail = np.concatenate([self.numbers[level.tail[gram]], np.zeros(len(alone), np.int64)])
+        gram = np.concatenate([gram, np.full(len(alone), -1)])
+        columns = self.spelled(m - 1, head)
+        parts = np.maximum(1, -(-below[head] // self.hot))
+        part = np.where(parts > 1, _mix(tail.astype(_U)) % parts.astype(_U), _U(0))
+        mixed = reduce(lambda x, c: _mix(x + c.astype(_U)), columns, part)
+        bucket = (mixed >> _U(16)) % _U(self.buckets)
+        if m == 2:
+            order = np.lexsort((columns[0] << 32 | tail, bucket))
+        else:
+            order = np.lexsort((columns[-1] << 32 | tail, *reversed(columns[1:-1]), bucket << _U(32) | columns[0].astype(_U)))
+        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        return gram[order], head[order], [c[order] for c in columns], tail[order], parts[order], cuts
+
+    @staticmethod
+    def runs(columns: list[np.ndarray]) -> np.ndarray:
+        """Where each history's run begins."""
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+        return np.flatnonzero(new)
+
+    def asks(self, m: int, passes: int, turn: int) -> list[tuple[int, bytes]]:
+        gram, head, columns, tail, parts, cuts = self.entries(m)
+        level = self.levels[m]
+        own = np.where(gram >= 0, level.own[gram], 0)
+        low = np.where(gram >= 0, self.levels[m - 1].count[level.suffix[gram]], 0)
+        out = []
+        for b in range(turn, self.buckets, passes):
+            i, j = cuts[b], cuts[b + 1]
+            if i < j:
+                part = [c[i:j] for c in columns]
+                at = self.runs(part)
+                out.append((b, _ask(part, at, tail[i:j], own[i:j], low[i:j], parts[i:j][at])))
+        return out
+
+    def hear(self, m: int, replies: dict[int, bytes], parts: dict[bytes, list[float]]) -> None:
+        """Takes the answers to ``asks``: by bucket, and of hot histories by their numbers."""
+        gram, head, columns, _, split, cuts = self.entries(m)
+        level = self.levels[m]
+        for b, data in replies.items():
+            i, j = cuts[b], cuts[b + 1]
+            total, few, low = _load(data)
+            g = gram[i:j]
+            level.count[g[g >= 0]] = total[g >= 0]
+            h = head[i:j][self.runs([c[i:j] for c in columns])]
+            level.few[:, h], level.low[h] = few.reshape(K, -1), low
+        at = np.flatnonzero(split > 1)
+        for h, *key in zip(*(x[at].tolist() for x in (head, *columns))):
+            *few, low = parts[struct.pack(f"<{len(key)}I", *key)]
+            level.few[:, h], level.low[h] = few, low
+
+    def scale(self, m: int, discount: list) -> np.ndarray:
+        """The denominators of the histories of order ``m``: their counts, and one event more where nothing is freed."""
+        count = self.levels[m - 1].count
+        return count + ((discount[m].freed @ self.levels[m].few) <= 0)
+
+    def probability(self, m: int, unigrams: Unigrams, discount: list) -> np.ndarray:
+        """P(last token | those before) of the distinct n-grams of order ``m``, by recursion over the orders."""
+        level = self.levels[m]
+        if m == 1:
+            return unigrams(level.count)
+        lower = self.probability(m - 1, unigrams, discount)[level.suffix]
+        scale, count = self.scale(m, discount), self.levels[m - 1].count
+        freed = discount[m].freed @ level.few
+        left = np.where(freed > 0, freed, 1.0) / np.maximum(scale, 1)
+        # the shorter history of each history is that of any n-gram without its first token
+        below = unigrams.scale if m == 2 else self.scale(m - 1, discount)[self.levels[m - 1].head[level.suffix]]
+        mass = level.low[level.head] / np.maximum(below, 1)
+        weight = np.where(count[level.head] > 0, left[level.head] / np.maximum(1 - mass, 1e-300), 1.0)
+        return np.where(level.count > 0, discount[m](level.count) / np.maximum(scale[level.head], 1), weight * lower)
+
+    def scores(self, unigrams: Unigrams, discount: list) -> pa.Table:
+        top = len(self.levels) - 1
+        log_p = np.zeros(len(self.stream))
+        for m in range(2, top + 1):
+            j = np.flatnonzero(self.depth == m - 1 if m < top else self.depth >= m - 1)
+            log_p[j] = np.log10(self.probability(m, unigrams, discount))[self.levels[m].place[j]]
+        inside = self.depth > 0
+        count = self.levels[1].count[self.stream]
+        base = np.where(inside, np.log10((count + 1) / (unigrams.total + unigrams.types + 1)), 0.0)
+        add = lambda x: np.add.reduceat(x, self.starts).tolist()
+        columns = [self.doc_ids, (~self.train).tolist(), self.lengths.tolist(), add((inside & (count > 0)).astype(np.int64)), [unigrams.total] * len(self.lengths), add(base), add(log_p)]
+        return _rows(list(zip(*columns)), SCORES)
+
+
+def _ask(columns, at, tail, own, low, parts) -> bytes:
+    """An ask's value; a stored table has the same form."""
+    heads = [c[at] for c in columns]
+    heads[0] = np.diff(heads[0], prepend=0)
+    return _dump(*heads, np.diff(np.append(at, len(tail))), tail, own, low, parts)
+
+
+def answer_grams(m: int, lower: Discounts):
+    """A bucket of order ``m``: adds up, makes its table, answers the blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        b, blocks = t.column("bucket")[0].as_py(), t.column("block").to_pylist()
+        asked = [_load(x) for x in t.column("data").to_pylist()]
+        *columns, runs, tail, own, low, parts = (list(x) for x in zip(*asked))
+        columns[0] = [np.cumsum(x) for x in columns[0]]
+        heads = [len(x) for x in runs]
+        grams = [len(x) for x in tail]
+        columns = [np.concatenate(c) for c in columns]
+        which, first, _ = _fold(columns)
+        gram, one, keys = _fold([np.repeat(which, np.concatenate(runs)), np.concatenate(tail)])
+        total = np.bincount(gram, np.concatenate(own), len(one)).astype(np.int64)
+        low = np.concatenate(low)[one]
+        of = (keys >> _U(32)).astype(np.int64)
         seen = total > 0
-        head, at, size = np.unique(every >> np.uint64(32), return_index=True, return_counts=True)
-        spread = np.repeat(np.arange(len(head)), size)
-        events = np.bincount(spread, total, len(head)).astype(np.int64)  # c(h)
-        mass = np.bincount(spread, np.where(seen, unigrams(ones[first]), 0), len(head))  # unigram mass of what follows h
-        few = np.stack([np.bincount(spread, total == r, len(head)) for r in range(1, K + 1)]).astype(np.uint32)
+        few = np.stack([np.bincount(of[total == r], minlength=len(first)) for r in range(1, K + 1)])
+        sums = np.bincount(of[seen], lower(low[seen]), len(first))
+        split = np.concatenate(parts)[first]
+        spelled = [c[first] for c in columns]
+        at = _Block.runs([of[seen]]) if seen.any() else np.zeros(0, np.int64)
         stats = [float((total == r).sum()) for r in range(1, K + 2)]
-        table = [0, b, None, _pack(head.astype(np.uint32)), _pack(size.astype(np.uint32)), _pack((every[seen] & np.uint64(BOS)).astype(np.uint32)), _pack(total[seen]), _pack(events), _pack(mass), stats]
-        rows, start = [table], 0
-        for block, h, w in zip(t.column("block").to_pylist(), heads, tails):
-            k = where[start : start + len(w)]
-            start += len(w)
-            j = np.searchsorted(head, h)
-            rows.append([1, b, block, None, _pack(few[:, j]), None, _pack(total[k].astype(np.uint32)), _pack(events[j]), _pack(mass[j]), None])
-        return _batch(rows, PAIRS, PAIR_KINDS)
-
-    left = blocks.drop("counts").groupBy("block")
-    right = tokens.where("kind = 1").select("block", "bucket", "ids", "counts").groupBy("block")
-    asked = left.cogroup(right).applyInArrow(ask, "bucket int, block long, heads binary, runs binary, tails binary, counts binary, tail_counts binary")
-    return cut(asked.groupBy("bucket").applyInArrow(answer, PAIRS), "katz-pairs")
+        inner = [c[of[seen]] for c in spelled]
+        rows = [[TABLE, b, None, None, _ask(inner, at, (keys[seen] & _U(0xFFFFFFFF)).astype(np.int64), total[seen], low[seen], split[of[seen]][at]), stats]]
+        hot = split > 1
+        name = {h: struct.pack(f"<{m - 1}I", *(int(c[h]) for c in spelled)) for h in np.flatnonzero(hot).tolist()}
+        rows += [[PART, b, None, key, None, [*few[:, h].astype(float).tolist(), float(sums[h])]] for h, key in name.items()]
+        h0 = g0 = 0
+        for block, n, k in zip(blocks, heads, grams):
+            h, g = which[h0 : h0 + n], gram[g0 : g0 + k]
+            h0, g0 = h0 + n, g0 + k
+            if block != STORED:
+                rows.append([REPLY, b, block, None, _dump(total[g], few[:, h].ravel(), sums[h]), None])
+                rows += [[WISH, b, block, name[x], None, None] for x in h[hot[h]].tolist()]
+        return _rows(rows, ANSWER)
+
+    return run
 
 
 class Katz:
-    """A model over a corpus: its blocks, and the tables of tokens and of pairs."""
-
-    def __init__(self, docs: DataFrame, block_tokens: int = 1_500_000) -> None:
-        """``docs``: doc_id, text, train (boolean).  Null text counts as empty: its end alone."""
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("train"), F.lit(False)))
-        self.blocks = cut(make_blocks(rows, block_tokens), "katz-blocks")
-        n_blocks, entries = self.blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("vocab")) / 8, F.lit(0))).first()
-        self.token_buckets = max(16, int(entries // 400_000))
-        self.pair_buckets = max(16, n_blocks)
-        self.tokens = token_table(self.blocks, self.token_buckets)
-        types, total, *n = self._sums(self.tokens, K + 3)
-        self.unigrams = Unigrams(int(types), int(total), n)
-        self.pairs = pair_table(self.blocks, self.tokens, self.token_buckets, self.pair_buckets, self.unigrams)
-        self.discount = Discounts(self._sums(self.pairs, K + 1))
+    """A fitted model: tables of n-gram counts by order, in buckets, and the sums over all of them."""
+
+    def __init__(self, order: int = 3, block_tokens: int = 2_500_000, bucket_entries: int = 2_000_000, hot: int = 2_000_000, passes: int = 1) -> None:
+        """``passes``: the buckets of an order are asked in so many turns, which divides what one shuffle holds."""
+        if order < 2:
+            raise ValueError("the order is 2 at least")
+        self.order, self.block_tokens, self.bucket_entries, self.hot, self.passes = order, block_tokens, bucket_entries, hot, passes
+        self.tables: list[tuple[int, int, DataFrame]] = []  # order, turn, table
+
+    def fit(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+        """Learn from ``docs`` (doc_id, text, train) where ``train`` is true; scores of all of them.
+
+        Null text counts as empty: its end alone.  Without ``keep`` the tables are
+        deleted once all n-grams have their answers.
+        """
+        return self._run(docs, True, keep)
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Scores of any documents (doc_id, text) by the stored tables; ``held_out`` is true."""
+        if not self.tables:
+            raise ValueError("no tables: fit first, with keep")
+        return self._run(docs.select("doc_id", "text", F.lit(False).alias("train")), False, True)
+
+    def _run(self, docs: DataFrame, learn: bool, keep: bool) -> DataFrame:
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
+        with Scratch(rows.sparkSession) as scratch:
+            blocks = scratch.cut(make_blocks(rows, self.block_tokens), "katz-blocks")
+            sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "tokens", "entries")]
+            n_blocks, n_train, tokens, entries = blocks.agg(F.count(F.lit(1)), *sums).first()
+            if learn:
+                self.n_train = n_train
+                self.token_buckets = max(16, -(-entries // self.bucket_entries))
+                self.buckets = max(16, -(-tokens // self.bucket_entries))
+                self.discount: list[Discounts | None] = [None, None]
+            spread = max(1, n_blocks)
+            # order one
+            answers = self._answered(scratch, [ask_tokens(blocks, self.token_buckets)], 1, self.token_buckets, learn, lambda: answer_tokens(self.token_buckets))
+            numbered = scratch.cut(self._numbered(blocks, answers[0], spread), "katz-numbered")
+            scratch.drop(blocks)
+            scratch.drop_parts(answers[0], f"kind={REPLY}")
+            # the longer ones: each block is written again with what it has heard
+            block, n_train, hot, buckets, order = numbered, self.n_train, self.hot, self.buckets, self.order
+            for m in range(2, order + 1):
+                asked = [self._asks(block, m, turn) for turn in range(self.passes)]
+                answers = self._answered(scratch, asked, m, buckets, learn, lambda m=m: answer_grams(m, self.unigrams.discount if m == 2 else self.discount[m - 1]))
+                if m < order:
+                    after = scratch.cut(self._heard(block, answers, spread), f"katz-heard-{m}")
+                    scratch.drop(block)
+                    for a in answers:
+                        scratch.drop_parts(a, *(f"kind={k}" for k in (REPLY, PART, WISH)))
+                    block = after
+            if learn and not keep:
+                for _, _, t in self.tables:
+                    scratch.drop_parts(t, f"kind={TABLE}")
+                self.tables = []
+            out = cut(self._scored(block, answers, spread), "katz-scores")
+            if learn and keep:
+                for a in answers:
+                    scratch.drop_parts(a, *(f"kind={k}" for k in (REPLY, PART, WISH)))
+                scratch.keep(*(t for _, _, t in self.tables))
+            return out
+
+    def _answered(self, scratch: Scratch, asked: list[DataFrame], m: int, buckets: int, learn: bool, answer) -> list[DataFrame]:
+        """The written answers; learns the sums of order ``m``."""
+        out = []
+        for turn, ask in enumerate(asked):
+            if not learn:
+                stored = [t for n, k, t in self.tables if n == m and k == turn]
+                ask = ask.unionByName(stored[0].where(f"kind = {TABLE}").select("bucket", F.lit(STORED).cast("long").alias("block"), "data"))
+            out.append(scratch.cut(ask.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer(), ANSWER), f"katz-{m}", by="kind"))
+        if learn:
+            self.tables += [(m, turn, t) for turn, t in enumerate(out)]
+            n = K + 3 if m == 1 else K + 1
+            every = reduce(DataFrame.unionByName, out).where(f"kind = {TABLE}")
+            sums = list(every.agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(n)]).first())
+            if m == 1:
+                self.unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:])
+            else:
+                self.discount.append(Discounts(sums))
+        return out
+
+    def _numbered(self, blocks: DataFrame, answers: DataFrame, spread: int) -> DataFrame:
+        """Blocks with numbers and counts in place of hashes."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _rows([], "block long, data binary")
+            *head, _, _, stream = _load(left.column("data")[0].as_py())
+            replies = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
+            numbers, counts = (np.concatenate(x) for x in zip(*[_load(d) for _, d in replies]))
+            return _rows([[left.column("block")[0].as_py(), _dump(*head, numbers, counts, stream)]], "block long, data binary")
+
+        replies = answers.where(f"kind = {REPLY}").select("block", "bucket", "data")
+        left, right = (x.repartition(spread, "block").groupBy("block") for x in (blocks.select("block", "data"), replies))
+        return left.cogroup(right).applyInArrow(run, "block long, data binary")
+
+    def _opened(self):
+        """(block's value) -> the block with all it has heard: orders follow each other in the value."""
+        n_train, hot, buckets = self.n_train, self.hot, self.buckets
+
+        def opened(data: bytes) -> _Block:
+            values = _load(data)
+            x = _Block(values[:7], n_train, hot, buckets)
+            for at in range(7, len(values), 3):
+                level = x.levels[x.grow()]
+                level.count = values[at]
+                level.few, level.low = values[at + 1].reshape(K, -1).astype(float), values[at + 2]
+            return x
+
+        return opened
+
+    def _asks(self, block: DataFrame, m: int, turn: int) -> DataFrame:
+        opened, passes = self._opened(), self.passes
+
+        def run(batches):
+            for batch in batches:
+                for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    x = opened(data)
+                    x.grow()
+                    yield from _rows([[b, number, ask] for b, ask in x.asks(m, passes, turn)], ASK).to_batches()
+
+        return block.select("block", "data").mapInArrow(run, ASK)
 
     @staticmethod
-    def _sums(table: DataFrame, n: int) -> list[float]:
-        """Sums of the buckets' statistics: a handful of numbers."""
-        row = table.where("kind = 0").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(n)]).first()
-        return list(row)
-
-    def scores(self) -> DataFrame:
-        """Per document of the corpus: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        unigrams, discount, token_buckets, buckets = self.unigrams, self.discount, self.token_buckets, self.pair_buckets
-
-        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    def _replies(answers: list[DataFrame]) -> DataFrame:
+        """block, bucket, head, data, stats: the replies and the sums of hot histories."""
+        every = reduce(DataFrame.unionByName, answers)
+        replies = every.where(f"kind = {REPLY}").select("block", "bucket", "head", "data", "stats")
+        total = every.where(f"kind = {PART}").groupBy("head").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(K + 1)]).alias("stats"))
+        wishes = every.where(f"kind = {WISH}").select("block", "head").distinct().join(total, "head")
+        return replies.unionByName(wishes.select("block", F.lit(None).cast("int").alias("bucket"), "head", F.lit(None).cast("binary").alias("data"), "stats"))
+
+    def _cogrouped(self, block: DataFrame, answers: list[DataFrame], spread: int, made, schema: str) -> DataFrame:
+        opened = self._opened()
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
-                return _batch([], schema, kinds)
-            answers = right.to_pylist()
-            x = _Block(left.to_pylist()[0], [r for r in answers if r["of"] == 1], token_buckets)
-            of = {r["bucket"]: r for r in answers if r["of"] == 2}
-            single = unigrams(x.counts)
-            log_pair = np.zeros(len(x.tail))
-            for b, o in x.by_bucket(buckets):
-                row = of[b]
-                _, j = np.unique(x.head_id[o], return_inverse=True)
-                few = _unpack(row["ids"], np.uint32).reshape(K, -1)
-                count, events, mass = _unpack(row["counts"], np.uint32).astype(np.int64), _unpack(row["totals"], np.int64), _unpack(row["seen"], np.float64)
-                freed = discount.freed @ few
-                # a history whose followers are all frequent frees nothing: one event more is counted
-                scale = np.where(freed > 0, events, events + 1)
-                left_over = np.where(freed > 0, freed, 1.0) / scale
-                weight = np.where(events > 0, left_over / (1 - mass), 1.0)
-                p = np.where(count > 0, discount(count) / scale[j], weight[j] * single[x.tail[o]])
-                log_pair[o] = np.log10(p)
-            ends = np.cumsum(x.lengths) - x.lengths
-            base = np.log10((x.counts + 1) / (unigrams.total + unigrams.types + 1))[x.stream]
-            columns = [x.doc_ids, (~x.train).tolist(), x.lengths.tolist(), np.add.reduceat((x.counts > 0)[x.stream].astype(np.int64), ends).tolist(), [unigrams.total] * x.n, np.add.reduceat(base, ends).tolist(), np.add.reduceat(log_pair[x.place], ends).tolist()]
-            return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split(" ")[0] for f in schema.split(", ")])
-
-        tokens = self.tokens.where("kind = 1").select("block", F.lit(1).alias("of"), "bucket", "ids", "counts", F.lit(None).cast("binary").alias("totals"), F.lit(None).cast("binary").alias("seen"))
-        pairs = self.pairs.where("kind = 1").select("block", F.lit(2).alias("of"), "bucket", F.col("runs").alias("ids"), "counts", "totals", "seen")
-        return self.blocks.drop("counts").groupBy("block").cogroup(tokens.unionByName(pairs).groupBy("block")).applyInArrow(run, schema)
-
-
-def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+                return _rows([], schema)
+            data = left.column("data")[0].as_py()
+            x = opened(data)
+            replies, parts = {}, {}
+            for row in right.to_pylist():
+                if row["bucket"] is None:
+                    parts[row["head"]] = row["stats"]
+                else:
+                    replies[row["bucket"]] = row["data"]
+            x.hear(x.grow(), replies, parts)
+            return made(left.column("block")[0].as_py(), data, x)
+
+        left, right = (x.repartition(spread, "block").groupBy("block") for x in (block.select("block", "data"), self._replies(answers)))
+        return left.cogroup(right).applyInArrow(run, schema)
+
+    def _heard(self, block: DataFrame, answers: list[DataFrame], spread: int) -> DataFrame:
+        def made(number: int, data: bytes, x: _Block) -> pa.Table:
+            level = x.levels[-1]
+            return _rows([[number, data + _dump(level.count, level.few.astype(np.int64).ravel(), level.low)]], "block long, data binary")
+
+        return self._cogrouped(block, answers, spread, made, "block long, data binary")
+
+    def _scored(self, block: DataFrame, answers: list[DataFrame], spread: int) -> DataFrame:
+        unigrams, discount = self.unigrams, self.discount
+        return self._cogrouped(block, answers, spread, lambda number, data, x: x.scores(unigrams, discount), SCORES)
+
+
+def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3) -> DataFrame:
     """Learn from the documents whose crc32(doc_id as text) mod ``modulus`` is not ``held``; score all.
 
     Null text counts as empty (its end alone); a null doc_id hashes as the empty
     text; repeated rows count and are scored each; an empty table gives an empty
     result; other columns are ignored.
     """
-    return Katz(docs.select("doc_id", "text", (crc_mod("doc_id", modulus) != held).alias("train"))).scores()
+    return Katz(order).fit(docs.select("doc_id", "text", (crc_mod("doc_id", modulus) != held).alias("train")), keep=False)

@@ -188,16 +188,18 @@ def test_binary_fuse(n):
     assert made.contains(others).mean() < 0.02
 
 
-def brute_katz(texts):
+def brute_katz(texts, order):
     """(base, score) by plain dictionaries; follows the definitions, not the operator's code."""
     lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     tokens = [[*(t or "").encode().translate(lower).split(), "END"] for _, t in texts]
     train = [zlib.crc32(str("" if i is None else i).encode()) % 7 != 2 for i, _ in texts]
-    one, two = Counter(), Counter()
+    count = {m: Counter() for m in range(1, order + 1)}
     for w, t in zip(tokens, train):
         if t:
-            one.update(w)
-            two.update(zip(["BOS", *w], w))
+            marked = ["BOS", *w]
+            count[1].update((x,) for x in w)
+            for m in range(2, order + 1):
+                count[m].update(tuple(marked[k : k + m]) for k in range(len(marked) - m + 1))
 
     def discounts(counts):
         n = Counter(counts)
@@ -208,55 +210,79 @@ def brute_katz(texts):
             out[r] = d if 0 < d < 1 else (r - 0.5) / r
         return out
 
-    d1, d2 = discounts(one.values()), discounts(two.values())
-    total = sum(one.values())
-    left = sum((1 - d1[c]) * c for c in one.values() if c <= 5)
+    d = {m: discounts(count[m].values()) for m in count}
+    words = [w for (w,) in count[1]]
+    total = sum(count[1].values())
+    left = sum((1 - d[1][c]) * c for c in count[1].values() if c <= 5)
     scale, unknown = (total, left / total) if left else (total + 1, 1 / (total + 1))
-    p1 = {w: d1.get(c, 1) * c / scale for w, c in one.items()}
+    p1 = {w: d[1].get(c, 1) * c / scale for (w,), c in count[1].items()}
     assert math.isclose(sum(p1.values()) + unknown, 1)
     after = defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = c
+    for m in range(2, order + 1):
+        for gram, c in count[m].items():
+            after[gram[:-1]][gram[-1]] = c
+    models = {(): (p1, unknown)}
 
     def model(h):
-        seen = after.get(h)
-        if not seen:
-            return p1, unknown
-        events = sum(seen.values())
-        freed = sum((1 - d2[c]) * c for c in seen.values() if c <= 5)
-        size = events if freed else events + 1
-        alpha = (freed or 1) / size / (1 - sum(p1[w] for w in seen))
-        p = {w: d2.get(seen[w], 1) * seen[w] / size if w in seen else alpha * p1[w] for w in one}
-        assert math.isclose(sum(p.values()) + alpha * unknown, 1)
-        return p, alpha * unknown
-
-    models = {}
+        """(P of each known word, P of the unknown word) after ``h``."""
+        if h not in models:
+            p, rest = model(h[1:])
+            if seen := after.get(h):
+                few = d[len(h) + 1]
+                events = sum(seen.values())
+                freed = sum((1 - few[c]) * c for c in seen.values() if c <= 5)
+                size = events if freed else events + 1
+                alpha = (freed or 1) / size / (1 - sum(p[w] for w in seen))
+                p = {w: few.get(seen[w], 1) * seen[w] / size if w in seen else alpha * p[w] for w in words}
+                rest = alpha * rest
+                assert math.isclose(sum(p.values()) + rest, 1)
+            models[h] = p, rest
+        return models[h]
+
     out = []
     for (i, _), w, t in zip(texts, tokens, train):
-        score = 0.0
-        for h, x in zip(["BOS", *w], w):
-            if h not in models:
-                models[h] = model(h)
-            p, rest = models[h]
-            score += math.log10(p.get(x, rest))
-        base = sum(math.log10((one[x] + 1) / (total + len(one) + 1)) for x in w)
-        out.append((i, not t, len(w), sum(one[x] > 0 for x in w), total, base, score))
+        score, marked = 0.0, ["BOS", *w]
+        for k in range(1, len(marked)):
+            p, rest = model(tuple(marked[max(0, k - order + 1) : k]))
+            score += math.log10(p.get(marked[k], rest))
+        base = sum(math.log10((count[1][x,] + 1) / (total + len(words) + 1)) for x in w)
+        out.append((i, not t, len(w), sum(count[1][x,] > 0 for x in w), total, base, score))
     return out
 
 
-def test_katz(spark, none):
+def katz_texts():
     rng = np.random.default_rng(2)
     words = [f"v{k}" for k in range(40)]
     texts = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60)), p=np.arange(40, 0, -1) / 820))) for i in range(120)]
-    texts += [(900, None), (901, "Unseen words HERE"), (901, "Unseen words HERE"), (None, "v1 v2"), (902, "v1 " * 5000)]
-    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    got = sorted(rows(katz.score_corpus(df)), key=lambda r: (order(r[:1]), r[5]))
-    wanted = sorted(brute_katz(texts), key=lambda r: (order(r[:1]), r[5]))
+    return texts + [(900, None), (901, "Unseen words HERE"), (901, "Unseen words HERE"), (None, "v1 v2"), (902, "v1 " * 5000)]
+
+
+def same_scores(got, wanted):
+    got, wanted = (sorted(x, key=lambda r: (order(r[:1]), r[5])) for x in (got, wanted))
     assert [r[:5] for r in got] == [r[:5] for r in wanted]
     assert np.allclose([r[5:] for r in got], [r[5:] for r in wanted])
+
+
+def test_katz(spark, none):
+    texts = katz_texts()
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    same_scores(rows(katz.score_corpus(df)), brute_katz(texts, 3))
     assert rows(katz.score_corpus(none)) == []
 
 
+@pytest.mark.parametrize("n, hot, passes", [(2, 50, 1), (3, 50, 2), (4, 2_000_000, 1)])
+def test_katz_orders_hot_histories_and_other_texts(spark, n, hot, passes):
+    """Histories dealt over many buckets, buckets asked in turns, small blocks; stored tables score other texts alike."""
+    texts = katz_texts()
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    model = katz.Katz(n, block_tokens=700, bucket_entries=300, hot=hot, passes=passes)
+    got = rows(model.fit(df.withColumn("train", katz.crc_mod("doc_id", 7) != 2)))
+    wanted = brute_katz(texts, n)
+    same_scores(got, wanted)
+    again = rows(model.score(df.select("doc_id", "text")))
+    same_scores(again, [(r[0], True, *r[2:]) for r in wanted])
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST] <\\|im_start|> <|im_end|>\\<s>\n\\"
     turns = [(1, 0, "system", "be <s> good"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "assistant", None), (2, None, None, "x"), (2, 0, "a\nb\\", ""), (None, 0, "assistant", "é😀"), (1, 1, "user", said)]
