@@ -50,27 +50,44 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<d
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
-    """Arrays in one value: numbers in the narrowest type, by byte planes, compressed."""
+    """Arrays in one value: numbers in the narrowest type, by byte planes, compressed; of
+    fractions that repeat, the different ones and which."""
     parts = []
-    for x in map(np.asarray, arrays):
-        if x.dtype.kind in "bu" or x.dtype.kind == "i" and (not len(x) or x.min() >= 0):
+
+    def put(x: np.ndarray, kind: bytes = b"") -> None:
+        if x.dtype.kind in "bui" and (not len(x) or x.dtype.kind != "i" or x.min() >= 0):
             top = int(x.max()) if len(x) else 0
             x = x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
         size = x.dtype.itemsize
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T if len(x) else b""
-        data = zstandard.compress(np.ascontiguousarray(planes).tobytes() if len(x) else b"", 3)
-        parts += [struct.pack("<cBQ", x.dtype.kind.encode(), size, len(data)), data]
+        planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T).tobytes() if len(x) else b""
+        data = zstandard.compress(planes, 3)
+        parts.extend([struct.pack("<cBQ", kind or x.dtype.kind.encode(), size, len(data)), data])
+
+    for x in map(np.asarray, arrays):
+        if x.dtype.kind == "f" and len(x):
+            every, which = np.unique(x, return_inverse=True)
+            if 4 * len(every) < len(x):
+                put(every, b"D")
+                x = which
+        put(x)
     return b"".join(parts)
 
 
 def _load(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, every = [], 0, None
     while at < len(data):
         kind, size, n = struct.unpack_from("<cBQ", data, at)
         planes = np.frombuffer(zstandard.decompress(data[at + 10 : at + 10 + n]), np.uint8).reshape(size, -1)
-        x = np.ascontiguousarray(planes.T).reshape(-1).view(f"<{kind.decode()}{size}")
-        out.append(x.astype(np.int64) if kind == b"u" and size < 8 else x)
+        x = np.ascontiguousarray(planes.T).reshape(-1)
         at += 10 + n
+        if kind == b"D":
+            every = x.view("<f8")
+            continue
+        x = x.view(f"<{kind.decode()}{size}")
+        if kind == b"u" and size < 8:
+            x = x.astype(np.int64)
+        out.append(x if every is None else every[x])
+        every = None
     return out
 
 
@@ -84,15 +101,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def _fold(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of each row's combination in sorted order, first row of each, the sorted keys) of columns below 2**32."""
-    key = columns[0].astype(_U)
-    for k, c in enumerate(columns[1:]):
-        if k:
-            key = np.unique(key, return_inverse=True)[1].astype(_U)
-        key = key << _U(32) | c.astype(_U)
-    every, first, where = np.unique(key, return_index=True, return_inverse=True)
-    return where, first, every
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The stable order of rows by columns of whole numbers, the first counts most.
+
+    Columns share a word with the row number where they fit, so that plain values are sorted.
+    """
+    n = len(columns[0])
+    bits, order, word, used = max(1, n.bit_length()), None, None, 0
+
+    def sorted_by(key, order):
+        key = key if order is None else key[order]
+        if int(key.max()).bit_length() + bits > 63:
+            step = np.argsort(key, kind="stable")
+        else:
+            step = np.sort(key << bits | np.arange(n)) & ((1 << bits) - 1)
+        return step if order is None else order[step]
+
+    if not n:
+        return np.zeros(0, np.int64)
+    for c in reversed(columns):
+        c = c.astype(np.int64, copy=False)
+        size = int(c.max()).bit_length()
+        if word is not None and used + size + bits > 63:
+            order, word, used = sorted_by(word, order), None, 0
+        word, used = (c, size) if word is None else (c << used | word, used + size)
+    return sorted_by(word, order)
+
+
+def _groups(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's combination in sorted order, a row of each)."""
+    order = _order(columns)
+    new = _starts([c[order] for c in columns])
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return where, order[new]
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """True where a row differs from that before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return new
 
 
 class _Local(dict):
@@ -230,7 +279,7 @@ class _Level:
     def __init__(self, place, head, tail, suffix, own, below: int) -> None:
         self.place, self.head, self.tail, self.suffix, self.own = place, head, tail, suffix, own
         self.count = np.zeros(len(tail), np.int64)
-        self.few, self.low = np.zeros((K, below)), np.zeros(below)
+        self.few, self.low = np.zeros((K, below), np.int32), np.zeros(below)
 
 
 class _Block:
@@ -242,11 +291,11 @@ class _Block:
         self.train, self.hot, self.buckets = train.astype(bool), hot, buckets
         starts = np.cumsum(self.lengths) - self.lengths + np.arange(len(self.lengths))
         self.v = len(self.numbers)  # the start mark's place in the vocabulary
-        self.stream = np.full(int(self.lengths.sum()) + len(starts), self.v)
+        self.stream = np.full(int(self.lengths.sum()) + len(starts), self.v, np.int32)
         inside = np.ones(len(self.stream), bool)
         inside[starts] = False
         self.stream[inside] = stream
-        self.depth = np.arange(len(self.stream)) - np.repeat(starts, self.lengths + 1)
+        self.depth = (np.arange(len(self.stream)) - np.repeat(starts, self.lengths + 1)).astype(np.int32)
         self.learned = np.repeat(self.train, self.lengths + 1)
         self.starts = starts
         self.numbers = np.append(self.numbers, 0)
@@ -258,13 +307,12 @@ class _Block:
         """Adds the next order; returns it."""
         m, prior = len(self.levels), self.levels[-1].place
         j = np.flatnonzero(self.depth >= m - 1)
-        key = prior[j - 1] * (self.v + 1) + self.stream[j]
-        every, first, where = np.unique(key, return_index=True, return_inverse=True)
-        place = np.full(len(prior), -1)
+        head, tail = prior[j - 1], self.stream[j]
+        where, first = _groups([head, tail])
+        place = np.full(len(prior), -1, np.int32)
         place[j] = where
-        own = np.bincount(where, self.learned[j], len(every)).astype(np.int64)
-        head, tail = np.divmod(every, self.v + 1)
-        self.levels.append(_Level(place, head, tail, prior[j[first]], own, len(self.levels[-1].tail)))
+        own = np.bincount(where[self.learned[j]], minlength=len(first)).astype(np.int32)
+        self.levels.append(_Level(place, head[first], tail[first], prior[j[first]], own, len(self.levels[-1].tail)))
         return m
 
     def spelled(self, m: int, which: np.ndarray) -> list[np.ndarray]:
@@ -291,20 +339,15 @@ class _Block:
         parts = np.maximum(1, -(-below[head] // self.hot))
         part = np.where(parts > 1, _mix(tail.astype(_U)) % parts.astype(_U), _U(0))
         mixed = reduce(lambda x, c: _mix(x + c.astype(_U)), columns, part)
-        bucket = (mixed >> _U(16)) % _U(self.buckets)
-        if m == 2:
-            order = np.lexsort((columns[0] << 32 | tail, bucket))
-        else:
-            order = np.lexsort((columns[-1] << 32 | tail, *reversed(columns[1:-1]), bucket << _U(32) | columns[0].astype(_U)))
+        bucket = ((mixed >> _U(16)) % _U(self.buckets)).astype(np.int64)
+        order = _order([bucket, *columns, tail])
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         return gram[order], head[order], [c[order] for c in columns], tail[order], parts[order], cuts
 
     @staticmethod
     def runs(columns: list[np.ndarray]) -> np.ndarray:
         """Where each history's run begins."""
-        new = np.ones(len(columns[0]), bool)
-        new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
-        return np.flatnonzero(new)
+        return np.flatnonzero(_starts(columns))
 
     def asks(self, m: int, passes: int, turn: int) -> list[tuple[int, bytes]]:
         gram, head, columns, tail, parts, cuts = self.entries(m)
@@ -388,11 +431,12 @@ def answer_grams(m: int, lower: Discounts):
         heads = [len(x) for x in runs]
         grams = [len(x) for x in tail]
         columns = [np.concatenate(c) for c in columns]
-        which, first, _ = _fold(columns)
-        gram, one, keys = _fold([np.repeat(which, np.concatenate(runs)), np.concatenate(tail)])
+        which, first = _groups(columns)
+        tail, of = np.concatenate(tail), np.repeat(which, np.concatenate(runs))
+        gram, one = _groups([of, tail])
+        of, tail = of[one], tail[one]
         total = np.bincount(gram, np.concatenate(own), len(one)).astype(np.int64)
         low = np.concatenate(low)[one]
-        of = (keys >> _U(32)).astype(np.int64)
         seen = total > 0
         few = np.stack([np.bincount(of[total == r], minlength=len(first)) for r in range(1, K + 1)])
         sums = np.bincount(of[seen], lower(low[seen]), len(first))
@@ -401,7 +445,7 @@ def answer_grams(m: int, lower: Discounts):
         at = _Block.runs([of[seen]]) if seen.any() else np.zeros(0, np.int64)
         stats = [float((total == r).sum()) for r in range(1, K + 2)]
         inner = [c[of[seen]] for c in spelled]
-        rows = [[TABLE, b, None, None, _ask(inner, at, (keys[seen] & _U(0xFFFFFFFF)).astype(np.int64), total[seen], low[seen], split[of[seen]][at]), stats]]
+        rows = [[TABLE, b, None, None, _ask(inner, at, tail[seen], total[seen], low[seen], split[of[seen]][at]), stats]]
         hot = split > 1
         name = {h: struct.pack(f"<{m - 1}I", *(int(c[h]) for c in spelled)) for h in np.flatnonzero(hot).tolist()}
         rows += [[PART, b, None, key, None, [*few[:, h].astype(float).tolist(), float(sums[h])]] for h, key in name.items()]
@@ -420,7 +464,7 @@ def answer_grams(m: int, lower: Discounts):
 class Katz:
     """A fitted model: tables of n-gram counts by order, in buckets, and the sums over all of them."""
 
-    def __init__(self, order: int = 3, block_tokens: int = 2_500_000, bucket_entries: int = 2_000_000, hot: int = 2_000_000, passes: int = 1) -> None:
+    def __init__(self, order: int = 3, block_tokens: int = 1_250_000, bucket_entries: int = 2_000_000, hot: int = 2_000_000, passes: int = 1) -> None:
         """``passes``: the buckets of an order are asked in so many turns, which divides what one shuffle holds."""
         if order < 2:
             raise ValueError("the order is 2 at least")
@@ -524,7 +568,7 @@ class Katz:
             for at in range(7, len(values), 3):
                 level = x.levels[x.grow()]
                 level.count = values[at]
-                level.few, level.low = values[at + 1].reshape(K, -1).astype(float), values[at + 2]
+                level.few, level.low = values[at + 1].reshape(K, -1).astype(np.int32), values[at + 2]
             return x
 
         return opened
@@ -573,7 +617,7 @@ class Katz:
     def _heard(self, block: DataFrame, answers: list[DataFrame], spread: int) -> DataFrame:
         def made(number: int, data: bytes, x: _Block) -> pa.Table:
             level = x.levels[-1]
-            return _rows([[number, data + _dump(level.count, level.few.astype(np.int64).ravel(), level.low)]], "block long, data binary")
+            return _rows([[number, data + _dump(level.count, level.few.ravel(), level.low)]], "block long, data binary")
 
         return self._cogrouped(block, answers, spread, made, "block long, data binary")
 
