@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,16 +39,22 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/ledgerframe/{tag}-{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame, tag: str, compression: str, by: str | None = None) -> str:
-    spark = df.sparkSession
-    path = work_path(spark, tag)
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Within it, the shuffles behind a query that has ended are deleted (a setting of Spark's)."""
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        out = df.write.option("compression", compression)
-        (out.partitionBy(by) if by else out).parquet(path)
+        yield
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def _written(df: DataFrame, tag: str, compression: str, by: str | None = None) -> str:
+    path = work_path(df.sparkSession, tag)
+    with shuffles_cleaned(df.sparkSession):
+        out = df.write.option("compression", compression)
+        (out.partitionBy(by) if by else out).parquet(path)
     return path
 
 
@@ -64,7 +71,7 @@ class Scratch:
     """The written tables of one job; those not handed out are deleted when they are not needed any more."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.names = spark, {}, {}
 
     def cut(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
         """As ``cut``, in folders by the values of ``by``; the table lives until ``drop`` or the end of the job."""
@@ -73,6 +80,17 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def cut_placed(self, df: DataFrame, tag: str, column: str, buckets: int) -> DataFrame:
+        """As ``cut``, bucketed by ``column``: a later grouping by it in as many partitions moves no row."""
+        path = work_path(self.spark, tag)
+        name = "ledgerframe_" + path.rpartition("-")[2]
+        with shuffles_cleaned(self.spark):
+            df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)] = (path, out)
+        self.names[path] = name
+        return out
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             if id(table) in self.paths:
@@ -89,6 +107,8 @@ class Scratch:
             self.paths.pop(id(table), None)
 
     def _delete(self, path: str) -> None:
+        if path in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(path)}")
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -106,3 +126,11 @@ def crc_mod(column: str, modulus: int) -> Column:
     """crc32(column as text) mod ``modulus``; a null column counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
+
+
+def unused(names: list[str], name: str = "_own") -> str:
+    """A column name that is not among ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name

@@ -172,7 +172,7 @@ def make_blocks(docs: DataFrame, tokens: int) -> DataFrame:
 
         for batch in batches:
             for doc_id, text, learn in zip(*(c.to_pylist() for c in batch.columns)):
-                words = (text or "").encode().translate(UPPER).split()
+                words = (text or b"").translate(UPPER).split()
                 words.append(END)
                 stream.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
                 lengths.append(len(words))
@@ -322,9 +322,9 @@ class _Block:
         level = self.levels[m]
         return [*self.spelled(m - 1, level.head[which]), self.numbers[level.tail[which]]]
 
-    def entries(self, m: int):
-        """What order ``m`` asks, sorted by bucket, history and follower: n-grams (-1: none, a
-        history alone), histories, their columns, followers, parts of a history, bounds of buckets."""
+    def entries(self, m: int, passes: int = 1, turn: int = 0):
+        """What order ``m`` asks (in one turn), sorted by bucket, history and follower: n-grams (-1: none,
+        a history alone), histories, their columns, followers, parts of a history, bounds of buckets."""
         level, below = self.levels[m], self.levels[m - 1].count
         some = below[level.head] > 0
         gram = np.flatnonzero(some & (below[level.suffix] > 0))
@@ -340,6 +340,10 @@ class _Block:
         part = np.where(parts > 1, _mix(tail.astype(_U)) % parts.astype(_U), _U(0))
         mixed = reduce(lambda x, c: _mix(x + c.astype(_U)), columns, part)
         bucket = ((mixed >> _U(16)) % _U(self.buckets)).astype(np.int64)
+        if passes > 1:
+            now = np.flatnonzero(bucket % passes == turn)
+            gram, head, tail, parts, bucket = (x[now] for x in (gram, head, tail, parts, bucket))
+            columns = [c[now] for c in columns]
         order = _order([bucket, *columns, tail])
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         return gram[order], head[order], [c[order] for c in columns], tail[order], parts[order], cuts
@@ -350,7 +354,7 @@ class _Block:
         return np.flatnonzero(_starts(columns))
 
     def asks(self, m: int, passes: int, turn: int) -> list[tuple[int, bytes]]:
-        gram, head, columns, tail, parts, cuts = self.entries(m)
+        gram, head, columns, tail, parts, cuts = self.entries(m, passes, turn)
         level = self.levels[m]
         own = np.where(gram >= 0, level.own[gram], 0)
         low = np.where(gram >= 0, self.levels[m - 1].count[level.suffix[gram]], 0)
@@ -464,8 +468,8 @@ def answer_grams(m: int, lower: Discounts):
 class Katz:
     """A fitted model: tables of n-gram counts by order, in buckets, and the sums over all of them."""
 
-    def __init__(self, order: int = 3, block_tokens: int = 1_250_000, bucket_entries: int = 2_000_000, hot: int = 2_000_000, passes: int = 1) -> None:
-        """``passes``: the buckets of an order are asked in so many turns, which divides what one shuffle holds."""
+    def __init__(self, order: int = 3, block_tokens: int = 1_250_000, bucket_entries: int = 1_000_000, hot: int = 1_000_000, passes: int = 2) -> None:
+        """``passes``: the buckets of an order above two are asked in so many turns, which divides what one shuffle holds."""
         if order < 2:
             raise ValueError("the order is 2 at least")
         self.order, self.block_tokens, self.bucket_entries, self.hot, self.passes = order, block_tokens, bucket_entries, hot, passes
@@ -474,8 +478,8 @@ class Katz:
     def fit(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Learn from ``docs`` (doc_id, text, train) where ``train`` is true; scores of all of them.
 
-        Null text counts as empty: its end alone.  Without ``keep`` the tables are
-        deleted once all n-grams have their answers.
+        Null text counts as empty: its end alone.  Without ``keep`` each table is
+        deleted once all its n-grams have their answers.
         """
         return self._run(docs, True, keep)
 
@@ -486,7 +490,7 @@ class Katz:
         return self._run(docs.select("doc_id", "text", F.lit(False).alias("train")), False, True)
 
     def _run(self, docs: DataFrame, learn: bool, keep: bool) -> DataFrame:
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
         with Scratch(rows.sparkSession) as scratch:
             blocks = scratch.cut(make_blocks(rows, self.block_tokens), "katz-blocks")
             sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "tokens", "entries")]
@@ -498,25 +502,22 @@ class Katz:
                 self.discount: list[Discounts | None] = [None, None]
             spread = max(1, n_blocks)
             # order one
-            answers = self._answered(scratch, [ask_tokens(blocks, self.token_buckets)], 1, self.token_buckets, learn, lambda: answer_tokens(self.token_buckets))
-            numbered = scratch.cut(self._numbered(blocks, answers[0], spread), "katz-numbered")
+            answers = self._answered(scratch, [ask_tokens(blocks, self.token_buckets)], 1, self.token_buckets, learn, keep, lambda: answer_tokens(self.token_buckets))
+            numbered = scratch.cut_placed(self._numbered(blocks, answers[0], spread), "katz-numbered", "block", spread)
             scratch.drop(blocks)
             scratch.drop_parts(answers[0], f"kind={REPLY}")
             # the longer ones: each block is written again with what it has heard
             block, n_train, hot, buckets, order = numbered, self.n_train, self.hot, self.buckets, self.order
             for m in range(2, order + 1):
-                asked = [self._asks(block, m, turn) for turn in range(self.passes)]
-                answers = self._answered(scratch, asked, m, buckets, learn, lambda m=m: answer_grams(m, self.unigrams.discount if m == 2 else self.discount[m - 1]))
+                passes = self.passes if m > 2 else 1
+                asked = [self._asks(block, m, passes, turn) for turn in range(passes)]
+                answers = self._answered(scratch, asked, m, buckets, learn, keep, lambda m=m: answer_grams(m, self.unigrams.discount if m == 2 else self.discount[m - 1]))
                 if m < order:
-                    after = scratch.cut(self._heard(block, answers, spread), f"katz-heard-{m}")
+                    after = scratch.cut_placed(self._heard(block, answers, spread), f"katz-heard-{m}", "block", spread)
                     scratch.drop(block)
                     for a in answers:
                         scratch.drop_parts(a, *(f"kind={k}" for k in (REPLY, PART, WISH)))
                     block = after
-            if learn and not keep:
-                for _, _, t in self.tables:
-                    scratch.drop_parts(t, f"kind={TABLE}")
-                self.tables = []
             out = cut(self._scored(block, answers, spread), "katz-scores")
             if learn and keep:
                 for a in answers:
@@ -524,23 +525,26 @@ class Katz:
                 scratch.keep(*(t for _, _, t in self.tables))
             return out
 
-    def _answered(self, scratch: Scratch, asked: list[DataFrame], m: int, buckets: int, learn: bool, answer) -> list[DataFrame]:
+    def _answered(self, scratch: Scratch, asked: list[DataFrame], m: int, buckets: int, learn: bool, keep: bool, answer) -> list[DataFrame]:
         """The written answers; learns the sums of order ``m``."""
-        out = []
+        out, n = [], K + 3 if m == 1 else K + 1
+        sums = np.zeros(n)
         for turn, ask in enumerate(asked):
             if not learn:
-                stored = [t for n, k, t in self.tables if n == m and k == turn]
+                stored = [t for order, k, t in self.tables if order == m and k == turn]
                 ask = ask.unionByName(stored[0].where(f"kind = {TABLE}").select("bucket", F.lit(STORED).cast("long").alias("block"), "data"))
-            out.append(scratch.cut(ask.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer(), ANSWER), f"katz-{m}", by="kind"))
-        if learn:
-            self.tables += [(m, turn, t) for turn, t in enumerate(out)]
-            n = K + 3 if m == 1 else K + 1
-            every = reduce(DataFrame.unionByName, out).where(f"kind = {TABLE}")
-            sums = list(every.agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(n)]).first())
-            if m == 1:
-                self.unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:])
-            else:
-                self.discount.append(Discounts(sums))
+            made = scratch.cut(ask.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer(), ANSWER), f"katz-{m}", by="kind")
+            out.append(made)
+            if learn:
+                sums += made.where(f"kind = {TABLE}").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(n)]).first()
+                if keep:
+                    self.tables.append((m, turn, made))
+                else:
+                    scratch.drop_parts(made, f"kind={TABLE}")
+        if learn and m == 1:
+            self.unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:].tolist())
+        elif learn:
+            self.discount.append(Discounts(sums.tolist()))
         return out
 
     def _numbered(self, blocks: DataFrame, answers: DataFrame, spread: int) -> DataFrame:
@@ -573,8 +577,8 @@ class Katz:
 
         return opened
 
-    def _asks(self, block: DataFrame, m: int, turn: int) -> DataFrame:
-        opened, passes = self._opened(), self.passes
+    def _asks(self, block: DataFrame, m: int, passes: int, turn: int) -> DataFrame:
+        opened = self._opened()
 
         def run(batches):
             for batch in batches:
@@ -611,7 +615,8 @@ class Katz:
             x.hear(x.grow(), replies, parts)
             return made(left.column("block")[0].as_py(), data, x)
 
-        left, right = (x.repartition(spread, "block").groupBy("block") for x in (block.select("block", "data"), self._replies(answers)))
+        # the blocks lie in as many buckets already: only the replies move
+        left, right = block.select("block", "data").groupBy("block"), self._replies(answers).repartition(spread, "block").groupBy("block")
         return left.cogroup(right).applyInArrow(run, schema)
 
     def _heard(self, block: DataFrame, answers: list[DataFrame], spread: int) -> DataFrame:
