@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +37,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, crc_mod, cut
 
 K = 5
-UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 END = b" end"  # no word holds a space
 BLOCK = "block long, n_docs long, n_train long, tokens long, entries long, data binary"
 ASK = "bucket int, block long, data binary"
@@ -50,44 +50,25 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<d
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
-    """Arrays in one value: numbers in the narrowest type, by byte planes, compressed; of
-    fractions that repeat, the different ones and which."""
+    """Arrays of whole numbers in one value: in the narrowest type, by byte planes, compressed."""
     parts = []
-
-    def put(x: np.ndarray, kind: bytes = b"") -> None:
-        if x.dtype.kind in "bui" and (not len(x) or x.dtype.kind != "i" or x.min() >= 0):
-            top = int(x.max()) if len(x) else 0
-            x = x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
-        size = x.dtype.itemsize
-        planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T).tobytes() if len(x) else b""
-        data = zstandard.compress(planes, 3)
-        parts.extend([struct.pack("<cBQ", kind or x.dtype.kind.encode(), size, len(data)), data])
-
     for x in map(np.asarray, arrays):
-        if x.dtype.kind == "f" and len(x):
-            every, which = np.unique(x, return_inverse=True)
-            if 4 * len(every) < len(x):
-                put(every, b"D")
-                x = which
-        put(x)
+        top = int(x.max()) if len(x) else 0
+        x = np.ascontiguousarray(x, next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
+        planes = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if len(x) else b""
+        data = zstandard.compress(planes, 3)
+        parts += [struct.pack("<BQ", x.itemsize, len(data)), data]
     return b"".join(parts)
 
 
 def _load(data: bytes) -> list[np.ndarray]:
-    out, at, every = [], 0, None
+    out, at = [], 0
     while at < len(data):
-        kind, size, n = struct.unpack_from("<cBQ", data, at)
-        planes = np.frombuffer(zstandard.decompress(data[at + 10 : at + 10 + n]), np.uint8).reshape(size, -1)
-        x = np.ascontiguousarray(planes.T).reshape(-1)
-        at += 10 + n
-        if kind == b"D":
-            every = x.view("<f8")
-            continue
-        x = x.view(f"<{kind.decode()}{size}")
-        if kind == b"u" and size < 8:
-            x = x.astype(np.int64)
-        out.append(x if every is None else every[x])
-        every = None
+        size, n = struct.unpack_from("<BQ", data, at)
+        planes = np.frombuffer(zstandard.decompress(data[at + 9 : at + 9 + n]), np.uint8).reshape(size, -1)
+        x = np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}")
+        out.append(x.astype(np.int64) if size < 8 else x)
+        at += 9 + n
     return out
 
 
@@ -150,8 +131,26 @@ class _Local(dict):
         return n
 
 
-def make_blocks(docs: DataFrame, tokens: int) -> DataFrame:
-    """Blocks of whole documents (doc_id, text, train), about ``tokens`` tokens each; document bounds are kept."""
+def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, their indices text after text, number of words of each text): A-Z
+    lower-cased, split at ASCII white space."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = words.flatten().dictionary_encode()
+    found = flat.indices.to_numpy(zero_copy_only=False)
+    counts = np.diff(words.offsets.to_numpy())
+    empty = pc.index(flat.dictionary, "").as_py()
+    if empty >= 0:  # white space at a text's ends leaves empty words
+        real = found != empty
+        counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
+        found = found[real]
+    return flat.dictionary, found, counts
+
+
+def make_blocks(docs: DataFrame, tokens: int, rows: int = 400) -> DataFrame:
+    """Blocks of whole documents (doc_id, text, train), about ``tokens`` tokens each; document bounds are kept.
+
+    ``rows`` documents are split at a time, and a block ends between two such slices.
+    """
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << 24, 0
@@ -159,26 +158,32 @@ def make_blocks(docs: DataFrame, tokens: int) -> DataFrame:
         size = 0
 
         def closed():
-            flat = np.concatenate(stream)
-            counts = np.bincount(flat[np.repeat(np.array(train, bool), lengths)], minlength=len(local))
+            flat, sizes = np.concatenate(stream), np.concatenate(lengths)
+            counts = np.bincount(flat[np.repeat(np.array(train, bool), sizes)], minlength=len(local))
             hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in local]), "<u8")
             # the vocabulary goes in the order of its hashes
             order = np.argsort(hashes)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             numbers = np.array([0 if i is None else i for i in ids], np.int64)
-            data = _dump(numbers.view(_U), np.array([i is None for i in ids]), np.array(lengths), np.array(train, bool), np.diff(hashes[order], prepend=_U(0)), counts[order], place[flat])
+            data = _dump(numbers.view(_U), np.array([i is None for i in ids]), sizes, np.array(train, bool), np.diff(hashes[order], prepend=_U(0)), counts[order], place[flat])
             return _rows([[base + made, len(ids), sum(train), size, len(local), data]], BLOCK).to_batches()[0]
 
-        for batch in batches:
-            for doc_id, text, learn in zip(*(c.to_pylist() for c in batch.columns)):
-                words = (text or b"").translate(UPPER).split()
-                words.append(END)
-                stream.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
-                lengths.append(len(words))
-                ids.append(doc_id)
-                train.append(bool(learn))
-                size += len(words)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                words, found, counts = tokenized(batch.column(1))
+                mine = np.fromiter(map(local.__getitem__, words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+                ends = np.cumsum(counts + 1) - 1
+                part = np.full(len(found) + len(counts), local[END])
+                inside = np.ones(len(part), bool)
+                inside[ends] = False
+                part[inside] = mine[found]
+                stream.append(part)
+                lengths.append(counts + 1)
+                ids += batch.column(0).to_pylist()
+                train += batch.column(2).to_pylist()
+                size += len(part)
                 if size >= tokens:
                     yield closed()
                     made += 1
@@ -253,6 +258,10 @@ class Discounts:
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         return self.factor[np.minimum(counts, K + 1)] * counts
 
+    def sums(self, low: np.ndarray) -> np.ndarray:
+        """Discounted counts, summed: ``low`` has how many are 1 to K, and the sum of the others."""
+        return (self.factor[1 : K + 1] * np.arange(1, K + 1)) @ low[:K] + low[K]
+
 
 class Unigrams:
     """P(token): discounted where known; what is left is the unknown token's."""
@@ -272,14 +281,15 @@ class _Level:
 
     ``place``: the n-gram that ends at each position; ``head`` and ``suffix``: its history and
     the n-gram without its first token, as places in the order below; ``count``: in training.
-    ``few`` and ``low`` belong to the histories: followers with count 1 to K, and the
-    discounted counts that the followers have without the history's first token, summed.
+    ``few`` and ``low`` belong to the histories: followers with count 1 to K; and of the counts
+    that the followers have without the history's first token, how many are 1 to K, and the
+    sum of the larger ones (whole numbers travel better than what they are multiplied to).
     """
 
     def __init__(self, place, head, tail, suffix, own, below: int) -> None:
         self.place, self.head, self.tail, self.suffix, self.own = place, head, tail, suffix, own
         self.count = np.zeros(len(tail), np.int64)
-        self.few, self.low = np.zeros((K, below), np.int32), np.zeros(below)
+        self.few, self.low = np.zeros((K, below), np.int32), np.zeros((K + 1, below), np.int64)
 
 
 class _Block:
@@ -287,7 +297,7 @@ class _Block:
 
     def __init__(self, values: list[np.ndarray], n_train: int, hot: int, buckets: int) -> None:
         ids, null, self.lengths, train, self.numbers, counts, stream = values
-        self.doc_ids = [None if z else int(i) for i, z in zip(ids.view(np.int64) if ids.dtype == _U else ids, null)]
+        self.doc_ids = [None if z else int(i) for i, z in zip(ids.view(np.int64), null)]
         self.train, self.hot, self.buckets = train.astype(bool), hot, buckets
         starts = np.cumsum(self.lengths) - self.lengths + np.arange(len(self.lengths))
         self.v = len(self.numbers)  # the start mark's place in the vocabulary
@@ -377,11 +387,11 @@ class _Block:
             g = gram[i:j]
             level.count[g[g >= 0]] = total[g >= 0]
             h = head[i:j][self.runs([c[i:j] for c in columns])]
-            level.few[:, h], level.low[h] = few.reshape(K, -1), low
+            level.few[:, h], level.low[:, h] = few.reshape(K, -1), low.reshape(K + 1, -1)
         at = np.flatnonzero(split > 1)
         for h, *key in zip(*(x[at].tolist() for x in (head, *columns))):
-            *few, low = parts[struct.pack(f"<{len(key)}I", *key)]
-            level.few[:, h], level.low[h] = few, low
+            sums = parts[struct.pack(f"<{len(key)}I", *key)]
+            level.few[:, h], level.low[:, h] = sums[:K], sums[K:]
 
     def scale(self, m: int, discount: list) -> np.ndarray:
         """The denominators of the histories of order ``m``: their counts, and one event more where nothing is freed."""
@@ -399,7 +409,8 @@ class _Block:
         left = np.where(freed > 0, freed, 1.0) / np.maximum(scale, 1)
         # the shorter history of each history is that of any n-gram without its first token
         below = unigrams.scale if m == 2 else self.scale(m - 1, discount)[self.levels[m - 1].head[level.suffix]]
-        mass = level.low[level.head] / np.maximum(below, 1)
+        lows = (unigrams.discount if m == 2 else discount[m - 1]).sums(level.low)
+        mass = lows[level.head] / np.maximum(below, 1)
         weight = np.where(count[level.head] > 0, left[level.head] / np.maximum(1 - mass, 1e-300), 1.0)
         return np.where(level.count > 0, discount[m](level.count) / np.maximum(scale[level.head], 1), weight * lower)
 
@@ -424,7 +435,7 @@ def _ask(columns, at, tail, own, low, parts) -> bytes:
     return _dump(*heads, np.diff(np.append(at, len(tail))), tail, own, low, parts)
 
 
-def answer_grams(m: int, lower: Discounts):
+def answer_grams(m: int):
     """A bucket of order ``m``: adds up, makes its table, answers the blocks."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -443,7 +454,9 @@ def answer_grams(m: int, lower: Discounts):
         low = np.concatenate(low)[one]
         seen = total > 0
         few = np.stack([np.bincount(of[total == r], minlength=len(first)) for r in range(1, K + 1)])
-        sums = np.bincount(of[seen], lower(low[seen]), len(first))
+        lows = [np.bincount(of[seen & (low == r)], minlength=len(first)) for r in range(1, K + 1)]
+        large = seen & (low > K)
+        lows = np.stack([*lows, np.bincount(of[large], low[large], len(first)).astype(np.int64)])
         split = np.concatenate(parts)[first]
         spelled = [c[first] for c in columns]
         at = _Block.runs([of[seen]]) if seen.any() else np.zeros(0, np.int64)
@@ -452,13 +465,13 @@ def answer_grams(m: int, lower: Discounts):
         rows = [[TABLE, b, None, None, _ask(inner, at, tail[seen], total[seen], low[seen], split[of[seen]][at]), stats]]
         hot = split > 1
         name = {h: struct.pack(f"<{m - 1}I", *(int(c[h]) for c in spelled)) for h in np.flatnonzero(hot).tolist()}
-        rows += [[PART, b, None, key, None, [*few[:, h].astype(float).tolist(), float(sums[h])]] for h, key in name.items()]
+        rows += [[PART, b, None, key, None, [*few[:, h].astype(float).tolist(), *lows[:, h].astype(float).tolist()]] for h, key in name.items()]
         h0 = g0 = 0
         for block, n, k in zip(blocks, heads, grams):
             h, g = which[h0 : h0 + n], gram[g0 : g0 + k]
             h0, g0 = h0 + n, g0 + k
             if block != STORED:
-                rows.append([REPLY, b, block, None, _dump(total[g], few[:, h].ravel(), sums[h]), None])
+                rows.append([REPLY, b, block, None, _dump(total[g], few[:, h].ravel(), lows[:, h].ravel()), None])
                 rows += [[WISH, b, block, name[x], None, None] for x in h[hot[h]].tolist()]
         return _rows(rows, ANSWER)
 
@@ -490,7 +503,7 @@ class Katz:
         return self._run(docs.select("doc_id", "text", F.lit(False).alias("train")), False, True)
 
     def _run(self, docs: DataFrame, learn: bool, keep: bool) -> DataFrame:
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
+        rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
         with Scratch(rows.sparkSession) as scratch:
             blocks = scratch.cut(make_blocks(rows, self.block_tokens), "katz-blocks")
             sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "tokens", "entries")]
@@ -511,7 +524,7 @@ class Katz:
             for m in range(2, order + 1):
                 passes = self.passes if m > 2 else 1
                 asked = [self._asks(block, m, passes, turn) for turn in range(passes)]
-                answers = self._answered(scratch, asked, m, buckets, learn, keep, lambda m=m: answer_grams(m, self.unigrams.discount if m == 2 else self.discount[m - 1]))
+                answers = self._answered(scratch, asked, m, buckets, learn, keep, lambda m=m: answer_grams(m))
                 if m < order:
                     after = scratch.cut_placed(self._heard(block, answers, spread), f"katz-heard-{m}", "block", spread)
                     scratch.drop(block)
@@ -572,7 +585,7 @@ class Katz:
             for at in range(7, len(values), 3):
                 level = x.levels[x.grow()]
                 level.count = values[at]
-                level.few, level.low = values[at + 1].reshape(K, -1).astype(np.int32), values[at + 2]
+                level.few, level.low = values[at + 1].reshape(K, -1).astype(np.int32), values[at + 2].reshape(K + 1, -1)
             return x
 
         return opened
@@ -594,7 +607,7 @@ class Katz:
         """block, bucket, head, data, stats: the replies and the sums of hot histories."""
         every = reduce(DataFrame.unionByName, answers)
         replies = every.where(f"kind = {REPLY}").select("block", "bucket", "head", "data", "stats")
-        total = every.where(f"kind = {PART}").groupBy("head").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(K + 1)]).alias("stats"))
+        total = every.where(f"kind = {PART}").groupBy("head").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(2 * K + 1)]).alias("stats"))
         wishes = every.where(f"kind = {WISH}").select("block", "head").distinct().join(total, "head")
         return replies.unionByName(wishes.select("block", F.lit(None).cast("int").alias("bucket"), "head", F.lit(None).cast("binary").alias("data"), "stats"))
 
@@ -622,7 +635,7 @@ class Katz:
     def _heard(self, block: DataFrame, answers: list[DataFrame], spread: int) -> DataFrame:
         def made(number: int, data: bytes, x: _Block) -> pa.Table:
             level = x.levels[-1]
-            return _rows([[number, data + _dump(level.count, level.few.ravel(), level.low)]], "block long, data binary")
+            return _rows([[number, data + _dump(level.count, level.few.ravel(), level.low.ravel())]], "block long, data binary")
 
         return self._cogrouped(block, answers, spread, made, "block long, data binary")
 

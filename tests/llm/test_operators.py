@@ -2,16 +2,19 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from ledgerframe.llm import ann, bpe, chat, exactdedup, katz, langid, neardup, packing, quality, tokenfile  # noqa: E402
+from ledgerframe.llm import ann, bpe, chat, exactdedup, katz, langid, neardup, packing, quality, tokenfile, words  # noqa: E402
 from ledgerframe.llm.common import work_path  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -90,8 +93,8 @@ def test_sequences_are_views_of_the_file(spark, docs, library):
         got = []
         for k in range(-(-m.n_tokens // 32)):
             ids, mask = shard.sequence(k)
-            assert len(ids) == 32 and not ids.flags.owndata
-            got += ids[mask].tolist()
+            assert len(ids) == len(mask) == 32 and not ids.flags.owndata and not mask.flags.owndata
+            got += ids[mask.astype(bool)].tolist()
         assert len(got) == m.n_tokens
         with pytest.raises(IndexError):
             shard.sequence(-(-m.n_tokens // 32))
@@ -106,11 +109,31 @@ def test_round_trip(docs, none, library):
     wanted = []
     for i, t in TEXTS:
         ids = expected_ids(library, t)
-        wanted.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+        text = bpe.transducer(PATH).decode_text(ids)
+        if i in (1, 5, 11):
+            assert text == "".join(piece + " " for piece in words.pieces(t))
+        wanted.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)), sha(text)))
     assert sorted(rows(bpe.round_trip(docs, PATH)), key=lambda r: (order(r[:2]), r[2:])) == sorted(wanted, key=lambda r: (order(r[:2]), r[2:]))
     assert rows(bpe.round_trip(none, PATH)) == []
 
 
+def test_long_texts_stream_through_the_digests(library, monkeypatch):
+    """Long pieces and texts of many chunks give the same digests, in memory that the text does not set."""
+    monkeypatch.setattr(bpe, "LONG", 200)
+    rng = np.random.default_rng(12)
+    of = bpe._digests(PATH)
+    text = " ".join("".join(rng.choice(["a", "n", "th", "er", "ing", "o", "é", "ß"], int(n))) for n in [3, 900, 5, 60_000, 7, 260]) + " end" + " some more words" * 20_000
+    ids = expected_ids(library, text)
+    n, *got = of(text)
+    wanted = [" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False), "".join(piece + " " for piece in words.pieces(text))]
+    assert n == len(ids) and got == [hashlib.sha256(x.encode()).hexdigest() for x in wanted]
+    tracemalloc.start()
+    of(text * 10)
+    most = tracemalloc.get_traced_memory()[1] - len(text) * 10 * 2
+    tracemalloc.stop()
+    assert most < 12 << 20
+
+
 def test_transducer_streams_with_its_lookahead(library):
     t = bpe.Transducer(PATH, window=1)
     rng = np.random.default_rng(5)
@@ -250,6 +273,15 @@ def brute_katz(texts, order):
     return out
 
 
+def test_words_of_the_language_model():
+    texts = ["  A bÉ\tC ", "", "\x0b\x0c\r\n", "x\x1cy z\u00a0Z", "one"]
+    words_, found, counts = katz.tokenized(pa.array(texts))
+    got = np.array(words_.to_pylist(), object)[found].tolist()
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    wanted = [t.encode().translate(lower).split() for t in texts]
+    assert [w.encode() for w in got] == sum(wanted, []) and counts.tolist() == list(map(len, wanted))
+
+
 def katz_texts():
     rng = np.random.default_rng(2)
     words = [f"v{k}" for k in range(40)]
@@ -360,6 +392,60 @@ def test_quality(spark, none):
     assert quality.score_quality(none, quality.fit_quality(none, labels.limit(0)), ["doc_id"]).collect() == []
 
 
+def test_trees_against_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    trees = quality.BoostedTrees.fit(x, y)
+
+    def walk(row):
+        raw = trees.base
+        for t in range(len(trees.value)):
+            node = 0
+            while node < len(trees.feature[t]):
+                node = 2 * node + (2 if row[trees.feature[t][node]] > trees.threshold[t][node] else 1)
+            raw += trees.value[t][node - len(trees.feature[t])]
+        return 1 / (1 + math.exp(-raw))
+
+    assert np.allclose(trees.score(x), [walk(r) for r in x])
+    assert np.mean((trees.score(x) > 0.5) == y) > 0.9
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id that is repeated gives one row; kept columns may be named like the operators' own."""
+    many = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some words and number "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(1, 1)] * 50, "doc_id long, quality int")
+    assert quality.labelled_sample(many, labels, "quality", 10).count() == 1
+    few = spark.createDataFrame([(i, "the of and to " * 9 if i % 2 else "der die das und " * 9, "en" if i % 2 else "de", 5, "t", "u", 0.5) for i in range(40)], "doc_id long, text string, lang string, _own int, _text string, lang_pred string, score double")
+    net = langid.fit_language(few)
+    got = langid.predict_language(few, net, few.columns)
+    assert got.columns == ["doc_id", "text", "lang", "_own", "_text", "lang_pred", "score"] and {r.lang_pred for r in got.collect()} == {"de", "en"}
+    model = quality.fit_quality(few, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert quality.score_quality(few, model, few.columns).columns == ["doc_id", "text", "lang", "_own", "_text", "lang_pred", "score", "predicted"]
+
+
+def plain_network(net, x):
+    """The network's log probabilities with one-hot bytes and explicit loops."""
+    out = []
+    for row in x:
+        features = []
+        for w, table, bias in zip(net.widths, net.tables, net.bias):
+            for k in range(net.filters):
+                best = max(sum(float(table[j][row[at + j]][k]) for j in range(w)) for at in range(len(row) - w + 1))
+                features.append(max(0.0, best + float(bias[k])))
+        z = [sum(f * float(net.out[m][c]) for m, f in enumerate(features)) + float(net.out_bias[c]) for c in range(len(net.languages))]
+        total = math.log(sum(map(math.exp, z)))
+        out.append([v - total for v in z])
+    return out
+
+
+def test_network_against_plain_loops():
+    rng = np.random.default_rng(4)
+    net = langid.ByteNetwork(["aa", "bb", "cc"])
+    x = rng.integers(0, 256, (2, langid.WINDOW)).astype(np.uint8)
+    assert np.allclose(net.log_probabilities(x), plain_network(net, x), atol=1e-4)
+
+
 def test_language(spark, none):
     rng = np.random.default_rng(8)
     en, de = "the of and to in that it was for on with".split(), "der die und das nicht von zu mit sich ein über".split()
@@ -399,3 +485,40 @@ def test_nearest(spark):
         assert all(math.isclose(score[i], s, abs_tol=1e-12) for _, i, s in got[q]) and [r[0] for r in got[q]] == [1, 2, 3, 4, 5]
     assert hit / total >= 0.9
     assert [r[1] for r in got[100]] == [101, 102, 103, 104, 105]
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_nearest_among_vectors_of_one_direction(spark, kind):
+    """Scaled copies share a node: all of them are found, in clusters of any size."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(700, 24)).astype(kind)
+    clusters = {}
+    at = 0
+    for size in (10, 30, 100):
+        x[at : at + size] = (x[at] * rng.uniform(0.2, 5, (size, 1))).astype(kind)
+        clusters[at] = range(at, at + size)
+        at += size
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    x = x.astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in ann.knn(df, df.where("vec_id % 10 = 0"), 5, shard_rows=400).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r)
+    hit = []
+    for q in range(0, 700, 10):
+        score = unit @ unit[q]
+        score[q] = -2
+        best = np.sort(score)[-5:]
+        hit.append(np.mean([r.score >= best[0] - 1e-9 for r in got[q]]))
+        for members in clusters.values():
+            if q in members:
+                assert {r.vec_id for r in got[q]} <= set(members)
+    assert np.mean(hit) >= 0.95
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """More vectors of one cosine than the beam holds nodes."""
+    rows_ = [(i, [1.0, 0.0, 0.0]) for i in range(300, 0, -1)] + [(1000 + i, [float(i), 1.0, 0.5]) for i in range(60)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.knn(df, df.where("vec_id = 100"), 5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
