@@ -2,22 +2,23 @@
 
 * A document is a bag of five-word shingles (lower-cased, split at white space); a
   shingle weighs its count in the document times a damped inverse document frequency.
-  Document frequencies come from a table of hashed counters of fixed size, counted
-  over all documents.  The damping keeps weights within a factor of 1.25: with the
-  plain logarithm a large group of near copies would itself make the text that its
-  members share nearly weightless, and break up.
+  Document frequencies come from hashed counters over all documents, of fixed size: the
+  average load of a counter is taken off, and what occurs in less than one of ``RARE``
+  documents counts as equally rare, so strangers on a counter (about one in 8000
+  documents' worth at 500 shingles a document, at any size of the corpus) do not matter.
+  The damping keeps weights within a factor of 1.25: with the plain logarithm a large
+  group of near copies would itself make the text that its members share nearly
+  weightless, and break up.
 * Improved consistent weighted sampling (Ioffe 2010) gives ``BANDS * ROWS`` samples a
   document; two documents agree on one with the probability of their weighted
   Jaccard similarity.  Documents that agree on all samples of a band meet in a bucket.
-* A text that repeats shingles has a second row of samples, with each of its shingles
-  counted once (a text that repeats none has the same samples either way), so that pairs
-  alike as sets meet too.
-* Texts more of whose shingles occur nowhere else than either similarity allows are left
-  out beforehand.
-* Buckets are screened with the samples themselves, and what passes is verified on
-  the two whole texts, in rounds that leave out what is connected already: linked
-  where the weighted Jaccard similarity, or the plain one of the two shingle sets, is
-  at least the threshold.
+* A bucket's pairs are verified on the two whole texts: linked where their weighted
+  Jaccard similarity is at least the threshold.  First come the edges of a spanning
+  forest of the likest members, so a group of near copies costs a number of pairs in
+  proportion to its size.  Then all pairs whose ends are still in different components
+  follow, the likest of each member first, but for those that an exact bound rules out:
+  shingle weights are summed by cells of a hash, and no two texts share more than the
+  smaller sums.  Nothing is left out by an estimate; likeness in samples gives the order.
 * Equal texts are one node from the start, however many there are.  Classes are the
   connected components of the links.
 """
@@ -31,21 +32,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import Scratch, cut
 from .words import Memo
 
 WORDS, BANDS, ROWS = 5, 20, 5
 SAMPLES = BANDS * ROWS
 COUNTERS = 1 << 22
 CHUNK = 1 << 16
-DAMPING = 0.25
-ANCHOR, ANCHORS_LEAST = 16, 24
-FIRST_PLACES = 2
+DAMPING, RARE = 0.25, 1000
 SLOTS = 1 << 18
 #: Members of a bucket that one task compares at a time, about.
 LARGE = 512
-#: What a bucket's member carries: the samples' low bytes, half of each band key, weight and number of its shingles.
-SIG = np.dtype([("low", np.uint8, SAMPLES), ("band", "<u4", BANDS), ("weight", "<f4"), ("n", "<u4")])
+#: What a bucket's member carries: the samples' low bytes and the weight of all its shingles.
+SIG = np.dtype([("low", np.uint8, SAMPLES), ("weight", "<f4")])
 _U = np.uint64
 
 
@@ -77,91 +76,58 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(h), return_counts=True)
 
 
-def spared(counts: np.ndarray, anchors: int, threshold: float) -> int:
-    """How many of a text's ``anchors`` may occur nowhere else though it has a near duplicate.
+def rarity(docs: DataFrame) -> np.ndarray:
+    """By counter: how rare its shingles are, 0 (in every document) to 255 (in one of ``RARE`` or fewer).
 
-    What a partner lacks weighs at most ``1 - threshold`` of the text, and a shingle weighs
-    1 to ``1 + DAMPING`` times its count; most shingles fit into that weight where it is
-    made of the rarest.  Their share of all shingles holds for the set similarity too.
-    Anchors are a sample of the shingles: half of them, or 3.5 deviations, are allowed for.
+    Each task counts its documents' shingles; the counts are added up by chunk on the
+    executors, and only their sum (16 MB, whatever the corpus) is collected.
     """
-    if not anchors:
-        return 0
-    free = (1 - threshold) * (1 + DAMPING) * counts.sum()
-    share = min(1.0, np.searchsorted(np.cumsum(np.sort(counts)), free, "right") / len(counts))
-    return int(max(anchors / 2, anchors * share + 3.5 * np.sqrt(anchors * share * (1 - share)) + 1))
 
-
-def first_pass(docs: DataFrame, threshold: float) -> DataFrame:
-    """Kind 0: a task's document frequencies, hashed counters by chunk; kind 1: a document's anchors.
-
-    ``docs``: doc_id, key, text.  Anchors are the shingles whose hash is divisible by
-    ``ANCHOR``, whole documents long; ``spared``: see there.
-    """
-
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
-        names = ["kind", "doc_id", "key", "spared", "anchors", "chunk", "data"]
+    def count(batches):
+        counts, n = np.zeros(COUNTERS, np.uint32), 0
         for batch in batches:
-            anchors, sizes = [], []
-            for text in batch.column(2).to_pylist():
-                h, c = shingles(text)
+            for text in batch.column(0).to_pylist():
+                h, _ = shingles(text)
                 counts[np.unique(h & _U(COUNTERS - 1)).astype(np.int64)] += 1
-                own = h[(h >> _U(40)) % _U(ANCHOR) == 0]
-                anchors.append(own.astype(np.int64))
-                sizes.append(spared(c, len(own), threshold))
-            m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            n += batch.num_rows
         used = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         data = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].astype("<u4").tobytes(), 1) for k in used]
-        m = len(used)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
-
-    return cut(docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key binary, spared int, anchors array<long>, chunk int, data binary"), "near-first")
-
-
-def document_frequencies(first: DataFrame) -> np.ndarray:
-    """The counters over all documents: added up by chunk on the executors; only their sum
-    (16 MB, whatever the corpus) is collected."""
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array([n] + [0] * len(used), pa.int64()), pa.array([None, *data], pa.binary())], ["chunk", "n", "data"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
+        n = 0
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
-                sums[k] = sums[k] + x if k in sums else x
+            for k, more, data in zip(*(c.to_pylist() for c in batch.columns)):
+                n += more
+                if data is not None:
+                    x = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+                    sums[k] = sums[k] + x if k in sums else x
         data = [zlib.compress(np.minimum(x, 2**32 - 1).astype("<u4").tobytes(), 1) for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
-
-    parts = first.where("kind = 0").select("chunk", "data").repartition("chunk").mapInArrow(add, "chunk int, data binary").toArrow()
-    out = np.zeros(COUNTERS, np.uint32)
-    for k, data in zip(parts.column("chunk").to_pylist(), parts.column("data").to_pylist()):
-        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(zlib.decompress(data), "<u4")
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *sums], pa.int32()), pa.array([n] + [0] * len(data), pa.int64()), pa.array([None, *data], pa.binary())], ["chunk", "n", "data"])
 
+    schema = "chunk int, n long, data binary"
+    parts = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    seen, n = np.zeros(COUNTERS), 0
+    for k, more, data in zip(*(c.to_pylist() for c in parts.columns)):
+        n += more
+        if data is not None:
+            seen[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(zlib.decompress(data), "<u4")
+    seen = np.maximum(seen - seen.mean(), max(1.0, n / RARE))
+    return np.round(255 * np.clip(np.log(max(n, 1) / seen) / np.log(RARE), 0, 1)).astype(np.uint8)
 
-def may_have_partners(classes: DataFrame) -> DataFrame:
-    """The classes (key, least, n, anchors, spared) that can have a near duplicate among the others.
 
-    A text with ``ANCHORS_LEAST`` anchors or more is out where more of them than ``spared``
-    occur nowhere else (with a near duplicate the chance of that is under 1 in 2000); one
-    with fewer anchors, or whose weight lies in few shingles, always stays.
-    """
-    enough = (F.size("anchors") >= ANCHORS_LEAST) & (F.col("spared") < F.size("anchors"))
-    spread = classes.where(enough).select("key", F.explode("anchors").alias("anchor"))
-    common = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
-    # short texts count as places of an anchor too
-    common = common.unionByName(classes.where(~enough).select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("df")))
-    common = common.groupBy("anchor").agg(F.sum("df").alias("df")).where("df > 1").select("anchor")
-    shared = spread.join(common, "anchor").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
-    rest = classes.where(enough).select("key", "least", "spared", F.size("anchors").alias("n_anchors")).join(shared, "key").where(F.col("n_anchors") - F.col("shared") <= F.col("spared"))
-    return classes.where(~enough).select("key", "least").unionByName(rest.select("key", "least"))
-
-
-def weights(hashes: np.ndarray, counts: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
+def weights(hashes: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> np.ndarray:
     """Term frequency times damped inverse document frequency."""
-    seen = df[(hashes & _U(COUNTERS - 1)).astype(np.int64)]
-    return counts * (1 + DAMPING * np.clip(np.log((n_docs + 1) / (seen + 1.0)) / np.log(n_docs + 2), 0, 1))
+    return counts * (1 + DAMPING / 255 * rare[(hashes & _U(COUNTERS - 1)).astype(np.int64)])
+
+
+def cells(hashes: np.ndarray, weight: np.ndarray) -> tuple[bytes, float]:
+    """Weights summed by cells, about as many as shingles (64 to 4096), rounded up: (whole numbers, size of one)."""
+    n = 1 << int(np.clip(np.ceil(np.log2(len(hashes))), 6, 12))
+    sums = np.bincount(((hashes >> _U(24)) & _U(n - 1)).astype(np.int64), weight, n)
+    step = np.nextafter(np.float32(sums.max() / 255), np.float32(np.inf))
+    return np.minimum(np.ceil(sums / step), 255).astype(np.uint8).tobytes(), float(step)
 
 
 class Sampler:
@@ -201,68 +167,112 @@ class Sampler:
         return out
 
 
-def signatures(texts: DataFrame, df, n_docs: int) -> DataFrame:
-    """Per text (key, text): key, ``sig`` (see ``SIG``), band keys; a second row, of the set of
-    shingles, where the text repeats some.  Narrow."""
+def signatures(docs: DataFrame, rare) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, key, ``sig`` (see ``SIG``), band keys, cells.
+
+    Narrow.  What a task has made for a text already is null for its copies, as for texts without words.
+    """
 
     def run(batches):
-        sampler = Sampler()
+        sampler, seen = Sampler(), set()
+        names = ["doc_id", "key", "sig", "bands", "cells", "step"]
+        kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.float32()]
         for batch in batches:
-            keys, sigs, bands = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = []
+            for text in batch.column(1).to_pylist():
+                key = hashlib.sha256((text or "").encode()).digest()[:16]
+                if key in seen:
+                    rows.append((key, None, None, None, None))
+                    continue
+                seen.add(key)
                 h, c = shingles(text)
                 if not len(h):
+                    rows.append((key, None, None, None, None))
                     continue
-                for counts in (c, np.ones_like(c)) if (c > 1).any() else (c,):
-                    w = weights(h, counts, df.value, n_docs)
-                    s = sampler.samples(h, w)
-                    band = np.arange(1, BANDS + 1, dtype=_U)
-                    for j in range(ROWS):
-                        band = _mix(band * _U(0x9E3779B97F4A7C15) + s.reshape(BANDS, ROWS)[:, j])
-                    bands.append(band.astype(np.int64))
-                    made = np.zeros((), SIG)
-                    made["low"], made["band"], made["weight"], made["n"] = s & _U(0xFF), band & _U(0xFFFFFFFF), w.sum(), len(h)
-                    sigs.append(made.tobytes())
-                    keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "sig", "bands"])
-
-    return texts.select("key", "text").mapInArrow(run, "key binary, sig binary, bands array<long>")
-
-
-def bucket_pairs(sig: np.ndarray, bucket: int, root: np.ndarray, threshold: float, since: int, until: int, block: int = 256):
-    """Pairs (i, j) of a bucket's members in different components whose samples do not rule the
-    threshold out: for each member, of all such before it by likeness, those placed ``since``
-    to ``until``.  Places do not depend on components, so rounds never repeat a pair;
-    a pair that shares an earlier band too is left to that band's bucket, where it has
-    its place.  Texts that differ too much in size for the threshold are no pair.
-    Returns the pairs and whether later places hold more."""
-    low = int((threshold - 2.5 * np.sqrt(threshold * (1 - threshold) / SAMPLES)) * SAMPLES)
-    band = int((sig["band"] == np.uint32(bucket & 0xFFFFFFFF)).all(0).argmax())
-    bands, samples, sizes = sig["band"], sig["low"], (sig["weight"], sig["n"].astype(np.float32))
-    left, right, more = [], [], False
+                w = weights(h, c, rare.value)
+                s = sampler.samples(h, w)
+                band = np.arange(1, BANDS + 1, dtype=_U)
+                for j in range(ROWS):
+                    band = _mix(band * _U(0x9E3779B97F4A7C15) + s.reshape(BANDS, ROWS)[:, j])
+                made = np.zeros((), SIG)
+                made["low"], made["weight"] = s & _U(0xFF), w.sum()
+                rows.append((key, made.tobytes(), band.astype(np.int64), *cells(h, w)))
+            if len(seen) > 500_000:
+                seen.clear()
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>, cells binary, step float")
+
+
+def likeness(sig: np.ndarray, root: np.ndarray, threshold: float, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal samples) of members in different components whose weights allow the threshold, i > j."""
+    low, weight = sig["low"], sig["weight"]
+    out = []
     for at in range(0, len(sig), block):
-        part = samples[at : at + block]
-        same = np.zeros((len(part), min(len(sig), at + block)), np.int16)
-        for k in range(SAMPLES):
-            same += part[:, k, None] == samples[None, : same.shape[1], k]
-        same[np.arange(same.shape[1])[None, :] >= at + np.arange(len(part))[:, None]] = -1
-        alike = np.zeros(same.shape, bool)
-        for size in sizes:
-            a, b = size[at : at + block, None], size[None, : same.shape[1]]
-            alike |= np.minimum(a, b) >= np.float32(threshold * 0.9999) * np.maximum(a, b)
-        same[~alike] = -1
-        fits = same >= low
-        apart = fits & (root[at : at + block, None] != root[None, : same.shape[1]])
-        for i in np.flatnonzero(apart.any(1) & (fits.sum(1) > since)):
-            place = np.argsort(-same[i], kind="stable")[since : int(fits[i].sum())]
-            other = apart[i, place]
-            more |= bool(other[until - since :].any())
-            near = place[: until - since][other[: until - since]]
-            if band:
-                near = near[~(bands[near, :band] == bands[at + i, :band]).any(1)]
-            left += [at + int(i)] * len(near)
-            right += near.tolist()
-    return left, right, more
+        part = slice(at, at + block)
+        w, v = weight[part, None], weight[None, : at + block]
+        fits = (np.minimum(w, v) >= np.float32(threshold * 0.9999) * np.maximum(w, v)) & (root[part, None] != root[None, : at + block])
+        i, j = np.nonzero(fits)
+        before = i + at > j
+        i, j = i[before] + at, j[before]
+        out.append((i, j, (low[i] == low[j]).sum(1)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def forest(i: np.ndarray, j: np.ndarray, like: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a spanning forest over the components, the likest first."""
+    parent = list(range(int(root.max()) + 1))
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    chosen, left = [], len(set(root.tolist())) - 1
+    order = np.argsort(-like, kind="stable")
+    for k, a, b in zip(order.tolist(), root[i[order]].tolist(), root[j[order]].tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[a] = b
+            chosen.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(chosen, np.int64)
+
+
+def within_bound(i: np.ndarray, j: np.ndarray, weight: np.ndarray, held: list[tuple[bytes, float]], threshold: float, block: int = 4096) -> np.ndarray:
+    """Which pairs the cells do not rule out: what they may share is the sum of the smaller cells."""
+    size = np.array([len(c) for c, _ in held])
+    tables: dict[int, np.ndarray] = {}
+
+    def folded(n: int) -> np.ndarray:
+        """All members with at least ``n`` cells, in ``n`` cells."""
+        if n not in tables:
+            rows = [np.frombuffer(c, np.uint8).reshape(-1, n).sum(0, np.float32) * np.float32(s) if len(c) >= n else np.zeros(n, np.float32) for c, s in held]
+            tables[n] = np.stack(rows)
+        return tables[n]
+
+    out, common = np.zeros(len(i), bool), np.minimum(size[i], size[j])
+    for n in np.unique(common).tolist():
+        which = np.flatnonzero(common == n)
+        step = max(1, block * 64 // n)
+        for at in range(0, len(which), step):
+            k = which[at : at + step]
+            shared = np.minimum(folded(n)[i[k]], folded(n)[j[k]]).sum(1)
+            out[k] = shared * 1.0001 >= threshold / (1 + threshold) * (weight[i[k]] + weight[j[k]])
+    return out
+
+
+def first_places(i: np.ndarray, j: np.ndarray, like: np.ndarray, places: int) -> tuple[np.ndarray, bool]:
+    """(which pairs are among the ``places`` likest of their later member, whether some member has more)."""
+    order = np.lexsort((j, -like, i))
+    new = np.ones(len(order), bool)
+    new[1:] = i[order][1:] != i[order][:-1]
+    start = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[place < places], bool((place >= places).any())
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -272,31 +282,39 @@ def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, since: int, until: int) -> DataFrame:
-    """Distinct pairs (a, b) of keys; a row of nulls where some member has more than ``until``.
+def candidates(members: DataFrame, threshold: float, places: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of keys; a row of nulls where some member has more than ``places``.
 
-    ``members``: bucket, part, key, sig; a part of a bucket is compared in one task.
-    ``roots`` (node, root): components so far; parts that lie within one are left out.
+    ``members``: bucket, part, key, sig, root; a part of a bucket is compared in one task.
+    Without ``places`` the pairs are a spanning forest; with them ``members`` has cells and step too.
     """
-    rows = rooted(members, roots)
-    if roots is not None:
-        open_ = rows.groupBy("bucket", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "part")
-        rows = rows.join(open_, ["bucket", "part"])
+    names = ["bucket", "part", "key", "sig", "root", *(["cells", "step"] if places else [])]
     # dealt by a hash of the part: an exchange by the part itself would be left out as the
     # join's own, and where the join turns into a broadcast the part's rows lie in many tasks
-    ordered = rows.repartition(F.xxhash64("bucket", "part")).sortWithinPartitions("bucket", "part", "key", "sig").select("bucket", "part", "key", "sig", "root")
+    ordered = members.repartition(F.xxhash64("bucket", "part")).sortWithinPartitions("bucket", "part", "key").select(*names)
 
     def run(batches):
-        held, keys, sigs, roots_, out = None, [], [], [], set()
+        at, rows, out = None, {}, set()
 
         def close():
-            sig = np.frombuffer(b"".join(sigs), SIG)
+            keys, values = list(rows), list(rows.values())
+            sig = np.frombuffer(b"".join(v[0] for v in values), SIG)
             number: dict[bytes, int] = {}
-            root = np.array([number.setdefault(r, len(number)) for r in roots_])
-            left, right, more = bucket_pairs(sig, held[0], root, threshold, since, until)
-            out.update((keys[j], keys[i]) for i, j in zip(left, right))
-            if more:
-                out.add((None, None))
+            root = np.array([number.setdefault(v[1], len(number)) for v in values])
+            if len(number) < 2:
+                return
+            i, j, like = likeness(sig, root, threshold)
+            if not len(i):
+                return
+            if places:
+                good = within_bound(i, j, sig["weight"], [v[2:] for v in values], threshold)
+                i, j, like = i[good], j[good], like[good]
+                chosen, more = first_places(i, j, like, places)
+                if more:
+                    out.add((None, None))
+            else:
+                chosen = forest(i, j, like, root)
+            out.update((keys[b], keys[a]) for a, b in zip(i[chosen].tolist(), j[chosen].tolist()))
 
         def sent():
             rows = list(out)
@@ -304,120 +322,138 @@ def candidates(members: DataFrame, roots: DataFrame | None, threshold: float, si
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for bucket, part, key, sig, root in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, part) != held:
-                    if len(keys) > 1:
+            for bucket, part, key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, part) != at:
+                    if len(rows) > 1:
                         close()
-                    held, keys, sigs, roots_ = (bucket, part), [], [], []
-                keys.append(key)
-                sigs.append(sig)
-                roots_.append(root)
+                    at, rows = (bucket, part), {}
+                rows[key] = rest  # a text may come several times
             if len(out) > 20_000:
                 yield sent()
-        if len(keys) > 1:
+        if len(rows) > 1:
             close()
         yield sent()
 
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def linked(signed: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame | None:
-    """(node, root): components of the verified links; None where there is no link.
-
-    In the first round a member brings its likest few in each bucket, so a group of near
-    copies gives a number of pairs in proportion to its size, not to its square.  What
-    is verified joins components; each later round takes the next places, eight times as
-    many, and of those only pairs between two components.  Rounds go on until no member
-    has a place left, so every pair that the samples allow is looked at or within one
-    component already.
-
-    A bucket of more than ``LARGE`` members is dealt into parts by a hash of the key, and
-    the rounds run within the parts; then between parts: first among one member for each
-    (component, part), again while that makes them fewer, which joins a large group at a
-    cost in proportion to its size, then among all members that are still in different
-    components (see ``crossed``), so no link is lost.
-    """
-    spread = signed.select("key", "sig", F.explode("bands").alias("bucket"))
-    n = F.count(F.lit(1)).alias("n")
-    shared = cut(spread.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), n).where("lo <> hi").select("bucket", "n"), "near-shared")
-    members = cut(dealt(spread, shared, 0), "near-members")
-    roots, links, tested = None, None, None
-
-    def settle(members: DataFrame) -> None:
-        nonlocal roots, links, tested
-        since, until = 0, FIRST_PLACES
+class Links:
+    """The verified links between texts, made in rounds, and their components (node, root)."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, signed: DataFrame, named: DataFrame, rare, threshold: float) -> None:
+        self.scratch, self.docs, self.signed, self.named, self.rare, self.threshold = scratch, docs, signed, named, rare, threshold
+        self.roots = self.found = self.tested = None
+
+    def _added(self, pairs: DataFrame) -> bool:
+        """Verify those of ``pairs`` that are new; whether there were more than ``candidates`` gave."""
+        scratch = self.scratch
+        more = not pairs.where("a is null").isEmpty()
+        fresh = pairs.where("a is not null")
+        if self.tested is not None:
+            fresh = scratch.cut(fresh.join(self.tested, ["a", "b"], "left_anti"), "near-fresh")
+        if not fresh.isEmpty():
+            good = scratch.cut(verified(fresh, self.docs, self.named, self.rare, self.threshold), "near-links")
+            self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
+            if not good.isEmpty():
+                self.found = good if self.found is None else self.found.unionByName(good)
+                before, self.roots = self.roots, components(self.found, scratch)
+                scratch.drop(before)
+        return more
+
+    def settle(self, members: DataFrame) -> None:
+        """``members`` (bucket, part, key, sig): afterwards no pair of one part that may be linked is untested between two components."""
+        scratch, threshold = self.scratch, self.threshold
+        here = scratch.cut(rooted(members, self.roots), "near-rooted")
+        self._added(scratch.cut(candidates(here, threshold, None), "near-pairs"))
+        scratch.drop(here)
+        places = 8
         while True:
-            pairs = cut(candidates(members, roots, threshold, since, until), "near-pairs")
-            more = not pairs.where("a is null").isEmpty()
-            fresh = pairs.where("a is not null")
-            if tested is not None:
-                fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
-            if not fresh.isEmpty():
-                found = cut(verified(fresh, texts, df, n_docs, threshold), "near-links")
-                tested = fresh if tested is None else tested.unionByName(fresh)
-                if not found.isEmpty():
-                    links = found if links is None else links.unionByName(found)
-                    roots = components(links)
+            here = scratch.cut(rooted(members, self.roots), "near-rooted")
+            open_ = here.groupBy("bucket", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "part")
+            open_ = scratch.cut(open_, "near-open")
+            if open_.isEmpty():
+                return
+            rows = here.join(open_, ["bucket", "part"])
+            rows = rows.join(self.signed.select("key", "cells", "step").where("cells is not null").dropDuplicates(["key"]), "key")
+            more = self._added(scratch.cut(candidates(rows, threshold, places), "near-pairs"))
+            scratch.drop(here)
             if not more:
                 return
-            since, until = until, 8 * until
-
-    settle(members)
-    large = members.join(shared.where(F.col("n") > LARGE).select("bucket"), "bucket")
-    rest, turn, before = large, 1, large.count()
-    while before:
-        one = opened(rest, roots).groupBy("bucket", "root", "part").agg(F.min(F.struct("key", "sig")).alias("one"))
-        one = cut(one.select("bucket", "one.key", "one.sig"), "near-ones")
-        now = one.count()
-        if not now:
-            return roots
-        if 2 * now > before:
-            break
-        rest = cut(dealt(one, cut(one.groupBy("bucket").agg(n), "near-shared"), turn), "near-members")
-        settle(rest)
-        turn, before = turn + 1, now
-    if before:
-        settle(cut(crossed(opened(large, roots)), "near-members"))
-    return roots
+            places *= 8
+
+    def opened(self, members: DataFrame) -> DataFrame:
+        """``members`` with roots, of the buckets that hold different components."""
+        rows = self.scratch.cut(rooted(members, self.roots), "near-rooted")
+        open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        return rows.join(open_, "bucket")
+
+    def link(self) -> None:
+        """All links of the buckets that ``signed`` makes.
+
+        A bucket of more than ``LARGE`` members is dealt into parts by a hash of the key (of
+        another kind in each bucket, so the parts of one group mix), and pairs are first
+        looked for within the parts; then between parts: first among one member for each
+        (component, part), again while that makes them fewer, which joins a large group at a
+        cost in proportion to its size, then among all members that are still in different
+        components (see ``crossed``), so no link is lost.
+        """
+        scratch, n = self.scratch, F.count(F.lit(1)).alias("n")
+        spread = self.signed.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
+        shared = scratch.cut(spread.groupBy("bucket").agg(n).where("n > 1"), "near-shared")
+        sigs = self.signed.where("sig is not null").select("key", "sig").dropDuplicates(["key"])
+        members = scratch.cut(dealt(spread, shared, 0).join(sigs, "key").select("bucket", "part", "key", "sig"), "near-members")
+        self.settle(members)
+        large = members.join(shared.where(F.col("n") > LARGE).select("bucket"), "bucket").dropDuplicates(["bucket", "key"])
+        rest, turn = scratch.cut(large, "near-large"), 1
+        large, before = rest, rest.count()
+        while before:
+            one = self.opened(rest).groupBy("bucket", "root", "part").agg(F.min(F.struct("key", "sig")).alias("one"))
+            one = scratch.cut(one.select("bucket", "one.key", "one.sig"), "near-ones")
+            now = one.count()
+            if not now:
+                return
+            if 2 * now > before:
+                break
+            rest = scratch.cut(dealt(one, scratch.cut(one.groupBy("bucket").agg(n), "near-shared"), turn), "near-members")
+            self.settle(rest)
+            turn, before = turn + 1, now
+        if before:
+            self.settle(scratch.cut(crossed(self.opened(large), scratch), "near-members"))
 
 
 def dealt(rows: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
-    """``rows`` (bucket, key, sig) of the buckets in ``sizes`` (bucket, n), with parts of about ``LARGE``."""
-    part = F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("n") / F.lit(LARGE)))
-    return rows.join(sizes, "bucket").select("bucket", part.cast("long").alias("part"), "key", "sig")
-
+    """``rows`` of the buckets in ``sizes`` (bucket, n), with parts of about ``LARGE``."""
+    part = F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), F.ceil(F.col("n") / F.lit(LARGE)))
+    return rows.join(sizes, "bucket").withColumn("part", part.cast("long")).drop("n")
 
-def opened(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``members`` with roots, of the buckets that hold different components."""
-    rows = cut(rooted(members, roots), "near-rooted")
-    open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return rows.join(cut(open_, "near-open"), "bucket")
 
-
-def crossed(rows: DataFrame) -> DataFrame:
+def crossed(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """bucket, part, key, sig: a part for every two cells of a bucket that may hold different components.
 
     ``rows``: bucket, key, sig, root.  A component of more than ``LARGE`` members has cells
     of its own, which are not compared with each other; other members share cells.
     """
-    rows = cut(rows.select("bucket", "key", "sig", "root"), "near-rows")
-    sizes = cut(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+    rows = scratch.cut(rows.select("bucket", "key", "sig", "root"), "near-rows")
+    sizes = scratch.cut(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     alone = sizes.where(F.col("n") > LARGE).select("bucket", "root", "n")
-    mixed = cut(sizes.where(F.col("n") <= LARGE).groupBy("bucket").agg(F.sum("n").alias("m")), "near-mixed")
+    mixed = scratch.cut(sizes.where(F.col("n") <= LARGE).groupBy("bucket").agg(F.sum("n").alias("m")), "near-mixed")
     slot = F.xxhash64("key", F.lit(-1))
     own = F.when(F.col("n").isNotNull(), F.col("root")).alias("own")
     cell = F.when(F.col("n").isNotNull(), F.xxhash64("root", F.pmod(slot, F.ceil(F.col("n") / F.lit(LARGE))))).otherwise(F.pmod(slot, F.ceil(F.col("m") / F.lit(LARGE)))).cast("long").alias("cell")
     rows = rows.join(alone, ["bucket", "root"], "left").join(mixed, "bucket", "left").select("bucket", "key", "sig", own, cell)
-    rows = cut(rows, "near-cells")
-    cells = cut(rows.select("bucket", "own", "cell").distinct(), "near-cells")
-    other = cells.select("bucket", F.col("own").alias("own2"), F.col("cell").alias("cell2"))
-    both = cells.join(other, "bucket").where(F.col("cell") <= F.col("cell2")).where(F.col("own").isNull() | F.col("own2").isNull() | (F.col("own") != F.col("own2")))
+    rows = scratch.cut(rows, "near-cells")
+    each = scratch.cut(rows.select("bucket", "own", "cell").distinct(), "near-cells")
+    other = each.select("bucket", F.col("own").alias("own2"), F.col("cell").alias("cell2"))
+    both = each.join(other, "bucket").where(F.col("cell") <= F.col("cell2")).where(F.col("own").isNull() | F.col("own2").isNull() | (F.col("own") != F.col("own2")))
     both = both.select("bucket", F.xxhash64("cell", "cell2").alias("part"), F.explode(F.array_distinct(F.array("cell", "cell2"))).alias("cell"))
     return rows.join(both, ["bucket", "cell"]).select("bucket", "part", "key", "sig")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: float) -> DataFrame:
-    """The pairs whose whole texts are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, rare, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose whole texts are similar enough.
+
+    ``docs``: doc_id, text; ``named`` (key, least): the doc_id whose row has the text of a key.
+    """
 
     def run(batches):
         kept: tuple[bytes, tuple] | None = None
@@ -426,40 +462,40 @@ def verified(pairs: DataFrame, texts: DataFrame, df, n_docs: int, threshold: flo
             for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
                 if kept is None or kept[0] != a:  # rows come sorted by a
                     h, c = shingles(ta)
-                    kept = (a, (h, weights(h, c, df.value, n_docs)))
+                    kept = (a, (h, weights(h, c, rare.value)))
                 (h, w), (g, d) = kept[1], shingles(tb)
-                v = weights(g, d, df.value, n_docs)
+                v = weights(g, d, rare.value)
                 _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
-                low, total = np.minimum(w[i], v[j]).sum(), w.sum() + v.sum()
-                weighted = low / (total - low) if total else 1.0
-                plain = len(i) / max(1, len(h) + len(g) - len(i))
-                good.append(max(weighted, plain) >= threshold)
+                shared, total = np.minimum(w[i], v[j]).sum(), w.sum() + v.sum()
+                good.append(bool(shared >= threshold * (total - shared)))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    ends = ends.join(named, "key").select("key", id_or_last("least"))
     # of the texts only those that may be in a pair move: their places among SLOTS are broadcast
-    place = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")
-    ends = pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct())
+    place = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
     slots = ends.select(place).distinct()  # at most SLOTS rows
-    texts = texts.select("key", "text", place).join(F.broadcast(slots), "slot", "left_semi")
+    texts = docs.select(id_or_last("doc_id"), "text").withColumn("slot", place).join(F.broadcast(slots), "slot", "left_semi")
+    texts = texts.select(F.unhex(text_key("text")).alias("key"), "id", "text").join(ends, ["key", "id"]).dropDuplicates(["key", "id"])
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node each node is connected with.
 
     Every round takes the least label among a node and its neighbours, then follows
     that label one step (which doubles the reach), and writes the labels down.
     """
-    edges = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
-    labels = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "labels")
+    edges = scratch.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
+    labels = scratch.cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), (F.least("next", F.coalesce("far", "next")) != F.col("root")).alias("moved")), "labels")
+        new = scratch.cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), (F.least("next", F.coalesce("far", "next")) != F.col("root")).alias("moved")), "labels")
         labels = new.select("node", "root")
         if new.where("moved").limit(1).count() == 0:
             return labels
@@ -486,31 +522,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.unhex(text_key("text")).alias("key"), "text")
-    first = first_pass(rows, threshold)
-    ids = first.where("kind = 1").select("doc_id", "key")
-    n_docs = ids.count()
-    df = spark.sparkContext.broadcast(document_frequencies(first))  # a table of fixed size
-    classes = cut(first.where("kind = 1").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"), F.first("spared").alias("spared")), "near-classes")
-    wanted = may_have_partners(classes).select("key", id_or_last("least"))
-    # by text and doc_id, so that the rows of one text spread over the tasks; the rows that
-    # repeat both already lie together, so the texts move once
-    texts = rows.select("key", id_or_last("doc_id"), "text").join(wanted, ["key", "id"])
-    texts = cut(texts.dropDuplicates(["key", "id"]).select("key", "text"), "near-texts")
-    signed = cut(signatures(texts, df, n_docs), "near-signatures")
-    roots = linked(signed, texts, df, n_docs, threshold)
-    named = classes.select("key", "least", "n")
-    if roots is None:
-        named = named.withColumn("root", F.col("key"))
-    else:
-        named = named.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = cut(named, "near-named")
-    whole = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    named = named.join(whole, "root").select("key", "class_id", "class_size", "least")
-    out = ids.join(named, "key")
-    # of rows that repeat (doc_id, text) one is kept: those few are numbered, the others are not touched
-    mine = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    out = out.select("doc_id", "class_id", "class_size", F.lower(F.hex("key")).alias("text_key"), mine.alias("mine"), F.monotonically_increasing_id().alias("at"))
-    out = cut(out, "near")
-    one = out.where("mine").groupBy("class_id").agg(F.min("at").alias("one"))
-    return out.join(one.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")), "left").select("doc_id", "class_id", "class_size", (F.col("mine") & (F.col("at") == F.col("one"))).alias("kept"), "text_key")
+    with Scratch(spark) as scratch:
+        rare = spark.sparkContext.broadcast(rarity(rows))  # a table of fixed size
+        signed = scratch.cut(signatures(rows, rare), "near-signatures")
+        named = scratch.cut(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "near-named")
+        links = Links(scratch, rows, signed, named, rare, threshold)
+        links.link()
+        named = rooted(named, links.roots)
+        whole = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+        named = named.join(whole, "root").select("key", "class_id", "class_size", "least")
+        out = signed.select("doc_id", "key").join(named, "key")
+        # of rows that repeat (doc_id, text) one is kept: those few are numbered, the others are not touched
+        mine = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("least"))
+        out = out.select("doc_id", "class_id", "class_size", F.lower(F.hex("key")).alias("text_key"), mine.alias("mine"), F.monotonically_increasing_id().alias("at"))
+        out = scratch.cut(out, "near")
+        one = out.where("mine").groupBy("class_id").agg(F.min("at").alias("one"))
+        out = out.join(one.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c")), "left")
+        return cut(out.select("doc_id", "class_id", "class_size", (F.col("mine") & F.coalesce(F.col("at") == F.col("one"), F.lit(False))).alias("kept"), "text_key"), "near-classes")
