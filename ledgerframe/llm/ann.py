@@ -3,9 +3,10 @@
 Vectors are dealt at random into shards of bounded size.  In each shard a directed
 graph is built: greedy searches from the medoid propose neighbours, and pruning
 with a relaxed distance keeps those that no kept neighbour already covers.  A query is
-searched with a beam in every shard, and the shards' best are merged.  Equal vectors
-are one node, so that copies cannot fill a neighbourhood.  Scores are cosines of the
-original vectors in double precision.
+searched with a beam in every shard, and the shards' best are merged.  Vectors of one
+direction are one node, so that copies cannot fill a neighbourhood; all vectors of the
+nodes in the beam are ranked.  Scores are cosines of the original vectors in double
+precision.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .common import Scratch, cut
 
-DEGREE, BEAM, ALPHA, SHARD_ROWS, BLOCK = 28, 72, 1.2, 4096, 256
+DEGREE, BEAM, ALPHA, SHARD_ROWS, BLOCK = 28, 72, 1.2, 16384, 1024
+#: Unit vectors nearer than this are one node: scaled copies differ by their rounding only.
+SAME = 1e-5
 
 
 def beam_search(unit: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, seen_too: bool = False):
@@ -118,6 +121,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def one_direction(x: np.ndarray) -> np.ndarray:
+    """The number of each vector's node: vectors of one direction share it.
+
+    Vectors are sorted by one projection, along which those of one direction lie
+    together, and each is held against the nodes within reach.
+    """
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    at = unit @ (lambda w: w / np.linalg.norm(w))(np.random.default_rng(11).normal(size=x.shape[1]))
+    order, node = np.argsort(at, kind="stable"), np.full(len(x), -1)
+    places, made = at[order], 0
+    until = np.searchsorted(places, places + SAME, "right")
+    for k, i in enumerate(order.tolist()):
+        if node[i] < 0:
+            near = order[k : until[k]]
+            near = near[node[near] < 0]
+            node[near[((unit[near] - unit[i]) ** 2).sum(1) <= SAME * SAME]] = made
+            made += 1
+    return node
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the vectors that take part: no null, non-finite or all-zero ones."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -146,11 +169,11 @@ def local_nodes(vectors: DataFrame, per_node: int) -> DataFrame:
     return usable(vectors).mapInArrow(run, "v binary, ids array<long>, dim int")
 
 
-INDEX = "dim int, shard int, nodes int, degree int, start int, vectors binary, ids binary, graph binary"
+INDEX = "dim int, shard int, nodes int, rows int, degree int, start int, vectors binary, ids binary, owner binary, graph binary"
 
 
 def build_index(nodes: DataFrame, shards: int, per_node: int) -> DataFrame:
-    """One row of bounded size per (dimension, shard): vectors, ids and graph of its nodes.
+    """One row of bounded size per (dimension, shard): vectors sorted by node, their ids, and the nodes' graph.
 
     Equal vectors meet in one shard, which is chosen by the vector.
     """
@@ -161,18 +184,18 @@ def build_index(nodes: DataFrame, shards: int, per_node: int) -> DataFrame:
             found.setdefault(v, set()).update(ids)
         keys = sorted(found)
         x = np.frombuffer(b"".join(keys), np.float64).reshape(len(keys), -1)
-        ids = np.full((len(keys), per_node), -1, np.int64)
-        many = np.zeros((len(keys), per_node), bool)
-        for k, v in enumerate(keys):
-            part = sorted(found[v])[:per_node]
-            ids[k, : len(part)], many[k, : len(part)] = part, True
-        graph, start = build_graph(_unit(x))
-        row = [t.column("dim")[0].as_py(), t.column("shard")[0].as_py(), len(keys), graph.shape[1], start, x.tobytes(), ids.tobytes() + many.tobytes(), graph.astype(np.int32).tobytes()]
-        kinds = [pa.int32()] * 5 + [pa.binary()] * 3
+        node = one_direction(x)
+        order = np.argsort(node, kind="stable")
+        ids = [(i, row) for row, k in enumerate(order.tolist()) for i in sorted(found[keys[k]])[:per_node]]
+        x, node = x[order], node[order]
+        first = np.searchsorted(node, np.arange(node[-1] + 1))
+        graph, start = build_graph(_unit(x[first]))
+        row = [t.column("dim")[0].as_py(), t.column("shard")[0].as_py(), len(first), len(x), graph.shape[1], start, x.tobytes(), np.array(ids, np.int64).tobytes(), node.astype(np.int64).tobytes(), graph.astype(np.int32).tobytes()]
+        kinds = [pa.int32()] * 6 + [pa.binary()] * 4
         return pa.Table.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], [f.split(" ")[0] for f in INDEX.split(", ")])
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(run, INDEX)
+    return dealt.repartitionByRange(shards, "shard").groupBy("dim", "shard").applyInArrow(run, INDEX)
 
 
 def _blocks(queries: DataFrame, size: int) -> DataFrame:
@@ -207,37 +230,63 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_
     ``k`` candidates give fewer rows, empty tables none; other columns are ignored.
     """
     per_node = k + 1  # the query's own id may be among them
-    nodes = cut(local_nodes(vectors, per_node), "ann-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    index = cut(build_index(nodes, shards, per_node), "ann-index")
-    blocks = _blocks(queries, BLOCK).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = blocks.join(index, ["dim", "shard"])  # every query block meets every shard once
-
-    def run(batches):
-        held, shard = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held != (row["dim"], row["shard"]):
-                    held, n = (row["dim"], row["shard"]), row["nodes"]
-                    x = np.frombuffer(row["vectors"], np.float64).reshape(n, -1)
-                    ids = np.frombuffer(row["ids"], np.int64, n * per_node).reshape(n, -1)
-                    some = np.frombuffer(row["ids"], bool, offset=8 * n * per_node).reshape(n, -1)
-                    graph = np.frombuffer(row["graph"], np.int32).reshape(n, -1).astype(np.int64)
-                    shard = x, np.linalg.norm(x, axis=1), _unit(x), ids, some, graph
-                x, norms, unit, ids, some, graph = shard
-                q = np.frombuffer(row["queries"], np.float64).reshape(-1, row["dim"])
-                q_ids = np.frombuffer(row["query_ids"], np.int64)
-                found, _ = beam_search(unit, graph, row["start"], _unit(q), beam)
-                out: tuple[list, list, list] = [], [], []
-                for i, (own, v, near) in enumerate(zip(q_ids.tolist(), q, found)):
-                    near = near[near >= 0][: 4 * k + 4]
-                    score = (x[near] * v).sum(1) / (norms[near] * np.linalg.norm(v))
-                    best = sorted((-s, c) for s, node in zip(score.tolist(), near) for c in ids[node][some[node]].tolist() if c != own)[:k]
-                    out[0].extend([own] * len(best))
-                    out[1].extend(c for _, c in best)
-                    out[2].extend(-s for s, _ in best)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", number).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Scratch(vectors.sparkSession) as scratch:
+        nodes = scratch.cut(local_nodes(vectors, per_node), "ann-nodes")
+        shards = max(1, -(-nodes.count() // shard_rows))
+        index = scratch.cut(build_index(nodes, shards, per_node), "ann-index")
+        blocks = _blocks(queries, BLOCK).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        pairs = blocks.join(index, ["dim", "shard"])  # every query block meets every shard once
+
+        def run(batches):
+            held, shard = None, None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if held != (row["dim"], row["shard"]):
+                        held, shard = (row["dim"], row["shard"]), _Shard(row)
+                    q = np.frombuffer(row["queries"], np.float64).reshape(-1, row["dim"])
+                    out = shard.search(np.frombuffer(row["query_ids"], np.int64), q, k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+        found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return cut(found.withColumn("rank", number).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-nearest")
+
+
+class _Shard:
+    """A shard's row, opened for searches."""
+
+    def __init__(self, row: dict) -> None:
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(row["rows"], -1)
+        self.norms = np.linalg.norm(self.x, axis=1)
+        node = np.frombuffer(row["owner"], np.int64)
+        self.first = np.searchsorted(node, np.arange(row["nodes"] + 1))  # the vectors of a node lie together
+        ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
+        self.ids, self.ids_at = ids[:, 0], np.searchsorted(ids[:, 1], np.arange(row["rows"] + 1))
+        self.unit, self.start = _unit(self.x[self.first[:-1]]), row["start"]
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(row["nodes"], -1).astype(np.int64)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[list, list, list]:
+        """(query ids, ids, scores) of the ``k`` best of each query."""
+        out: tuple[list, list, list] = [], [], []
+        for at in range(0, len(own), 256):
+            part = queries[at : at + 256]
+            found, _ = beam_search(self.unit, self.graph, self.start, _unit(part), beam)
+            for i, v, near in zip(own[at : at + 256].tolist(), part, found):
+                near = near[near >= 0]
+                rows = _ranges(self.first[near], self.first[near + 1])
+                score = (self.x[rows] * v).sum(1) / (self.norms[rows] * np.linalg.norm(v))
+                some = np.repeat(score, self.ids_at[rows + 1] - self.ids_at[rows])
+                ids = self.ids[_ranges(self.ids_at[rows], self.ids_at[rows + 1])]
+                some, ids = some[ids != i], ids[ids != i]
+                best = np.lexsort((ids, -some))
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])[:k]]  # an id counts once, with its best score
+                out[0].extend([i] * len(best))
+                out[1].extend(ids[best].tolist())
+                out[2].extend(some[best].tolist())
+        return out
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one after the other."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())

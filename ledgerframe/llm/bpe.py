@@ -20,13 +20,15 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
-from .words import Memo, normalise, pieces, split
+from .words import WHITE, Memo, normalise, pieces, split
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
 
 
 def byte_alphabet() -> list[str]:
@@ -149,12 +151,7 @@ class Transducer:
         return held[at:]
 
     def encode_piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8")
-        if len(data) >= self.window:
-            return list(self.stream([data]))
-        symbols = [self.symbol[b] for b in data]
-        symbols[-1] = self.last[data[-1]]
-        return self._merged(symbols)
+        return list(self.stream([piece.encode("utf-8")]))
 
     @functools.cached_property
     def _specials(self):
@@ -186,20 +183,30 @@ class Transducer:
 
     def decode_text(self, ids: Iterable[int]) -> str:
         """The (lower-cased) text: bytes through the state machine, a space at each word's end."""
+        machine = self.text_machine()
+        return machine(ids) + machine(None)
+
+    def text_machine(self):
+        """A function that takes ids as they come and gives the text that is certain; at None, the rest."""
         machine = ByteToText()
-        out = []
-        for i in ids:
-            token = self.token[i]
-            if token in self.special:
-                out += [machine.end(), token, " "]
-                continue
-            end = bool(self.suffix) and token.endswith(self.suffix)
-            body = token[: -len(self.suffix)] if end else token
-            out.append(machine.feed(bytes(self.byte_of[c] for c in body)))
-            if end:
-                out += [machine.end(), " "]
-        out.append(machine.end())
-        return "".join(out)
+
+        def feed(ids: Iterable[int] | None) -> str:
+            if ids is None:
+                return machine.end()
+            out = []
+            for i in ids:
+                token = self.token[i]
+                if token in self.special:
+                    out += [machine.end(), token, " "]
+                    continue
+                end = bool(self.suffix) and token.endswith(self.suffix)
+                body = token[: -len(self.suffix)] if end else token
+                out.append(machine.feed(bytes(self.byte_of[c] for c in body)))
+                if end:
+                    out += [machine.end(), " "]
+            return "".join(out)
+
+        return feed
 
 
 class ByteToText:
@@ -248,25 +255,64 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def chunks(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters that end after white space, so no piece is cut."""
+    at, space = 0, re.compile(f"[{re.escape(WHITE)}]")
+    while len(text) - at > size:
+        found = space.search(text, at + size - 1)
+        if found is None:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:]
+
+
+#: Pieces of more bytes are streamed to the digests instead of being held and remembered.
+LONG = 4096
+
+
 @functools.cache
 def _digests(path: str):
+    """text -> (number of ids, and SHA-256 of ids, of the library's decoding, of the text from bytes).
+
+    The text goes through in chunks, and the digests are fed as ids come out: what is
+    held is a chunk, and of a piece longer than ``LONG`` bytes a window of symbols.
+    """
     t = transducer(path)
+    whole = any(c in WHITE for special in t.special for c in special)
 
-    def entry(piece: str) -> tuple[str, str, int]:
+    def entry(piece: str) -> tuple[str, str, str, int]:
         ids = t.encode_piece(piece)
-        return " ".join(map(str, ids)), t.decode(ids), len(ids)
+        return " ".join(map(str, ids)), t.decode(ids), t.decode_text(ids), len(ids)
 
     memo = Memo(entry, 120_000)
 
-    def of(text: str) -> tuple[int, str, str]:
-        found: list[tuple[str, str, int]] = []
+    def entries(text: str) -> Iterator[tuple[str, str, str, int]]:
         for i, part in t.segments(text):
             if i is not None:
-                found.append((str(i), t.decode([i]), 1))
-            else:
-                found += map(memo.__getitem__, split(normalise(part)))
-        ids, tokens = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-        return sum([x[2] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+                token = t.decode([i])
+                yield str(i), token, token + " ", 1
+                continue
+            for piece in split(normalise(part)):
+                if len(piece) <= LONG:
+                    yield memo[piece]
+                    continue
+                machine, ids = t.text_machine(), t.stream(piece[k : k + LONG].encode() for k in range(0, len(piece), LONG))
+                while some := list(islice(ids, LONG)):
+                    yield " ".join(map(str, some)), t.decode(some), machine(some), len(some)
+
+    def of(text: str) -> tuple[int, str, str, str]:
+        n, digests, begun = 0, [hashlib.sha256() for _ in range(3)], False
+        for chunk in [text] if whole else chunks(text):
+            made = entries(chunk)
+            while found := list(islice(made, 8192)):
+                columns = list(zip(*found))
+                n += sum(columns[3])
+                for digest, strings in zip(digests[:2], columns):
+                    digest.update(((" " if begun else "") + " ".join(strings)).encode())
+                digests[2].update("".join(columns[2]).encode())
+                begun = True
+        return n, *(d.hexdigest() for d in digests)
 
     return of
 
@@ -274,6 +320,9 @@ def _digests(path: str):
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode each whole text and decode it again: ids' and decoded text's digests per row.
 
+    ``decoded_sha256`` is of what the library's decode gives (for a file without decoder
+    the token strings, joined by spaces); ``text_sha256`` of the pieces of the text itself,
+    from the tokens' bytes through the byte-to-text machine, a space after each.
     Narrow: no shuffle, one Arrow pass.  Null text counts as empty (no tokens,
     digests of the empty string); a null doc_id stays null; repeated rows give
     repeated results; an empty table gives an empty one; other columns are ignored.
@@ -285,8 +334,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         of = _digests(path)
         for batch in batches:
             rows = [of(x or "") for x in batch.column(1).to_pylist()]
-            n, a, b = map(list, zip(*rows)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, *digests = map(list, zip(*rows)) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(d, pa.string()) for d in digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 

@@ -100,14 +100,12 @@ def formatter(path: str) -> Formatter:
 
 
 def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """One row per turn, in order within its conversation: ids and loss mask (ids as
-    little-endian unsigned 32-bit integers, the mask one byte an id).
-
-    Turns are encoded before the shuffle, where they lie; the shuffle brings a
-    conversation together and sorts it, and nothing is held but one batch.  Order:
-    turn (nulls first), then role, then text.  Null text or role counts as empty; a
-    null conv_id is a conversation of its own; repeated rows are all kept; an empty
-    table gives an empty result; other columns are ignored.
+    """One row per turn: conv_id, turn, role, ids and loss mask (ids as little-endian
+    unsigned 32-bit integers, the mask one byte an id).
+
+    Narrow: turns are encoded where they lie and nothing is held but one batch.  Null
+    text or role counts as empty; a null conv_id is a conversation of its own; repeated
+    rows are all kept; an empty table gives an empty result; other columns are ignored.
     """
 
     def run(batches):
@@ -115,22 +113,41 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             made = [f.turn(role, text) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             ids, masks = pa.array([a.astype("<u4").tobytes() for a, _ in made], pa.binary()), pa.array([m.tobytes() for _, m in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, masks], ["conv_id", "turn", "role", "text", "input_ids", "loss_mask"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, masks], ["conv_id", "turn", "role", "input_ids", "loss_mask"])
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    made = rows.mapInArrow(run, "conv_id long, turn long, role string, text string, input_ids binary, loss_mask binary")
-    return made.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "turn", "role", "input_ids", "loss_mask")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, input_ids binary, loss_mask binary")
+
+
+def read_turns(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """Each formatted row decoded: conv_id, turn, what was said (role and text), the text under the mask, formatted_chars.  Narrow."""
+
+    def run(batches):
+        f = formatter(tokenizer)
+        names = ["conv_id", "turn", "role", "text", "turns", "loss", "formatted_chars"]
+        for batch in batches:
+            rows = []
+            for ids, mask in zip(*(batch.column(c).to_pylist() for c in ("input_ids", "loss_mask"))):
+                ids, mask = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8)
+                said = list(f.parse(ids))
+                rows.append(("".join(r for r, _ in said), "".join(t for _, t in said), len(said), f.under_mask(ids, mask) if mask.any() else "", len(f.render(ids))))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
+
+    return formatted.mapInArrow(run, "conv_id long, turn long, role string, text string, turns long, loss string, formatted_chars long")
 
 
 def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Per conversation, from ids and masks alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Takes the partitioning and order of ``format_conversations``; keeps running
-    digests only, so a conversation of any length takes constant memory.
+    Rows may come in any order and place.  They are decoded where they lie; then a
+    conversation is brought together in the order of turn (nulls first), role, text.
+    The digests follow each other turn by turn, so one conversation is read by one task;
+    that keeps running digests only and takes constant memory however long it is.
     """
 
     def run(batches):
-        f = formatter(tokenizer)
         state: list | None = None
         out: list[tuple] = []
 
@@ -138,25 +155,24 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
             return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
 
         for batch in batches:
-            for conv, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "input_ids", "loss_mask"))):
+            for conv, _, role, text, turns, loss, chars in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or state[0] != conv:
                     if state is not None:
                         out.append(closed(state))
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, mask = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8)
-                for role, text in f.parse(ids):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                loss = f.under_mask(ids, mask) if mask.any() else ""
+                state[1] += turns
+                state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(loss)
                 state[4].update(loss.encode())
-                state[5] += len(f.render(ids))
+                state[5] += chars
             yield _rows(out)
             out = []
         if state is not None:
             yield _rows([closed(state)])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    turns = read_turns(formatted, tokenizer)
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -129,7 +129,7 @@ def _keys(digests: list[bytes]) -> np.ndarray:
 
 
 def local_groups(docs: DataFrame, held_mb: int = 48, chunk: int = 10_000) -> DataFrame:
-    """Rows of ``docs`` grouped by their bytes within each task (in blocks of ``held_mb`` of text).
+    """Rows of ``docs`` grouped by their bytes within each task (in blocks of ``held_mb`` of texts and ids).
 
     A row has at most ``chunk`` members; members are sorted, largest doc_id first, nulls last.
     """
@@ -163,6 +163,7 @@ def local_groups(docs: DataFrame, held_mb: int = 48, chunk: int = 10_000) -> Dat
                     held += len(text)
                 else:
                     ids.append(doc_id)
+                    held += 8
             if held > held_mb << 20:
                 yield from flush(groups)
                 groups, held = {}, 0
@@ -188,9 +189,14 @@ def _merge(t: pa.Table) -> dict[bytes, tuple]:
     return found
 
 
+#: A task takes about so many buckets, so that tasks are alike in size.
+BUCKETS_A_TASK = 8
+
+
 def _heads(local: DataFrame, buckets: int) -> DataFrame:
     number = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long")
-    return local.select(F.pmod(number, F.lit(buckets)).cast("int").alias("bucket"), "digest", "text", "keep", "size", "local")
+    heads = local.select(F.pmod(number, F.lit(buckets)).cast("int").alias("bucket"), "digest", "text", "keep", "size", "local")
+    return heads.repartition(-(-buckets // BUCKETS_A_TASK), "bucket")
 
 
 HEAD_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -233,7 +239,8 @@ class Snapshot:
             kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["digest", "text", "keep", "size", "local", "maybe"])
 
-        left, right = _heads(local, self.buckets).groupBy("bucket"), self.filters.groupBy("bucket")
+        tasks = -(-self.buckets // BUCKETS_A_TASK)
+        left, right = _heads(local, self.buckets).groupBy("bucket"), self.filters.repartition(tasks, "bucket").groupBy("bucket")
         return cut(left.cogroup(right).applyInArrow(run, "digest binary, text binary, keep long, size long, local long, maybe boolean"), "dedup-batch")
 
 
@@ -244,7 +251,7 @@ def text_key(column: str) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def dedup(earlier: DataFrame, incoming: DataFrame, bucket_mb: int = 24) -> DataFrame:
+def dedup(earlier: DataFrame, incoming: DataFrame, bucket_mb: int = 3) -> DataFrame:
     """Every row of both with its group: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``earlier`` becomes the snapshot, ``incoming`` the batch screened against it.
@@ -255,7 +262,7 @@ def dedup(earlier: DataFrame, incoming: DataFrame, bucket_mb: int = 24) -> DataF
     spark = earlier.sparkSession
     old, new = local_groups(earlier), local_groups(incoming)
     total = sum(x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for x in (old, new))
-    buckets = max(spark.sparkContext.defaultParallelism, -(-total // (bucket_mb << 20)))
+    buckets = max(BUCKETS_A_TASK * spark.sparkContext.defaultParallelism, -(-total // (bucket_mb << 20)))
     snapshot = Snapshot.build(old, buckets)
     batch = snapshot.screen(new)
     s = snapshot.exact.select(F.col("digest").alias("sd"), F.col("text").alias("st"), F.col("keep").alias("sk"), F.col("size").alias("sn"), F.col("local").alias("sl"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod
+from .common import crc_mod, unused
 
 WINDOW = 256
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -129,12 +129,15 @@ class ByteNetwork:
 
 def fit_language(docs: DataFrame, rows: int = 4_000, windows_per_text: int = 3) -> ByteNetwork:
     """Fit on at most ``rows`` labelled documents outside the held-out quarter (those whose ids
-    hash lowest) and at most ``windows_per_text`` of each one's windows, spread over the text."""
+    hash lowest, one row for each id) and at most ``windows_per_text`` of each one's windows,
+    spread over the text."""
     held = crc_mod("doc_id", 4) == 2
     ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(~held)
     chosen = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` integers: a proven bound
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").where("lang is not null")
+    # an id may be repeated any number of times: one of its rows, the same whatever the plan
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.col("lang").cast("string").alias("lang"), "text")).alias("one")).select("one.*")
 
     def run(batches):
         for batch in batches:
@@ -148,7 +151,7 @@ def fit_language(docs: DataFrame, rows: int = 4_000, windows_per_text: int = 3)
                             y.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.string())], ["x", "y"])
 
-    got = sample.select(F.col("lang").cast("string"), "text").mapInArrow(run, "x binary, y string").toArrow()
+    got = sample.select("lang", "text").mapInArrow(run, "x binary, y string").toArrow()
     pairs = sorted(zip(got.column("y").to_pylist(), got.column("x").to_pylist()))  # one order whatever the plan
     languages = sorted({y for y, _ in pairs})
     net = ByteNetwork(languages)
@@ -163,11 +166,13 @@ def predict_language(docs: DataFrame, net: ByteNetwork, keep: list[str]) -> Data
 
     Narrow: no shuffle.  ``und`` with score 0 where the text is null or has no letter;
     repeated rows get equal results; an empty table gives an empty result; columns
-    not named are dropped.
+    not named are dropped, and so are kept ones that are named like the result's own.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers, whatever the corpus
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    kept = [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*kept, F.col("text").cast("string").alias(unused(keep)))
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         for batch in batches:

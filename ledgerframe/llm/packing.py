@@ -47,70 +47,75 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = 400) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search over the bins that are not full.
 
-    A pass takes the emptiest bin as giver.  For each other underfull bin, fullest
-    first, it makes the exchange that fills it most: a piece moved, one for one, two
-    of the giver's for one, or one for two.  Each raises the sum of squared fills (what
-    a bin at least as full gains, the giver loses), so the search ends; it ends
-    early at the lower bound, and at the latest after ``passes`` givers.
+    A sweep takes each underfull bin as giver, the emptiest first.  For each other one,
+    fullest first, it makes the exchange that fills it most: a piece moved, one for one,
+    two of the giver's for one, or one for two.  Each raises the sum of squared fills
+    (what a bin at least as full gains, the giver loses), so the sweeps end: at the lower
+    bound, or when a whole sweep finds nothing.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     live = {k for k in range(len(bins)) if bins[k]}
-    given_up: set[int] = set()
-    for _ in range(passes):
-        if len(live) <= least:
-            break
-        open_ = [k for k in live if fill[k] < capacity and k not in given_up]
-        if len(open_) < 2:
-            break
-        giver = min(open_, key=lambda k: (fill[k], k))
+    gained = True
+    while gained and len(live) > least:
         gained = False
-        for t in sorted((k for k in live if k != giver and fill[k] < capacity), key=lambda k: (-fill[k], k)):
-            if fill[t] < fill[giver]:
-                continue
-            while (step := _exchange(bins[giver], bins[t], lengths, capacity - fill[t])) is not None:
-                out, back = step
-                for i in out:
-                    bins[giver].remove(i)
-                for i in back:
-                    bins[t].remove(i)
-                bins[giver] += back
-                bins[t] += out
-                moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                fill[t] += moved
-                fill[giver] -= moved
-                gained = True
-                if fill[t] == capacity or not bins[giver]:
+        for giver in sorted((k for k in live if fill[k] < capacity), key=lambda k: (fill[k], k)):
+            for t in sorted((k for k in live if k != giver and fill[giver] <= fill[k] < capacity), key=lambda k: (-fill[k], k)):
+                while fill[giver] <= fill[t] < capacity and (step := _exchange(bins[giver], bins[t], lengths, capacity - fill[t])) is not None:
+                    out, back = step
+                    for i in out:
+                        bins[giver].remove(i)
+                    for i in back:
+                        bins[t].remove(i)
+                    bins[giver] += back
+                    bins[t] += out
+                    moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                    fill[t] += moved
+                    fill[giver] -= moved
+                    gained = True
+                    if not bins[giver]:
+                        break
+                if not bins[giver]:
+                    live.discard(giver)
                     break
-            if not bins[giver]:
-                live.discard(giver)
+            if len(live) <= least:
                 break
-        if gained:
-            given_up.clear()  # the bins have changed: others may help now
-        else:
-            given_up.add(giver)
     return [b for b in bins if b]
 
 
+def _by_length(pieces: list[int], lengths: list[int]) -> tuple[list[tuple[int, tuple[int, ...]]], list[tuple[int, tuple[int, ...]]]]:
+    """(one piece, two pieces) for each different length, sorted by it: pieces of one length are alike,
+    and a bin has few lengths (their sum is at most its capacity)."""
+    same: dict[int, list[int]] = {}
+    for i in sorted(pieces):
+        same.setdefault(lengths[i], []).append(i)
+    sizes = sorted(same)
+    pairs: dict[int, tuple[int, ...]] = {}
+    for a, x in enumerate(sizes):
+        for y in sizes[a:]:
+            if x != y:
+                pairs.setdefault(x + y, (same[x][0], same[y][0]))
+            elif len(same[x]) > 1:
+                pairs.setdefault(2 * x, (same[x][0], same[x][1]))
+    return [(x, (same[x][0],)) for x in sizes], sorted(pairs.items())
+
+
 def _exchange(giver: list[int], taker: list[int], lengths: list[int], space: int) -> tuple[list[int], list[int]] | None:
     """The exchange with the largest gain of at most ``space``, or None."""
     best, found = 0, None
-    mine = sorted((lengths[i], i) for i in giver)
-    pairs = sorted((mine[a][0] + mine[b][0], mine[a][1], mine[b][1]) for a in range(len(mine)) for b in range(a)) if len(mine) <= 24 else []
-    theirs = [(lengths[j], (j,)) for j in taker]
-    if len(taker) <= 24:
-        theirs += [(lengths[taker[a]] + lengths[taker[b]], (taker[a], taker[b])) for a in range(len(taker)) for b in range(a)]
-    for size, back in [(0, ()), *theirs]:
-        at = bisect.bisect_right(mine, (size + space, 1 << 60)) - 1
-        if at >= 0 and mine[at][0] - size > best:
-            best, found = mine[at][0] - size, ([mine[at][1]], list(back))
-        if len(back) <= 1:
-            at = bisect.bisect_right(pairs, (size + space, 1 << 60, 0)) - 1
-            if at >= 0 and pairs[at][0] - size > best:
-                best, found = pairs[at][0] - size, ([pairs[at][1], pairs[at][2]], list(back))
+    mine, two = _by_length(giver, lengths)
+    theirs, both = _by_length(taker, lengths)
+    for backs, outs in (([(0, ()), *theirs], (mine, two)), (both, (mine,))):
+        for size, back in backs:
+            for out in outs:
+                at = bisect.bisect_right(out, size + space, key=lambda x: x[0]) - 1
+                if at >= 0 and out[at][0] - size > best:
+                    best, found = out[at][0] - size, (list(out[at][1]), list(back))
+                    if best == space:
+                        return found
     return found
 
 
@@ -137,17 +142,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192, open_below: float = 0.98, rounds: int = 3) -> DataFrame:
-    """``pieces`` (a table with ``length``, at most ``capacity`` each) with sequence_id and offset.
+def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192, open_below: float = 0.98) -> DataFrame:
+    """``pieces`` (a written table with ``length``, at most ``capacity`` each) with sequence_id and offset.
 
-    Every row is placed once, rows that repeat too; a row of length null or 0 takes no room.
+    Rounds go on until what is open fits one group, or a round closes less than a tenth of
+    it.  Every row is placed once, rows that repeat too (groups are chosen by the row's
+    number in its task as well); a row of length null or 0 takes no room.
     """
     names = list(pieces.columns)
-    todo, done = pieces, None
-    for k in range(rounds):
-        n = todo.count()
+    todo, done, before, k = pieces, None, None, 0
+    n = todo.count()
+    while True:
         groups = max(1, -(-n // group_rows))
-        last = k == rounds - 1 or groups == 1
+        last = groups == 1 or (before is not None and 10 * n > 9 * before)
 
         def run(t: pa.Table) -> pa.Table:
             lengths = [x or 0 for x in t.column("length").to_pylist()]
@@ -164,15 +171,18 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192, open_b
                 t = t.append_column(name, pa.array(column))
             return t
 
-        dealt = todo.select(*names, F.pmod(F.xxhash64(*names, F.lit(k)), F.lit(groups)).cast("int").alias("_group"))
+        group = F.pmod(F.xxhash64(*names, F.monotonically_increasing_id(), F.lit(k)), F.lit(groups)).cast("int")
+        dealt = todo.select(*names, group.alias("_group"))
         schema = dealt.drop("_group").schema.add("sequence_id", "long").add("offset", "long").add("_closed", "boolean")
-        packed = cut(dealt.groupBy("_group").applyInArrow(run, schema), "packed")
+        packed = cut(dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(run, schema), "packed")
         part = packed.where("_closed").drop("_closed")
         done = part if done is None else done.unionByName(part)
         if last:
-            break
-        todo = packed.where("not _closed").select(*names)
-    return done
+            return done
+        todo, before, k = packed.where("not _closed").select(*names), n, k + 1
+        n = todo.count()
+        if not n:
+            return done
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:

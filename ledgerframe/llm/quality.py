@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod
+from .common import crc_mod, unused
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = np.zeros((256, 6 + len(_PUNCT)), np.float64)
@@ -122,14 +122,14 @@ class BoostedTrees:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """Up to ``rows`` labelled documents outside the held-out quarter: those whose ids hash lowest.
 
-    One label per doc_id (the largest); null labels and ids are left out.
+    One row (the least text) and one label (the largest) per doc_id; null labels and ids are left out.
     """
     held = crc_mod("doc_id", 4) == 2
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held)
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` pairs of integers: a proven bound
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "_label")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("text", "_label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> BoostedTrees:
@@ -151,11 +151,14 @@ def score_quality(docs: DataFrame, model: BoostedTrees, keep: list[str], thresho
     """The columns ``keep`` of each row with score and predicted (1 from ``threshold`` on).
 
     Narrow: no shuffle.  Null and empty texts get a score too; repeated rows get
-    equal scores; an empty table gives an empty result; columns not named are dropped.
+    equal scores; an empty table gives an empty result; columns not named are dropped,
+    and so are kept ones that are named like the result's own.
     """
+    keep = [c for c in keep if c not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # trees x nodes numbers, whatever the corpus
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    kept = [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*kept, F.col("text").cast("string").alias(unused(keep)))
+    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         trees = sent.value

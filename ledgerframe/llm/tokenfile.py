@@ -2,9 +2,9 @@
 
 A shard file is one Arrow IPC stream.  Each record batch holds up to ``rows``
 sequences of ``length`` ids (``ids``: fixed-size list of the smallest unsigned type
-that holds the vocabulary) and as many mask bits (``mask``: fixed-size list of
-booleans, false on the padding after the shard's last token).  All batches but the
-last have the same size in bytes, so sequence ``i`` is found by arithmetic and read
+that holds the vocabulary) and as many mask bytes (``mask``: fixed-size list of
+bytes, 0 on the padding after the shard's last token).  All batches but the last have
+the same size in bytes, so sequence ``i`` and its mask are found by arithmetic and read
 from a memory map without a copy (``Shard.sequence``).  A second, small stream beside
 it has each document's id and place in the shard.
 
@@ -22,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import work_path
+from .common import cut, work_path
 from .words import library_encoder
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
@@ -48,7 +49,7 @@ class ShardWriter:
     def __init__(self, path: str, length: int, rows: int, kind: pa.DataType) -> None:
         self.fs, self.path = filesystem(path)
         self.length, self.rows, self.kind = length, rows, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_stream(self.out, self.schema)
         self.docs_out = self.fs.open_output_stream(self.path + ".docs")
@@ -90,7 +91,7 @@ class ShardWriter:
         self.held, self.n_held = [flat], len(flat)
 
     def _batch(self, flat: np.ndarray, valid: int) -> None:
-        mask = pa.array(np.arange(len(flat)) < valid)
+        mask = pa.array((np.arange(len(flat)) < valid).astype(np.uint8))
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(flat, self.kind), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
@@ -128,7 +129,7 @@ class Shard:
             yield _flat(batch)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence ``i``, by arithmetic: no other batch is read, its ids are not copied."""
+        """Sequence ``i``, by arithmetic: no other batch is read, neither ids nor mask are copied."""
         if not self.rows or i < 0:
             raise IndexError(i)
         self.source.seek(self.begin + i // self.rows * self.batch_bytes)
@@ -139,8 +140,7 @@ class Shard:
         k = i % self.rows
         if k >= batch.num_rows:
             raise IndexError(i)
-        ids = batch.column(0).values.slice(k * self.length, self.length).to_numpy(zero_copy_only=True)
-        return ids, batch.column(1).values.slice(k * self.length, self.length).to_numpy(zero_copy_only=False)
+        return tuple(c.values.slice(k * self.length, self.length).to_numpy(zero_copy_only=True) for c in batch.columns)
 
     def documents(self) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
         """(doc_id, start in the shard, number of tokens, ids), in order; holds a batch and a document."""
@@ -151,7 +151,7 @@ class Shard:
                     parts, have = [held[start - at :]], len(held) - (start - at)
                     while have < n:
                         ids, mask = next(blocks)
-                        ids = ids[mask] if not mask[-1] else ids
+                        ids = ids[: int(mask.sum())] if not mask[-1] else ids
                         parts.append(ids)
                         have += len(ids)
                     if len(parts) > 1:
@@ -160,26 +160,25 @@ class Shard:
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).values.to_numpy(zero_copy_only=True), batch.column(1).values.to_numpy(zero_copy_only=False)
+    return tuple(c.values.to_numpy(zero_copy_only=True) for c in batch.columns)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, directory: str, length: int = 2048, rows: int = 64) -> DataFrame:
     """Encode whole texts in ascending doc_id order into shards below ``directory``.
 
     Returns the manifest (one row per shard, in order).  One range shuffle of the
-    texts by doc_id; each task encodes and writes its own range, with bounded memory.
+    compressed texts by doc_id; each task encodes and writes its own range, with bounded memory.
     Null text counts as empty (its end id alone); a null doc_id comes first; rows
-    with the same doc_id are ordered by text; an empty table gives no shard; other
+    with the same doc_id are ordered by their compressed text; an empty table gives no shard; other
     columns are ignored.
     """
-    spark = docs.sparkSession
-
     def run(batches):
         import os
 
         encoder = library_encoder(tokenizer)
         kind = id_type(max(end_id + 1, encoder.tokenizer.get_vocab_size()))
         end, writer, shard = np.array([end_id], np.uint32), None, 0
+        unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for doc_id, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
@@ -187,17 +186,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, directory: s
                     store, at = filesystem(path)
                     store.create_dir(os.path.dirname(at), recursive=True)
                     writer = ShardWriter(path, length, rows, kind)
+                text = unzip(text).decode() if text is not None else None
                 writer.add(doc_id, np.concatenate([np.frombuffer(encoder.ids(text), "<u4"), end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_tokens], pa.int64())], ["shard", "path", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def zipped(batches):
+        zip_ = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            texts = [None if x is None else zip_(x.encode()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(zipped, "doc_id long, text binary")
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    manifest = f"{directory}/manifest"
-    ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, MANIFEST).write.parquet(manifest)
-    return spark.read.schema(MANIFEST).parquet(manifest)
+    return cut(ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -219,7 +223,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield _rows(rows)
 
-    return based.select("path", "base", "shard").repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = max(1, manifest.count())  # one row of the manifest is one file
+    return based.select("path", "base", "shard").repartition(shards, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
