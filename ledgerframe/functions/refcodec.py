@@ -39,8 +39,9 @@ def slug(x: Column) -> Column:
 
 
 def safe_slug(x: Column) -> Column:
-    """Letters and digits of any script, ``_``, ``-`` and ``.`` stay; each other character becomes ``_``."""
-    made = F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}_.\-]", "_"), r"^[._]+|[._]+$", "")
+    """Letters and digits of any script, ``_``, ``-`` and ``.`` stay, but for the three at the ends; each
+    other character becomes ``_`` (white space at the ends goes, as ``_`` does there)."""
+    made = F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}_.\-]", "_"), r"^[._\-]+|[._\-]+$", "")
     return F.when(made != "", made)
 
 

@@ -15,11 +15,13 @@ class ContractDrift(ValueError):
 
 @dataclass(frozen=True)
 class Entry:
+    """``compatible`` marks that this version's body may differ from what was published under it."""
+
     kind: str
     name: str
     version: str
     body: object
-    compatible_with: str | None = None
+    compatible: bool = False
 
     @property
     def key(self) -> str:
@@ -31,19 +33,20 @@ class Entry:
 
 
 def manifest(spark, entries: list[Entry]) -> DataFrame:
-    """(key, version, digest, compatible_with); a key may be given once."""
+    """(key, version, digest, compatible); a key may be given once."""
     keys = [e.key for e in entries]
     if twice := sorted({k for k in keys if keys.count(k) > 1}):
         raise ValueError(f"given twice: {', '.join(twice)}")
-    rows = sorted((e.key, e.version, e.digest, e.compatible_with) for e in entries)
-    return spark.createDataFrame(rows, "key string, version string, digest string, compatible_with string")
+    rows = sorted((e.key, e.version, e.digest, e.compatible) for e in entries)
+    return spark.createDataFrame(rows, "key string, version string, digest string, compatible boolean")
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(key, status): added, removed, unchanged, bumped (new version), compatible (marked with the old digest), failed."""
+    """(key, status): added, removed, unchanged (same body and version), bumped (new version, whatever
+    the body), compatible (new body under the same version, marked), failed."""
     o = old.select("key", F.col("version").alias("ov"), F.col("digest").alias("od"))
-    n = new.select("key", F.col("version").alias("nv"), F.col("digest").alias("nd"), F.col("compatible_with").alias("mark"))
-    status = F.when(F.col("ov").isNull(), "added").when(F.col("nv").isNull(), "removed").when(F.col("od") == F.col("nd"), "unchanged").when(F.col("ov") != F.col("nv"), "bumped").when(F.col("mark") == F.col("od"), "compatible").otherwise("failed")
+    n = new.select("key", F.col("version").alias("nv"), F.col("digest").alias("nd"), F.col("compatible").alias("mark"))
+    status = F.when(F.col("ov").isNull(), "added").when(F.col("nv").isNull(), "removed").when(F.col("ov") != F.col("nv"), "bumped").when(F.col("od") == F.col("nd"), "unchanged").when(F.col("mark"), "compatible").otherwise("failed")
     return o.join(n, "key", "full_outer").select("key", status.alias("status"))
 
 

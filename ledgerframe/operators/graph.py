@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .references import field_values
+
 
 def _named(column: str, what: str) -> Column:
     text = F.col(column).cast("string")
@@ -75,3 +77,14 @@ def polymorphic(table: DataFrame, discriminator: str, kind: str, columns: list[s
     """One kind's rows of a table that holds several."""
     rows = table.where(F.col(discriminator) == kind)
     return rows.select(*columns) if columns else rows
+
+
+def dependencies(records: DataFrame, family: str, id_column: str, references: dict[str, str]) -> DataFrame:
+    """(source, target, field), one row for each different reference: ``references`` gives the target family by nested path."""
+    out = None
+    for path, target in references.items():
+        found = F.explode(F.array_distinct(F.transform(field_values(records, path), lambda x: x.cast("string"))))
+        rows = records.select(F.concat(F.lit(family + ":"), F.col(id_column).cast("string")).alias("source"), found.alias("to"))
+        rows = rows.select("source", F.concat(F.lit(target + ":"), "to").alias("target"), F.lit(path).alias("field"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -41,8 +41,6 @@ class Lifecycle:
         for t in self.transitions:
             if t.source not in self.states or t.target not in self.states:
                 problems.append(f"{t.name}: unknown state")
-            if t.source in self.terminal:
-                problems.append(f"{t.name}: leaves a terminal state")
             if t.policy not in POLICIES:
                 problems.append(f"{t.name}: unknown policy")
         if problems:

@@ -108,7 +108,8 @@ class NestedFlat(Placement):
 
     def path(self, ref: Column) -> Column:
         parts = F.split(ref, "/")
-        return F.when(F.size(parts) == 2, F.concat(F.lit(self.namespace + "/"), self._encode(parts[0]), F.lit("/"), self._encode(F.get(parts, F.lit(1))), F.lit(self.extension)))
+        made = F.concat(F.lit(self.namespace + "/"), self._encode(parts[0]), F.lit("/"), self._encode(F.get(parts, F.lit(1))), F.lit(self.extension))
+        return F.when(F.size(parts) == 2, made).otherwise(F.raise_error(F.concat(F.lit("no two-part reference: "), F.coalesce(ref, F.lit("null")))))
 
     def ref(self, path: Column) -> Column:
         parts = F.split(self._relative(path), "/")
@@ -148,3 +149,16 @@ def branch_for(policy: str, owner: Column, primary: str, current: str, fixed: st
         before, _, after = template.partition("{owner}")
         return F.concat(F.lit(before), name, F.lit(after))
     return F.lit({"primary": primary, "current": current, "fixed": fixed}[policy])
+
+
+@dataclass(frozen=True)
+class Singleton(Placement):
+    """The one document of a family, by its path alone; any listing that has the path has it."""
+
+    file: str = "index.yaml"
+
+    def path(self, ref: Column) -> Column:
+        return F.lit(f"{self.namespace}/{self.file}")
+
+    def ref(self, path: Column) -> Column:
+        return F.when(path == f"{self.namespace}/{self.file}", F.lit(self.namespace))

@@ -141,20 +141,59 @@ def ancestors(parents: DataFrame, start: list, id_type: str = "string") -> DataF
     """
     spark = parents.sparkSession
     frontier = spark.createDataFrame([(s, s) for s in start], f"start {id_type}, id {id_type}").withColumn("distance", F.lit(0))
-    met = frontier
+    met = Grown(frontier)
     while not frontier.isEmpty():
         step = frontier.join(parents, "id").select("start", F.col("parent").alias("id"), (F.col("distance") + 1).alias("distance")).distinct()
-        frontier = _saved(step.join(met, ["start", "id"], "left_anti"))
-        met = _saved(met.unionByName(frontier))
-    return met
+        frontier = saved(step.join(met.rows(), ["start", "id"], "left_anti"))
+        met.add(frontier)
+    return met.rows()
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        import tempfile
+class Grown:
+    """A table that grows by rounds: what is added is kept as it was written, and the parts are
+    put together in one only where they are ``parts``, so a row is rewritten a few times at most."""
+
+    def __init__(self, first: DataFrame, parts: int = 16) -> None:
+        self.levels, self.parts = [[first]], parts
+
+    def add(self, rows: DataFrame) -> None:
+        self.levels[0].append(rows)
+        for k, level in enumerate(self.levels):
+            if len(level) < self.parts:
+                break
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(saved(_union(level)))
+            level.clear()
+
+    def rows(self) -> DataFrame:
+        return _union([part for level in self.levels for part in level])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def reachable_commits(parents: DataFrame, heads: list[str]) -> DataFrame:
+    """(sha) of the heads and all their ancestors."""
+    return ancestors(parents, heads).select(F.col("id").alias("sha")).distinct()
 
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerframe-checkpoint-"))
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed; only a local session may have no folder for that yet."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if given := df.sparkSession.conf.get("spark.checkpoint.dir", None):
+            context.setCheckpointDir(given)
+        elif context.master.startswith("local"):
+            import tempfile
+
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return df.checkpoint()
 
 
@@ -162,7 +201,31 @@ def merge_bases(parents: DataFrame, a, b, id_type: str = "string") -> DataFrame:
     """All best common ancestors, by id: those that are no ancestor of another one."""
     up = ancestors(parents, [a, b], id_type)
     common = up.where(F.col("start") == F.lit(a)).select("id").join(up.where(F.col("start") == F.lit(b)).select("id"), "id")
-    common = _saved(common.distinct())
+    common = saved(common.distinct())
     # an ancestor of a common one is common: it is inferior exactly if it is the parent of a common one, or above such
     worse = common.join(parents, "id").select(F.col("parent").alias("id")).distinct()
     return common.join(worse, "id", "left_anti").orderBy("id")
+
+
+def merge_base(parents: DataFrame, a, b, id_type: str = "string"):
+    """The smallest of the best common ancestors; None where there is none."""
+    return merge_bases(parents, a, b, id_type).agg(F.min("id")).first()[0]
+
+
+def directory_digest(entries: DataFrame, directory: str = "") -> DataFrame:
+    """(path, digest) of the directory and all below it: a digest of its entries' sorted names, kinds and digests.
+
+    Level by level from the deepest, one aggregation each: as many as directories are deep.
+    """
+    rows = below(entries, directory).select(F.col("rel").alias("path"), F.col("oid").alias("digest"), F.lit("file").alias("kind"))
+    depth = rows.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+    out = None
+    for level in range(depth, 0, -1):
+        here = F.size(F.split("path", "/")) == level
+        parent = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
+        line = F.concat_ws("\t", "kind", F.substring_index("path", "/", -1), "digest")
+        made = rows.where(here).groupBy(parent.alias("path")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+        made = saved(made.withColumn("kind", F.lit("directory")))
+        out = made if out is None else out.unionByName(made)
+        rows = rows.where(~here).unionByName(made.where("path <> ''"))
+    return (out if out is not None else rows.limit(0)).select("path", "digest")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.canonical import canonical_json_sha256
+
 
 def l2(a: Column, b: Column) -> Column:
     """Distance in double precision, summed in order."""
@@ -53,3 +55,30 @@ def restore(snapshot: DataFrame, entities: DataFrame) -> DataFrame:
     outcome = F.when(F.col("now").isNull(), "orphaned").when(F.col("now") != F.col("content_hash"), "stale").otherwise("restored")
     rows = snapshot.join(now, "id", "left")
     return rows.select(*[F.col(c) for c in snapshot.columns], outcome.alias("outcome"), F.when(F.col("now") == F.col("content_hash"), F.col("new_seq")).alias("seq"))
+
+
+MODELS = "model string, provider string, model_name string, model_version string, content_digest string, dimensions int, created_at string"
+
+
+def register_model(models: DataFrame, provider: str, model_name: str, model_version: str, content_digest: str, dimensions: int, created_at: str) -> DataFrame:
+    """The registry (see ``MODELS``) with this model; its identity is a digest of the four names, and it is
+    registered anew where it is there already.  ``created_at`` is the caller's, so runs repeat."""
+    if dimensions <= 0:
+        raise ValueError("dimensions must be positive")
+    identity = {"content_digest": content_digest, "model_name": model_name, "model_version": model_version, "provider": provider}
+    row = (canonical_json_sha256(identity), provider, model_name, model_version, content_digest, dimensions, created_at)
+    return upsert(models, models.sparkSession.createDataFrame([row], MODELS), ["model"])
+
+
+def point_lookup(vectors: DataFrame, status: DataFrame, source: DataFrame, model: str, ids: DataFrame) -> DataFrame:
+    """(id, vector) of the entities in ``ids`` (id) that have a live vector of the model."""
+    live = status.where(F.col("model") == model).join(ids, "id", "left_semi").join(source.select("seq", "id"), ["seq", "id"]).select("seq", "id")
+    return vectors.where(F.col("model") == model).join(live, "seq").select("id", "vector")
+
+
+def checked_models(vectors: DataFrame, models: DataFrame) -> DataFrame:
+    """Vectors (model, seq, vector) held against the registry; an unknown model or another dimension stops the job."""
+    rows = vectors.join(models.select("model", "dimensions"), "model", "left")
+    wrong = F.when(F.col("dimensions").isNull(), F.raise_error(F.concat(F.lit("unknown model "), "model")))
+    wrong = wrong.when(F.size("vector") != F.col("dimensions"), F.raise_error(F.concat(F.lit("other dimensions than model "), "model")))
+    return rows.select("model", "seq", F.when(wrong.isNull(), F.col("vector")).alias("vector"))

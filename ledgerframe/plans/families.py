@@ -51,9 +51,9 @@ def slug(spark, d):
 
 
 @query("safe_slug", """
-SELECT page_id, nullif(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}_.\\-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '') AS slug FROM pages""")
+SELECT page_id, nullif(regexp_replace(regexp_replace(' -' || url || '-. ', '[^\\p{L}\\p{N}_.\\-]', '_', 'g'), '^[._\\-]+|[._\\-]+$', '', 'g'), '') AS slug FROM pages""")
 def safe_slug(spark, d):
-    return table(spark, d, "pages").select("page_id", refcodec.safe_slug(F.col("url")).alias("slug"))
+    return table(spark, d, "pages").select("page_id", refcodec.safe_slug(F.concat(F.lit(" -"), "url", F.lit("-. "))).alias("slug"))
 
 
 @query("nested_path_refs", "SELECT doc_id, 'docs/' || lang || '/' || doc_id || '.yaml' AS path, lang || '/' || doc_id AS ref FROM documents")
@@ -68,7 +68,7 @@ PART_KEYS = "SELECT p_partkey::VARCHAR AS key, p_partkey AS id FROM part UNION S
 
 @query("reference_lookup", f"SELECT key, count(*)::INTEGER AS n, min(id) AS least FROM ({PART_KEYS}) GROUP BY key")
 def reference_lookup(spark, d):
-    return references.lookup(table(spark, d, "part"), "p_partkey", ["p_name"]).select("key", "n", F.array_min("candidates").alias("least"))
+    return references.lookup(table(spark, d, "part"), "p_partkey", ["p_name"]).select("key", "n", F.col("id").alias("least"))
 
 
 @query("ambiguous_refs", f"SELECT key, count(*) AS n FROM ({PART_KEYS}) GROUP BY key HAVING count(*) > 1")
@@ -183,17 +183,20 @@ def quarantine(spark, d):
 
 
 @query("contract_check", """
-SELECT * FROM (VALUES ('table:nation', 'unchanged'), ('table:region', 'removed'), ('table:customer', 'bumped'), ('table:orders', 'compatible'), ('table:part', 'failed'), ('table:supplier', 'added')) t(key, status)""")
+WITH o AS (SELECT * FROM (VALUES ('table:nation', 1, 'a'), ('table:region', 1, 'a'), ('table:customer', 1, 'a'), ('table:orders', 1, 'a'), ('table:part', 1, 'a'), ('table:lineitem', 1, 'a')) t(key, version, body)),
+n AS (SELECT * FROM (VALUES ('table:nation', 1, 'a', false), ('table:customer', 2, 'b', false), ('table:orders', 1, 'b', true), ('table:part', 1, 'b', false), ('table:supplier', 1, 'a', false), ('table:lineitem', 2, 'a', false)) t(key, version, body, marked))
+SELECT key, CASE WHEN o.version IS NULL THEN 'added' WHEN n.version IS NULL THEN 'removed' WHEN o.version = n.version AND o.body = n.body THEN 'unchanged'
+WHEN o.version <> n.version THEN 'bumped' WHEN n.marked THEN 'compatible' ELSE 'failed' END AS status FROM o FULL JOIN n USING (key)""")
 def contract_check(spark, d):
     def body(name):
         return [[f.name, f.dataType.simpleString()] for f in table(spark, d, name).schema.fields]
 
-    def entry(name, version="2026.01.01", extra=(), mark=None):
+    def entry(name, version="2026.01.01", extra=(), mark=False):
         return contracts.Entry("table", name, version, [*body(name), *extra], mark)
 
-    old = [entry(n) for n in ("nation", "region", "customer", "orders", "part")]
+    old = [entry(n) for n in ("nation", "region", "customer", "orders", "part", "lineitem")]
     more = [["added", "string"]]
-    new = [entry("nation"), entry("customer", "2026.02.01", more), entry("orders", extra=more, mark=old[3].digest), entry("part", extra=more), entry("supplier")]
+    new = [entry("nation"), entry("customer", "2026.02.01", more), entry("orders", extra=more, mark=True), entry("part", extra=more), entry("supplier"), entry("lineitem", "2026.02.01")]
     return contracts.compare(contracts.manifest(spark, old), contracts.manifest(spark, new))
 
 
@@ -244,3 +247,37 @@ def hyperedge(spark, d):
 def polymorphic_view(spark, d):
     events = table(spark, d, "events")
     return graph.polymorphic(events, "event_type", events.agg(F.min("event_type")).first()[0], ["event_id", "user_id", "value"])
+
+
+@query("fk_rewrite_nested", """
+WITH i AS (SELECT o_orderkey, 'c' || o_custkey AS c, ['c' || (o_custkey + 1), 'p' || o_orderkey] AS m FROM orders)
+SELECT o_orderkey, CASE WHEN substr(c, 2)::BIGINT % 3 = 0 THEN c || 'x' ELSE c END AS head, CASE WHEN substr(m[1], 2)::BIGINT % 3 = 0 THEN m[1] || 'x' ELSE m[1] END AS first, m[2] AS second FROM i""")
+def fk_rewrite_nested(spark, d):
+    c = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    member = F.array(F.struct(F.concat(F.lit("c"), (F.col("o_custkey") + 1).cast("string")).alias("ref")), F.struct(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("ref")))
+    rows = table(spark, d, "orders").select("o_orderkey", F.struct(c.alias("ref"), member.alias("members")).alias("body"))
+    keys = table(spark, d, "orders").select("o_custkey").unionByName(table(spark, d, "orders").select((F.col("o_custkey") + 1).alias("o_custkey"))).distinct().where("o_custkey % 3 = 0")
+    images = keys.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("x")).alias("target"))
+    made = references.rewrite_paths(rows, "o_orderkey", {"body.ref": images, "body.members[].ref": images})
+    return made.select("o_orderkey", F.col("body.ref").alias("head"), F.col("body.members")[0]["ref"].alias("first"), F.col("body.members")[1]["ref"].alias("second"))
+
+
+@query("transport_family", """
+WITH r AS (SELECT n_nationkey AS k, n_regionkey AS g, CASE WHEN n_nationkey = 0 THEN 24 ELSE n_nationkey // 2 END AS up FROM nation),
+n AS (SELECT k, up, CASE WHEN g = 1 THEN 'r1x' ELSE 'r' || g END AS region FROM r), x AS (SELECT k, up, region, region || ':' || k AS id FROM n)
+SELECT x.id, x.region, y.id AS parent FROM x JOIN x y ON y.k = x.up""")
+def transport_family(spark, d):
+    """A family whose own references make a cycle; the records of one region move, and their referrers follow."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") == 0, 24).otherwise(F.expr("n_nationkey div 2")).alias("up"))
+    region = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    named = rows.select(F.concat(region, F.lit(":"), F.col("n_nationkey").cast("string")).alias("id"), region.alias("region"), "up", F.col("n_nationkey").alias("k"))
+    named = named.join(named.select(F.col("k").alias("up"), F.col("id").alias("parent")), "up").select("id", "region", "parent", "k")
+    images = spark.createDataFrame([("r1", "r1x")], "source string, target string")
+    made, _ = references.transport_family(named, "id", {"region": images}, ["parent"], lambda df: F.concat("region", F.lit(":"), F.col("k").cast("string")))
+    return made.select("id", "region", "parent")
+
+
+@query("graph_dependencies", """
+SELECT 'order:' || o_orderkey AS source, 'customer:' || o_custkey AS target, 'o_custkey' AS field FROM orders""")
+def graph_dependencies(spark, d):
+    return graph.dependencies(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey")), "order", "o_orderkey", {"o_custkey": "customer"})

@@ -55,6 +55,61 @@ def bm25_topk(spark, d):
     return fts.search(index(spark, d), [fts.Term("the")], limit=20).select("doc", F.round("rank", 9).alias("rank"))
 
 
+def placed(spark, d):
+    return fts.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"], index_id=False, positions=True)
+
+
+@query("fts_phrase", WORDS + "SELECT doc, f FROM (SELECT doc, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM w) WHERE f > 0")
+def fts_phrase(spark, d):
+    return fts.occurrences(placed(spark, d), [fts.Phrase(("of", "the"))]).select("doc", F.size("starts").cast("bigint").alias("f"))
+
+
+@query("fts_first", WORDS + "SELECT doc FROM w WHERE t[1] = 'the'")
+def fts_first(spark, d):
+    return fts.search(placed(spark, d), [fts.Phrase(("the",), first=True)]).select("doc")
+
+
+@query("fts_near", WORDS + "SELECT doc FROM w WHERE len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'of' AND list_contains(t[greatest(1, i - 5):i + 5], 'that'))) > 0")
+def fts_near(spark, d):
+    return fts.search(placed(spark, d), [fts.Near((fts.Phrase(("of",)), fts.Phrase(("that",))), 4)]).select("doc")
+
+
+@query("bm25_phrase", WORDS + """
+, o AS (SELECT doc, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM w), h AS (SELECT doc, f FROM o WHERE f > 0), n AS (SELECT count(*) AS n FROM h),
+i AS (SELECT ln((docs - n + 0.5) / (n + 0.5)) AS idf, mean FROM s, n)
+SELECT doc, round(-(CASE WHEN idf > 0 THEN idf ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)), 9) AS rank FROM h JOIN len USING (doc), i
+WHERE doc NOT IN (SELECT doc FROM p WHERE term = 'heron')""")
+def bm25_phrase(spark, d):
+    return fts.search(placed(spark, d), [fts.Phrase(("of", "the"))], none_of=[fts.Term("heron")]).select("doc", F.round("rank", 9).alias("rank"))
+
+
+@query("knn_joined", """
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+k AS (SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))), 9) AS distance FROM embeddings, q WHERE vec_id % 2 = 0 ORDER BY distance, vec_id LIMIT 25)
+SELECT 'e' || vec_id AS id, vec_id AS seq, distance FROM k WHERE vec_id % 3 <> 0""")
+def knn_joined(spark, d):
+    """Nearest of one model's vectors, then only those whose entity is there under the same seq."""
+    e = table(spark, d, "embeddings")
+    model = F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("model")
+    ident = F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("id")
+    rows = e.select(model, F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    status = e.select(model, F.col("vec_id").alias("seq"), ident)
+    source = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("seq"), ident)
+    target = e.where("vec_id = 0").first()["embedding"]
+    return vectors.nearest_entities(rows, target, 25, status, source, "even").select("id", "seq", F.round("distance", 9).alias("distance"))
+
+
+@query("vec_point", "SELECT 'e' || vec_id AS id, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0 AND label = 3")
+def vec_point(spark, d):
+    e = table(spark, d, "embeddings")
+    model = F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("model")
+    ident = F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("id")
+    rows = e.select(model, F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    source = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("seq"), ident)
+    found = vectors.point_lookup(rows, e.select(model, F.col("vec_id").alias("seq"), ident), source, "even", e.where("label = 3").select(ident))
+    return found.select("id", F.col("vector")[0].cast("double").alias("x"))
+
+
 @query("knn_l2", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))), 9) AS distance FROM embeddings, q ORDER BY distance, id LIMIT 10""")

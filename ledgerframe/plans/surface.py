@@ -39,7 +39,7 @@ for _name, _text in SQL.items():
     query(_name, _text.replace("c_nationkey AS k FROM", "c_nationkey::BIGINT AS k FROM"))(_run(_text))
 
 
-@query("json_agg", "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events WHERE user_id % 50 = 0 GROUP BY 1")
+@query("json_agg", "SELECT user_id, event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1, 2")
 def json_agg(spark, d):
     table(spark, d, "events").createOrReplaceTempView("ledgerframe_events")
-    return spark.sql("SELECT event_type, sum(cast(get_json_object(props, '$.k') AS bigint)) AS k, listagg(cast(event_id AS string), ',') WITHIN GROUP (ORDER BY event_id) AS ids FROM ledgerframe_events WHERE user_id % 50 = 0 GROUP BY event_type")
+    return spark.sql("SELECT user_id, event_type, sum(cast(get_json_object(props, '$.k') AS bigint)) AS k, listagg(cast(event_id AS string), ',') WITHIN GROUP (ORDER BY event_id) AS ids FROM ledgerframe_events GROUP BY user_id, event_type")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def yaml_files(spark: SparkSession, directory: str, schema: T.StructType | str) -> DataFrame:
@@ -47,10 +47,27 @@ def unknown_keys(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
     return rows.withColumn("unknown", extra).where(F.size("unknown") > 0)
 
 
+def _unknown(value: Column, kind: T.DataType, prefix: Column) -> Column | None:
+    """Array of the paths of unknown fields at any level of a JSON text; None where the type has no records."""
+    if isinstance(kind, T.StructType):
+        own = F.array_except(F.json_object_keys(value), F.array(*[F.lit(f.name) for f in kind.fields]).cast("array<string>"))
+        found = [F.transform(own, lambda k: F.concat(prefix, k))]
+        for f in kind.fields:
+            deeper = _unknown(F.get_json_object(value, f"$['{f.name}']"), f.dataType, F.concat(prefix, F.lit(f.name + ".")))
+            found += [] if deeper is None else [deeper]
+        none = F.array().cast("array<string>")
+        return F.concat(*[F.coalesce(x, none) for x in found])
+    if isinstance(kind, T.ArrayType):
+        if _unknown(value, kind.elementType, prefix) is None:
+            return None
+        return F.flatten(F.transform(F.from_json(value, "array<string>"), lambda x: _unknown(x, kind.elementType, prefix)))
+    return None
+
+
 def strict(rows: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
-    """``rows`` with ``document``; an unknown field, a wrong type or a missing required field stops the job."""
+    """``rows`` with ``document``; an unknown field at any level, a wrong type or a missing required field stops the job."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    extra = F.array_except(F.json_object_keys(column), F.array(*[F.lit(f.name) for f in kind.fields]))
+    extra = _unknown(F.col(column), kind, F.lit(""))
     document = F.from_json(column, kind, {"mode": "FAILFAST"})
     refused = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))))
     for f in kind.fields:

@@ -1,18 +1,23 @@
 """Committed snapshots as tables: blobs, commits, manifests, and refs with compare-and-swap.
 
 Tables are Parquet below a shared root; a ref is a folder of numbered files, of which
-the highest is current, and a new number can be created once.  Only refs decide what
-is visible: a writer that loses the race leaves files that no ref leads to.
+the highest is current.  A number's file is written aside and renamed into place, which
+fails where it is there already: readers see whole files, and one writer wins.  That
+needs a store whose rename is atomic and does not replace (HDFS; a local disk for one
+process), not an object store.  Only refs decide what is visible: a writer that loses
+the race leaves files that no ref leads to.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.canonical import blob_oid, canonical_json_sha256
+from ..functions.refcodec import normalize_path
 from ..operators import snapshot
 
 
@@ -56,14 +61,21 @@ class SnapshotStore:
         number, now = self._ref(name)
         if now != expected:
             raise HeadMismatch(f"{name} is at {now}, not {expected}")
+        aside, folder = self._path("aside", uuid.uuid4().hex), ("refs", name.replace("/", "%2F"))
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps({"oid": new}).encode()))
+        out.close()
+        self._fs.mkdirs(self._path(*folder))
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(self._jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
         try:
-            out = self._fs.create(self._path("refs", name.replace("/", "%2F"), str(number + 1)), False)
+            context.rename(aside, self._path(*folder, str(number + 1)), options)
         except Exception as error:  # the JVM's FileAlreadyExistsException
+            self._fs.delete(aside, False)
             if "AlreadyExists" in str(error):
                 raise HeadMismatch(f"{name} was moved by another writer") from error
             raise
-        out.write(bytearray(json.dumps({"oid": new}).encode()))
-        out.close()
 
     def refs(self, prefix: str = "") -> DataFrame:
         rows = []
@@ -101,9 +113,7 @@ class SnapshotStore:
         """Publishes a whole manifest with the given parents."""
         if self.head(ref) != expected:
             raise HeadMismatch(f"{ref} is not at {expected}")
-        bad = snapshot.tree_errors(manifest).limit(1).collect()
-        if bad:
-            raise snapshot.PathConflict(bad[0][0])
+        manifest = self._paths(manifest)
         body = {"parents": parents, "message": message, "ts": time.time_ns() / 1e9, "ref": ref}
         sha = canonical_json_sha256({**body, "ts": repr(body["ts"])}).removeprefix("sha256:")
         manifest.select("path", "oid").write.parquet(f"{self.root}/manifests/{sha}")
@@ -113,16 +123,29 @@ class SnapshotStore:
         self.swap(ref, expected, sha)
         return sha
 
+    @staticmethod
+    def _paths(entries: DataFrame) -> DataFrame:
+        """(path, oid) with normalised paths, each once; a path with two objects, or none, raises."""
+        made = entries.select(normalize_path(F.col("path")).alias("path"), "oid").distinct()
+        bad = snapshot.tree_errors(made).unionByName(made.where("path = ''").select("path")).limit(1).collect()
+        if bad:
+            raise snapshot.PathConflict(bad[0][0] or "empty path")
+        return made
+
     def commit(self, adds: DataFrame | None, deletes: DataFrame | None, message: str, ref: str = "refs/heads/main", expected: str | None | type = ...) -> str:
-        """Adds (path, data), then deletes (path), on top of the ref's head; an empty batch commits too."""
+        """Adds (path, data), then deletes (path), on top of the ref's head; an empty batch commits too.
+
+        Paths are normalised; one that is added twice must have the same data.  An add below a
+        file of the head, or on one of its directories, raises, even if the batch deletes that.
+        """
         head = self.head(ref)
         if expected is not ... and head != expected:
             raise HeadMismatch(f"{ref} is at {head}, not {expected}")
         base = self.manifest(head)
-        added = self.put_blobs(adds) if adds is not None else self.spark.createDataFrame([], "path string, oid string")
+        added = self._paths(self.put_blobs(adds)) if adds is not None else self.spark.createDataFrame([], "path string, oid string")
         gone = deletes if deletes is not None else self.spark.createDataFrame([], "path string")
-        rest = base.join(gone.select("path"), "path", "left_anti")
-        bad = snapshot.prefix_conflicts(rest, added).limit(1).collect()
+        gone = gone.select(normalize_path(F.col("path")).alias("path")).distinct()
+        bad = snapshot.prefix_conflicts(base, added).limit(1).collect()
         if bad:
             raise snapshot.PathConflict(f"{bad[0][0]} and {bad[0][1]}")
         return self.commit_manifest(snapshot.apply_batch(base, added, gone), message, [head] if head else [], ref, head)
@@ -130,8 +153,7 @@ class SnapshotStore:
     def log(self, ref: str = "refs/heads/main", limit: int = 50) -> DataFrame:
         """The ref's history, newest first."""
         head = self.head(ref)
-        parents = self.commits().select(F.col("sha").alias("id"), F.explode("parents").alias("parent"))
-        reached = snapshot.ancestors(parents, [head]).select(F.col("id").alias("sha"))
+        reached = snapshot.reachable_commits(self.parents(), [head])
         return self.commits().join(reached, "sha").orderBy(F.col("ts").desc(), "sha").limit(limit)
 
     def fetch(self, other: SnapshotStore, remote: str, local: str, expected: str | None) -> str:
@@ -139,23 +161,79 @@ class SnapshotStore:
         head = other.head(remote)
         if head is None:
             raise KeyError(remote)
-        parents = other.commits().select(F.col("sha").alias("id"), F.explode("parents").alias("parent"))
-        mine = set(self._names("commits"))
-        for sha in [r[0] for r in snapshot.ancestors(parents, [head]).select("id").distinct().collect()]:  # commits, not documents
-            if f"{sha}.json" in mine:
-                continue
-            manifest = other.manifest(sha)
-            fresh = other.blobs().join(manifest.select("oid"), "oid", "left_semi").dropDuplicates(["oid"])
-            if (have := self.blobs()) is not None:
-                fresh = fresh.join(have.select("oid"), "oid", "left_anti")
-            fresh.write.mode("append").parquet(f"{self.root}/blobs")
-            manifest.write.parquet(f"{self.root}/manifests/{sha}")
-            out = self._fs.create(self._path("commits", f"{sha}.json"), False)
+        missing = snapshot.reachable_commits(other.parents(), [head]).join(self._shas(), "sha", "left_anti")
+        manifests = other.manifests().join(missing, "sha", "left_semi")
+        fresh = other.blobs().join(manifests.select("oid"), "oid", "left_semi").dropDuplicates(["oid"])
+        if (have := self.blobs()) is not None:
+            fresh = fresh.join(have.select("oid"), "oid", "left_anti")
+        fresh.write.mode("append").parquet(f"{self.root}/blobs")
+        shas = [r[0] for r in missing.collect()]  # commits, not documents
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
+        manifests.write.partitionBy("sha").parquet(aside)
+        for sha in shas:
+            self._fs.mkdirs(self._path("manifests"))
+            if not self._fs.rename(self._jvm.org.apache.hadoop.fs.Path(f"{aside}/sha={sha}"), self._path("manifests", sha)):
+                other.manifest(sha).write.mode("overwrite").parquet(f"{self.root}/manifests/{sha}")  # an empty one has no folder
+            out = self._fs.create(self._path("commits", f"{sha}.json"), True)
             out.write(bytearray(json.dumps(other._read("commits", f"{sha}.json")).encode()))
             out.close()
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(aside), True)
         self.swap(local, expected, head)
         return head
 
+    # reachability
+
+    def parents(self) -> DataFrame:
+        """(id, parent) of all commits."""
+        return self.commits().select(F.col("sha").alias("id"), F.explode("parents").alias("parent"))
+
+    def manifests(self) -> DataFrame:
+        """(sha, path, oid) of all commits in one table."""
+        rows = self.spark.read.schema("path string, oid string").option("recursiveFileLookup", "true").parquet(f"{self.root}/manifests")
+        return rows.select(F.regexp_extract("_metadata.file_path", "/manifests/([^/]+)/", 1).alias("sha"), "path", "oid")
+
+    def _shas(self) -> DataFrame:
+        return self.spark.createDataFrame([(n.removesuffix(".json"),) for n in self._names("commits")], "sha string")
+
+    def unreachable(self) -> DataFrame:
+        """(oid) of blobs that no commit which some ref leads to names."""
+        heads = [r.oid for r in self.refs("refs/heads/").collect()]
+        reached = snapshot.reachable_commits(self.parents(), heads)
+        return snapshot.unreachable(self.blobs().select("oid"), self.manifests().join(reached, "sha", "left_semi"))
+
+    def summary(self, sha: str) -> DataFrame:
+        """(path, change) of a commit against its first parent."""
+        up = self._read("commits", f"{sha}.json")["parents"]
+        return snapshot.diff(self.manifest(up[0] if up else None), self.manifest(sha))
+
+    def exists(self, ref: str, path: str) -> bool:
+        """Whether a path is a file or a directory at a ref's head."""
+        at = path.strip("/")
+        rows = self.manifest(self.head(ref)).where((F.col("path") == at) | F.col("path").startswith(at + "/") | F.lit(not at))
+        return not rows.isEmpty()
+
+    def export(self, ref: str, directory: str) -> int:
+        """Writes the files of a ref's head below a folder, from the executors; returns how many.
+
+        The folder must be one that all machines reach by its path.
+        """
+        files = self.manifest(self.head(ref)).join(self.blobs(), "oid").select("path", "data")
+
+        def write(frames):
+            import os
+            import pathlib
+
+            for f in frames:
+                for path, data in zip(f["path"], f["data"]):
+                    to = pathlib.Path(directory, path)
+                    to.parent.mkdir(parents=True, exist_ok=True)
+                    aside = to.with_name(f".{to.name}.{os.getpid()}")
+                    aside.write_bytes(data)
+                    aside.replace(to)
+                yield f[["path"]]
+
+        return files.mapInPandas(write, "path string").count()
+
     # notes
 
     def write_note(self, notes: str, target: str, payload: str | None) -> None:
