@@ -12,6 +12,11 @@ class BadReference(ValueError):
     """A reference is ambiguous, dangling or malformed."""
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    # a lambda with a second parameter, even a given one, would get the element's place
+    return lambda x: x.getField(name)
+
+
 def field_values(df: DataFrame, path: str) -> Column:
     """Array of the strings at a nested path ``a.b[].c``; ``[]`` flattens a list, null and "" are dropped.
 
@@ -25,7 +30,7 @@ def field_values(df: DataFrame, path: str) -> Column:
         if value is None:
             value = F.col(f"`{name}`")
         elif many:
-            value = F.transform(value, lambda x, n=name: x.getField(n))
+            value = F.transform(value, _field(name))
         else:
             value = value.getField(name)
         if listed:
@@ -167,6 +172,11 @@ def _replaced(value: Column, parts: list[str], image: Column) -> Column:
     return F.when(value.isNotNull(), value.withField(name, inner))
 
 
+def _image_of(rest: list[str]) -> Callable[[Column], Column]:
+    image = F.col("_image")
+    return lambda x: F.coalesce(image[x], x) if not rest else _replaced(x, rest, image)
+
+
 def rewrite_paths(records: DataFrame, id_column: str, images: Mapping[str, DataFrame]) -> DataFrame:
     """References at nested paths ``a.b[].c`` replaced by their images (source, target) in one pass.
 
@@ -187,10 +197,7 @@ def rewrite_paths(records: DataFrame, id_column: str, images: Mapping[str, DataF
         name, listed = head.removesuffix("[]"), head.endswith("[]")
         joined = out.join(maps, F.col(id_column) == F.col("_of"), "left")
 
-        def one(x: Column, rest=rest) -> Column:
-            image = F.col("_image")
-            return F.coalesce(image[x], x) if not rest else _replaced(x, rest, image)
-
+        one = _image_of(rest)
         value = F.transform(F.col(f"`{name}`"), one) if listed else one(F.col(f"`{name}`"))
         made = F.when(F.col("_image").isNull(), F.col(f"`{name}`")).otherwise(value).alias(name)
         out = joined.select(*[made if c == name else F.col(f"`{c}`") for c in records.columns])
