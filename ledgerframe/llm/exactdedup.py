@@ -3,7 +3,9 @@
 Texts are equal when their bytes are, after lower-casing A-Z only.
 
 * Each task first groups its own rows by the bytes themselves, so a text that a
-  third of all rows hold leaves a task as one row.
+  third of all rows hold leaves a task as one row.  Where very many tasks hold a text,
+  their rows are merged in groups of bounded size first, again and again, so that no task
+  gets it from all of them.
 * A snapshot is two written tables that never change: exact buckets (digest, text)
   and, per bucket, a static binary-fuse filter over the bucket's digests.
 * An incoming batch is grouped for itself first, by bucket.  The same task asks the
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import Scratch, cut
 
 LOCAL = "digest binary, text binary, keep long, size long, local long, members array<long>"
 HEAD = "bucket int, digest binary, text binary, keep long, size long, local long"
@@ -128,7 +130,7 @@ def _keys(digests: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(d[8:16], "little") for d in digests], np.uint64)
 
 
-def local_groups(docs: DataFrame, held_mb: int = 48, chunk: int = 10_000) -> DataFrame:
+def local_groups(docs: DataFrame, save=cut, held_mb: int = 48, chunk: int = 10_000) -> DataFrame:
     """Rows of ``docs`` grouped by their bytes within each task (in blocks of ``held_mb`` of texts and ids).
 
     A row has at most ``chunk`` members; members are sorted, largest doc_id first, nulls last.
@@ -170,7 +172,7 @@ def local_groups(docs: DataFrame, held_mb: int = 48, chunk: int = 10_000) -> Dat
         yield from flush(groups)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    return cut(rows.mapInArrow(run, LOCAL), "dedup-local")
+    return save(rows.mapInArrow(run, LOCAL), "dedup-local")
 
 
 def _merge(t: pa.Table) -> dict[bytes, tuple]:
@@ -193,6 +195,30 @@ def _merge(t: pa.Table) -> dict[bytes, tuple]:
 BUCKETS_A_TASK = 8
 
 
+#: A text in so many rows is merged in groups of about so many.
+MANY = 64
+
+
+def thinned(local: DataFrame, save=cut) -> DataFrame:
+    """(digest, text, keep, size, local) with no digest in ``MANY`` rows or more: bytes are compared in each merge."""
+    names = ["digest", "text", "keep", "size", "local"]
+    heads = local.select(*names)
+
+    def merge(t: pa.Table) -> pa.Table:
+        found = _merge(t)
+        columns = [list(found), *map(list, zip(*found.values()))]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, HEAD_KINDS[1:])], names)
+
+    while True:
+        many = save(heads.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY), "dedup-many")
+        if many.isEmpty():
+            return heads
+        group = F.pmod(F.xxhash64("local"), F.ceil(F.col("n") / F.lit(MANY // 2))).alias("group")
+        hot = heads.join(many, "digest").select(*names, group)
+        merged = save(hot.groupBy("digest", "group").applyInArrow(merge, HEAD.removeprefix("bucket int, ")), "dedup-merged")
+        heads = heads.join(many, "digest", "left_anti").select(*names).unionByName(merged)
+
+
 def _heads(local: DataFrame, buckets: int) -> DataFrame:
     number = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long")
     heads = local.select(F.pmod(number, F.lit(buckets)).cast("int").alias("bucket"), "digest", "text", "keep", "size", "local")
@@ -210,7 +236,7 @@ class Snapshot:
         self.exact, self.filters, self.buckets = exact, filters, buckets
 
     @classmethod
-    def build(cls, local: DataFrame, buckets: int) -> Snapshot:
+    def build(cls, local: DataFrame, buckets: int, save=cut) -> Snapshot:
         def merge(t: pa.Table) -> pa.Table:
             found = _merge(t)
             n = t.column("bucket")[0].as_py()
@@ -221,11 +247,11 @@ class Snapshot:
             made = BinaryFuse.build(_keys(t.column("digest").to_pylist())).to_bytes()
             return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32()), "filter": pa.array([made], pa.binary())})
 
-        exact = cut(_heads(local, buckets).groupBy("bucket").applyInArrow(merge, HEAD), "dedup-exact")
-        filters = cut(exact.select("bucket", "digest").groupBy("bucket").applyInArrow(index, "bucket int, filter binary"), "dedup-filters")
+        exact = save(_heads(local, buckets).groupBy("bucket").applyInArrow(merge, HEAD), "dedup-exact")
+        filters = save(exact.select("bucket", "digest").groupBy("bucket").applyInArrow(index, "bucket int, filter binary"), "dedup-filters")
         return cls(exact, filters, buckets)
 
-    def screen(self, local: DataFrame) -> DataFrame:
+    def screen(self, local: DataFrame, save=cut) -> DataFrame:
         """The batch's own groups; ``maybe`` where the filter cannot rule out the snapshot (only those keep their text)."""
 
         def run(batch: pa.Table, filters: pa.Table) -> pa.Table:
@@ -241,7 +267,7 @@ class Snapshot:
 
         tasks = -(-self.buckets // BUCKETS_A_TASK)
         left, right = _heads(local, self.buckets).groupBy("bucket"), self.filters.repartition(tasks, "bucket").groupBy("bucket")
-        return cut(left.cogroup(right).applyInArrow(run, "digest binary, text binary, keep long, size long, local long, maybe boolean"), "dedup-batch")
+        return save(left.cogroup(right).applyInArrow(run, "digest binary, text binary, keep long, size long, local long, maybe boolean"), "dedup-batch")
 
 
 def text_key(column: str) -> Column:
@@ -259,17 +285,22 @@ def dedup(earlier: DataFrame, incoming: DataFrame, bucket_mb: int = 3) -> DataFr
     null where a group has no other); of rows repeated with the kept doc_id one is
     kept; empty tables give an empty result; other columns are ignored.
     """
+    with Scratch(earlier.sparkSession) as scratch:
+        return cut(_dedup(earlier, incoming, bucket_mb, scratch.cut), "dedup")
+
+
+def _dedup(earlier: DataFrame, incoming: DataFrame, bucket_mb: int, save) -> DataFrame:
     spark = earlier.sparkSession
-    old, new = local_groups(earlier), local_groups(incoming)
+    old, new = local_groups(earlier, save), local_groups(incoming, save)
     total = sum(x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for x in (old, new))
     buckets = max(BUCKETS_A_TASK * spark.sparkContext.defaultParallelism, -(-total // (bucket_mb << 20)))
-    snapshot = Snapshot.build(old, buckets)
-    batch = snapshot.screen(new)
+    snapshot = Snapshot.build(thinned(old, save), buckets, save)
+    batch = snapshot.screen(thinned(new, save), save)
     s = snapshot.exact.select(F.col("digest").alias("sd"), F.col("text").alias("st"), F.col("keep").alias("sk"), F.col("size").alias("sn"), F.col("local").alias("sl"))
     b = batch.where("maybe").select(F.col("digest").alias("bd"), F.col("text").alias("bt"), F.col("keep").alias("bk"), F.col("size").alias("bn"), F.col("local").alias("bl"))
     # texts travel only to where a positive meets its bucket row: the rows without a partner need none
     met = s.join(b, s.sd == b.bd, "inner").select("sd", F.assert_true(F.col("st") == F.col("bt"), F.lit("two texts share a digest")).alias("same"), "bk", "bn", "bl")
-    met = cut(met.select("sd", "bk", "bn", "bl", F.col("same").isNull().alias("same")), "dedup-met")
+    met = save(met.select("sd", "bk", "bn", "bl", F.col("same").isNull().alias("same")), "dedup-met")
     joined = s.drop("st").join(met.withColumnRenamed("sd", "md"), F.col("sd") == F.col("md"), "left")
     from_batch = F.col("bn").isNotNull() & (F.coalesce(F.col("bk") > F.col("sk"), F.col("bk").isNotNull() & F.col("sk").isNull()))
     old_groups = joined.select(

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import Scratch, cut
 from .words import library_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -149,40 +149,41 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192, open_b
     it.  Every row is placed once, rows that repeat too (groups are chosen by the row's
     number in its task as well); a row of length null or 0 takes no room.
     """
-    names = list(pieces.columns)
-    todo, done, before, k = pieces, None, None, 0
-    n = todo.count()
-    while True:
-        groups = max(1, -(-n // group_rows))
-        last = groups == 1 or (before is not None and 10 * n > 9 * before)
-
-        def run(t: pa.Table) -> pa.Table:
-            lengths = [x or 0 for x in t.column("length").to_pylist()]
-            group = t.column("_group")[0].as_py()
-            number, offset, closed = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.empty(len(lengths), bool)
-            for b, rows in enumerate(pack_lengths(lengths, capacity)):
-                at = 0
-                for i in rows:
-                    number[i], offset[i] = (k << 56) + (group << 24) + b, at
-                    at += lengths[i]
-                closed[rows] = last or at >= open_below * capacity
-            t = t.drop_columns(["_group"])
-            for name, column in (("sequence_id", number), ("offset", offset), ("_closed", closed)):
-                t = t.append_column(name, pa.array(column))
-            return t
-
-        group = F.pmod(F.xxhash64(*names, F.monotonically_increasing_id(), F.lit(k)), F.lit(groups)).cast("int")
-        dealt = todo.select(*names, group.alias("_group"))
-        schema = dealt.drop("_group").schema.add("sequence_id", "long").add("offset", "long").add("_closed", "boolean")
-        packed = cut(dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(run, schema), "packed")
-        part = packed.where("_closed").drop("_closed")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done
-        todo, before, k = packed.where("not _closed").select(*names), n, k + 1
+    with Scratch(pieces.sparkSession) as scratch:
+        names = list(pieces.columns)
+        todo, done, before, k = pieces, None, None, 0
         n = todo.count()
-        if not n:
-            return done
+        while True:
+            groups = max(1, -(-n // group_rows))
+            last = groups == 1 or (before is not None and 10 * n > 9 * before)
+
+            def run(t: pa.Table) -> pa.Table:
+                lengths = [x or 0 for x in t.column("length").to_pylist()]
+                group = t.column("_group")[0].as_py()
+                number, offset, closed = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.empty(len(lengths), bool)
+                for b, rows in enumerate(pack_lengths(lengths, capacity)):
+                    at = 0
+                    for i in rows:
+                        number[i], offset[i] = (k << 56) + (group << 24) + b, at
+                        at += lengths[i]
+                    closed[rows] = last or at >= open_below * capacity
+                t = t.drop_columns(["_group"])
+                for name, column in (("sequence_id", number), ("offset", offset), ("_closed", closed)):
+                    t = t.append_column(name, pa.array(column))
+                return t
+
+            group = F.pmod(F.xxhash64(*names, F.monotonically_increasing_id(), F.lit(k)), F.lit(groups)).cast("int")
+            dealt = todo.select(*names, group.alias("_group"))
+            schema = dealt.drop("_group").schema.add("sequence_id", "long").add("offset", "long").add("_closed", "boolean")
+            packed = scratch.cut(dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(run, schema), "packed")
+            part = packed.where("_closed").drop("_closed")
+            done = part if done is None else done.unionByName(part)
+            if last:
+                return cut(done, "packed")
+            todo, before, k = packed.where("not _closed").select(*names), n, k + 1
+            n = todo.count()
+            if not n:
+                return cut(done, "packed")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
@@ -191,4 +192,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     Null text counts as empty (its end id alone); null and repeated doc_ids keep
     their rows apart; an empty table gives an empty result; other columns are ignored.
     """
-    return pack_pieces(cut(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    with Scratch(docs.sparkSession) as scratch:
+        return pack_pieces(scratch.cut(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
