@@ -123,8 +123,8 @@ def weights(hashes: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> np.ndar
 
 
 def cells(hashes: np.ndarray, weight: np.ndarray) -> tuple[bytes, float]:
-    """Weights summed by cells, about as many as shingles (64 to 4096), rounded up: (whole numbers, size of one)."""
-    n = 1 << int(np.clip(np.ceil(np.log2(len(hashes))), 6, 12))
+    """Weights summed by cells, four to eight times as many as shingles (256 to 8192), rounded up: (whole numbers, size of one)."""
+    n = 1 << int(np.clip(np.ceil(np.log2(len(hashes))) + 2, 8, 13))
     sums = np.bincount(((hashes >> _U(24)) & _U(n - 1)).astype(np.int64), weight, n)
     step = np.nextafter(np.float32(sums.max() / 255), np.float32(np.inf))
     return np.minimum(np.ceil(sums / step), 255).astype(np.uint8).tobytes(), float(step)
@@ -257,11 +257,14 @@ def within_bound(i: np.ndarray, j: np.ndarray, weight: np.ndarray, held: list[tu
     out, common = np.zeros(len(i), bool), np.minimum(size[i], size[j])
     for n in np.unique(common).tolist():
         which = np.flatnonzero(common == n)
-        step = max(1, block * 64 // n)
-        for at in range(0, len(which), step):
-            k = which[at : at + step]
-            shared = np.minimum(folded(n)[i[k]], folded(n)[j[k]]).sum(1)
-            out[k] = shared * 1.0001 >= threshold / (1 + threshold) * (weight[i[k]] + weight[j[k]])
+        for cells_ in (n // 16, n):  # few cells rule most pairs out
+            sums, step, left = folded(cells_), max(1, block * 64 // cells_), []
+            for at in range(0, len(which), step):
+                k = which[at : at + step]
+                shared = np.minimum(sums[i[k]], sums[j[k]]).sum(1)
+                left.append(k[shared * 1.0001 >= threshold / (1 + threshold) * (weight[i[k]] + weight[j[k]])])
+            which = np.concatenate(left) if left else which
+        out[which] = True
     return out
 
 
@@ -366,7 +369,7 @@ class Links:
         here = scratch.cut(rooted(members, self.roots), "near-rooted")
         self._added(scratch.cut(candidates(here, threshold, None), "near-pairs"))
         scratch.drop(here)
-        places = 8
+        places = 16
         while True:
             here = scratch.cut(rooted(members, self.roots), "near-rooted")
             open_ = here.groupBy("bucket", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "part")
@@ -379,7 +382,7 @@ class Links:
             scratch.drop(here)
             if not more:
                 return
-            places *= 8
+            places *= 32
 
     def opened(self, members: DataFrame) -> DataFrame:
         """``members`` with roots, of the buckets that hold different components."""
@@ -392,38 +395,25 @@ class Links:
 
         A bucket of more than ``LARGE`` members is dealt into parts by a hash of the key (of
         another kind in each bucket, so the parts of one group mix), and pairs are first
-        looked for within the parts; then between parts: first among one member for each
-        (component, part), again while that makes them fewer, which joins a large group at a
-        cost in proportion to its size, then among all members that are still in different
-        components (see ``crossed``), so no link is lost.
+        looked for within the parts, which joins a large group at a cost in proportion to its
+        size; then among all members of a bucket that are still in different components (see
+        ``crossed``), so no link is lost.
         """
         scratch, n = self.scratch, F.count(F.lit(1)).alias("n")
         spread = self.signed.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
         shared = scratch.cut(spread.groupBy("bucket").agg(n).where("n > 1"), "near-shared")
         sigs = self.signed.where("sig is not null").select("key", "sig").dropDuplicates(["key"])
-        members = scratch.cut(dealt(spread, shared, 0).join(sigs, "key").select("bucket", "part", "key", "sig"), "near-members")
+        members = scratch.cut(dealt(spread, shared).join(sigs, "key").select("bucket", "part", "key", "sig"), "near-members")
         self.settle(members)
         large = members.join(shared.where(F.col("n") > LARGE).select("bucket"), "bucket").dropDuplicates(["bucket", "key"])
-        rest, turn = scratch.cut(large, "near-large"), 1
-        large, before = rest, rest.count()
-        while before:
-            one = self.opened(rest).groupBy("bucket", "root", "part").agg(F.min(F.struct("key", "sig")).alias("one"))
-            one = scratch.cut(one.select("bucket", "one.key", "one.sig"), "near-ones")
-            now = one.count()
-            if not now:
-                return
-            if 2 * now > before:
-                break
-            rest = scratch.cut(dealt(one, scratch.cut(one.groupBy("bucket").agg(n), "near-shared"), turn), "near-members")
-            self.settle(rest)
-            turn, before = turn + 1, now
-        if before:
-            self.settle(scratch.cut(crossed(self.opened(large), scratch), "near-members"))
+        large = scratch.cut(self.opened(large), "near-large")
+        if not large.isEmpty():
+            self.settle(scratch.cut(crossed(large, scratch), "near-members"))
 
 
-def dealt(rows: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
+def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """``rows`` of the buckets in ``sizes`` (bucket, n), with parts of about ``LARGE``."""
-    part = F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), F.ceil(F.col("n") / F.lit(LARGE)))
+    part = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("n") / F.lit(LARGE)))
     return rows.join(sizes, "bucket").withColumn("part", part.cast("long")).drop("n")
 
 
