@@ -202,6 +202,49 @@ def test_exact_dedup(docs, none):
     assert rows(exactdedup.dedup(none, none)) == []
 
 
+def test_exact_dedup_of_a_text_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "MANY", 4)
+    data = [(i, "Hot text" if i % 3 else f"own {i // 6}") for i in range(240)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(20)
+    groups = defaultdict(list)
+    for i, t in data:
+        groups[t.lower()].append(i)
+    got = exactdedup.dedup(df.where("doc_id < 200"), df.where("doc_id >= 200")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter((i, max(ids), len(ids), i == max(ids)) for ids in groups.values() for i in ids)
+
+
+def test_packing_in_groups(spark):
+    """Rows that repeat spread over the groups, and every row has its place."""
+    rng = np.random.default_rng(14)
+    lengths = [*rng.integers(1, 60, 700).tolist(), *[37] * 300, None, 0]
+    df = spark.createDataFrame([(1, x) for x in lengths], "doc_id long, length int")
+    got = packing.pack_pieces(packing.cut(df, "test"), 100, group_rows=120).collect()
+    assert sorted((r.length or 0) for r in got) == sorted(x or 0 for x in lengths)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length or 0))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(bins) <= 1.06 * sum(x or 0 for x in lengths) / 100
+
+
+def test_local_search_has_no_caps():
+    """Bins of many short pieces, and more bins than the search once looked at."""
+    rng = np.random.default_rng(15)
+    lengths = [*[3] * 300, *[5] * 200, *rng.integers(40, 60, 30).tolist()]
+    bins = packing.pack_lengths(lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and len(bins) == -(-sum(lengths) // 100)
+    lengths = rng.integers(1000, 2500, 1200).tolist()
+    first = packing.best_fit(lengths, 4096)
+    better = packing.improve([list(b) for b in first], lengths, 4096)
+    assert sorted(i for b in better for i in b) == list(range(1200)) and len(better) < len(first)
+    assert all(sum(lengths[i] for i in b) <= 4096 for b in better)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 10, 3000])
 def test_binary_fuse(n):
     rng = np.random.default_rng(n)
