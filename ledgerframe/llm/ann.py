@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch, cut
 
-DEGREE, BEAM, ALPHA, SHARD_ROWS, BLOCK = 28, 72, 1.2, 16384, 1024
+DEGREE, BEAM, ALPHA, SHARD_ROWS, BLOCK = 28, 160, 1.2, 16384, 1024
 #: Unit vectors nearer than this are one node: scaled copies differ by their rounding only.
 SAME = 1e-5
 
