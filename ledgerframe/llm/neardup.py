@@ -377,7 +377,10 @@ class Links:
             if open_.isEmpty():
                 return
             rows = here.join(open_, ["bucket", "part"])
-            rows = rows.join(self.signed.select("key", "cells", "step").where("cells is not null").dropDuplicates(["key"]), "key")
+            # of the cells only those of members may move: their places among SLOTS are broadcast
+            slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")
+            some = self.signed.where("cells is not null").select("key", "cells", "step", slot).join(F.broadcast(rows.select(slot).distinct()), "slot", "left_semi")
+            rows = rows.join(some.select("key", "cells", "step").dropDuplicates(["key"]), "key")
             more = self._added(scratch.cut(candidates(rows, threshold, places), "near-pairs"))
             scratch.drop(here)
             if not more:
