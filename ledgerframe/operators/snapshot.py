@@ -132,32 +132,54 @@ def unreachable(objects: DataFrame, manifests: DataFrame) -> DataFrame:
     return objects.join(manifests.select("oid"), "oid", "left_anti")
 
 
+#: Rows of a round that are broadcast at most; a larger round is joined by a shuffle.
+NARROW = 1 << 17
+
+
 def ancestors(parents: DataFrame, start: list, id_type: str = "string") -> DataFrame:
     """(start, id, distance): all ancestors with their least distance; parents has (id, parent).
 
     Breadth first: each round joins the last frontier with the parents and drops what
     was met, and is checkpointed, so plans stay short.  Rounds are as many as the longest
-    of the shortest ways, not as the ways.
+    of the shortest ways, not as the ways.  Neither the parents nor what was met move in a
+    round of up to ``NARROW`` rows.
     """
     spark = parents.sparkSession
     frontier = spark.createDataFrame([(s, s) for s in start], f"start {id_type}, id {id_type}").withColumn("distance", F.lit(0))
-    met = Grown(frontier)
-    while not frontier.isEmpty():
-        step = frontier.join(parents, "id").select("start", F.col("parent").alias("id"), (F.col("distance") + 1).alias("distance")).distinct()
-        frontier = saved(step.join(met.rows(), ["start", "id"], "left_anti"))
-        met.add(frontier)
+    n = len(start)
+    met = Grown(frontier, n)
+    while n:
+        step = _narrow(frontier, n).join(parents, "id").select("start", F.col("parent").alias("id"), (F.col("distance") + 1).alias("distance")).distinct()
+        frontier = saved(_unmet(step, met))
+        n = frontier.count()
+        met.add(frontier, n)
     return met.rows()
 
 
+def _narrow(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, which are ``n``, to be broadcast if they are few: a checkpoint's size is not known to the planner."""
+    return F.broadcast(rows) if n <= NARROW else rows
+
+
+def _unmet(step: DataFrame, met: Grown) -> DataFrame:
+    """The rows of ``step`` that were not met; the smaller of the two is broadcast if it is small."""
+    on = ["start", "id"]
+    if met.n > NARROW and (n := (step := saved(step)).count()) <= NARROW:
+        again = met.rows().join(F.broadcast(step.select(*on)), on, "left_semi").select(*on)  # at most n
+        return step.join(F.broadcast(again), on, "left_anti")
+    return step.join(_narrow(met.rows(), met.n), on, "left_anti")
+
+
 class Grown:
     """A table that grows by rounds: what is added is kept as it was written, and the parts are
     put together in one only where they are ``parts``, so a row is rewritten a few times at most."""
 
-    def __init__(self, first: DataFrame, parts: int = 16) -> None:
-        self.levels, self.parts = [[first]], parts
+    def __init__(self, first: DataFrame, n: int = 0, parts: int = 16) -> None:
+        self.levels, self.n, self.parts = [[first]], n, parts
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame, n: int = 0) -> None:
         self.levels[0].append(rows)
+        self.n += n
         for k, level in enumerate(self.levels):
             if len(level) < self.parts:
                 break
