@@ -225,7 +225,7 @@ def merge_bases(parents: DataFrame, a, b, id_type: str = "string") -> DataFrame:
     common = up.where(F.col("start") == F.lit(a)).select("id").join(up.where(F.col("start") == F.lit(b)).select("id"), "id")
     common = saved(common.distinct())
     # an ancestor of a common one is common: it is inferior exactly if it is the parent of a common one, or above such
-    worse = common.join(parents, "id").select(F.col("parent").alias("id")).distinct()
+    worse = _narrow(common, common.count()).join(parents, "id").select(F.col("parent").alias("id")).distinct()
     return common.join(worse, "id", "left_anti").orderBy("id")
 
 
