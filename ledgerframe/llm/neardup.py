@@ -9,8 +9,7 @@
   The damping keeps weights within a factor of 1.25: with the plain logarithm a large
   group of near copies would itself make the text that its members share nearly
   weightless, and break up.
-* Improved consistent weighted sampling (Ioffe 2010) gives ``BANDS * ROWS`` samples a
-  document; two documents agree on one with the probability of their weighted
+* Consistent weighted sampling gives ``BANDS * ROWS`` samples a document; two documents agree on one with the probability of their weighted
   Jaccard similarity.  Documents that agree on all samples of a band meet in a bucket.
 * A bucket's pairs are verified on the two whole texts: linked where their weighted
   Jaccard similarity is at least the threshold.  First come the edges of a spanning
@@ -62,18 +61,27 @@ _FACTORS = _mix(np.arange(1, WORDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U
 _MEMO = Memo(_word, 200_000)
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of a whole text's shingles; a text of fewer words is one shingle, an empty one has none."""
+def occurrences(text: str | None) -> np.ndarray:
+    """Hashes of a whole text's shingles, each as often as it occurs; a text of fewer words is one shingle, an empty one has none."""
     words = (text or "").lower().split()
     n = len(words)
     if not n:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, _U)
     w = np.fromiter(map(_MEMO.__getitem__, words), _U, n)
     k = min(n, WORDS)
     h = np.zeros(n - k + 1, _U)
     for j in range(k):
         h += w[j : n - k + 1 + j] * _FACTORS[j]
-    return np.unique(_mix(h), return_counts=True)
+    return _mix(h)
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of a whole text's shingles."""
+    h = np.sort(occurrences(text))
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h)))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -87,8 +95,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         counts, n = np.zeros(COUNTERS, np.uint32), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                h, _ = shingles(text)
-                counts[np.unique(h & _U(COUNTERS - 1)).astype(np.int64)] += 1
+                counts[(occurrences(text) & _U(COUNTERS - 1)).astype(np.int64)] += 1  # a counter that is named twice goes up by one
             n += batch.num_rows
         used = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         data = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].astype("<u4").tobytes(), 1) for k in used]
@@ -131,41 +138,87 @@ def cells(hashes: np.ndarray, weight: np.ndarray) -> tuple[bytes, float]:
 
 
 class Sampler:
-    """Improved consistent weighted sampling; the three random numbers of a (shingle, sample)
-    come from 16 bits each of one hash, through tables of the Gamma(2, 1) distribution."""
+    """Consistent weighted sampling by points in time.
+
+    In each sample a shingle has points at random times (one in a unit of time, on average,
+    for each unit of weight), each at a random height; a document sees those no higher than
+    the shingle's weight, and its sample is the earliest it sees.  So two documents agree
+    with the probability of their weighted Jaccard similarity.  Two units of weight are a
+    row; the halves of one hash are the times of the units' first points.  Most of the work
+    is a least hash over whole units; of the others only what comes earlier is looked at.
+    """
 
     def __init__(self) -> None:
-        u = (np.arange(65536) + 0.5) / 65536
-        # Gamma(2, 1): solve 1 - exp(-x)(1 + x) = u by Newton steps
-        x = np.sqrt(2 * u) + u
-        for _ in range(60):
-            x = np.maximum(x - (1 - np.exp(-x) * (1 + x) - u) / np.maximum(x * np.exp(-x), 1e-12), 1e-6)
-        self.gamma, self.log_gamma = x.astype(np.float32), np.log(x).astype(np.float32)
         self.factor = _mix(np.arange(1, SAMPLES + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
         self.offset = _mix(np.arange(1, SAMPLES + 1, dtype=_U) * _U(0xE7037ED1A0B428DB))
 
+    @staticmethod
+    def rows(hashes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, height of the first unit that is seen, of the second); rows with a whole first unit come first."""
+        more = np.flatnonzero(weight > 2)
+        if len(more):
+            n = np.ceil(weight[more] / 2).astype(np.int64) - 1
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+            of = np.repeat(more, n)
+            hashes = np.concatenate([hashes, _mix(hashes[of] + j.astype(_U) * _U(0x9E3779B97F4A7C15))])
+            weight = np.concatenate([weight, weight[of] - 2 * j])
+        if (part := weight < 1).any():
+            order = np.argsort(part, kind="stable")
+            hashes, weight = hashes[order], weight[order]
+        return hashes, np.minimum(weight, 1), np.clip(weight - 1, 0, 1)
+
     def samples(self, hashes: np.ndarray, weight: np.ndarray, block: int = 512) -> np.ndarray:
         """SAMPLES 64-bit values; equal for two documents with their similarity's probability."""
-        best, out = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, _U)
-        rows = np.arange(SAMPLES)
+        best, out = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, _U)
+        every = np.arange(SAMPLES)
+        hashes, *seen = self.rows(hashes, weight)
+        whole = int(np.searchsorted(-seen[0], -1, "right"))
+        work = np.empty((2, SAMPLES * min(block, len(hashes))), _U)
         for at in range(0, len(hashes), block):
-            h, log_s = hashes[at : at + block], np.log(weight[at : at + block]).astype(np.float32)
-            x = h[None, :] * self.factor[:, None] + self.offset[:, None]
-            x ^= x >> _U(29)
+            h, first, second = (x[at : at + block] for x in (hashes, *seen))
+            x, y = (z[: SAMPLES * len(h)].reshape(SAMPLES, -1) for z in work)
+            np.multiply(h[None, :], self.factor[:, None], out=x)
+            x += self.offset[:, None]
+            x ^= np.right_shift(x, _U(29), out=y)
             x *= _U(0xBF58476D1CE4E5B9)
-            r = self.gamma[x >> _U(48)]
-            beta = ((x >> _U(32)) & _U(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
-            a = self.log_gamma[(x >> _U(16)) & _U(0xFFFF)]
-            t = np.floor(log_s / r + beta)
-            a -= r * (t - beta + 1)
-            k = a.argmin(1)
-            low = a[rows, k]
-            better = low < best
-            best[better] = low[better]
-            made = _mix(h[k] ^ (t[rows, k].astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15)))
-            out[better] = made[better]
+            n = min(max(0, whole - at), len(h))
+            if n:
+                k = x[:, :n].argmin(1)
+                self._earlier(best, out, every, _time(x[every, k] >> _U(32)), _mix(h[k] ^ _U(33)))
+            limit = np.ceil(-np.expm1(-best) * 2.0**32).clip(0, 2.0**32 - 1).astype(np.uint32)[:, None]
+            self._points(best, out, x, h, second, divmod(np.flatnonzero(x.astype(np.uint32) <= limit), len(h)), 0)
+            if n < len(h):
+                i, k = np.nonzero((x[:, n:] >> _U(32)).astype(np.uint32) <= limit)
+                self._points(best, out, x, h, first, (i, k + n), 32)
         return out
 
+    @staticmethod
+    def _earlier(best, out, sample, time, value) -> None:
+        order = np.argsort(-time, kind="stable")  # of one sample's the earliest is written last
+        order = order[time[order] < best[sample[order]]]
+        best[sample[order]], out[sample[order]] = time[order], value[order]
+
+    def _points(self, best, out, x, h, seen, where, shift: int) -> None:
+        """The points of units of which ``seen`` is seen, while they may be the earliest of their sample."""
+        i, k = where
+        some = seen[k] > 0
+        i, k = i[some], k[some]
+        state = x[i, k]
+        time = _time(state >> _U(shift) & _U(0xFFFFFFFF))
+        value = h[k] ^ _U(shift + 1)
+        while len(i):
+            state, value = _mix(state + _U(shift + 1)), _mix(value)
+            sees = (state >> _U(32)) * 2.0**-32 < seen[k]
+            self._earlier(best, out, i[sees], time[sees], value[sees])
+            time = time + _time(state & _U(0xFFFFFFFF))
+            on = ~sees & (time < best[i])
+            i, k, state, time, value = (y[on] for y in (i, k, state, time, value))
+
+
+def _time(u: np.ndarray) -> np.ndarray:
+    """Exponentially distributed times from 32-bit numbers."""
+    return -np.log1p(-(u + 0.5) * 2.0**-32)
+
 
 def signatures(docs: DataFrame, rare) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, key, ``sig`` (see ``SIG``), band keys, cells.
@@ -286,7 +339,7 @@ def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def candidates(members: DataFrame, threshold: float, places: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of keys; a row of nulls where some member has more than ``places``.
+    """Distinct pairs (a, b) of keys, and the parts (bucket, part) where some member has more than ``places``.
 
     ``members``: bucket, part, key, sig, root; a part of a bucket is compared in one task.
     Without ``places`` the pairs are a spanning forest; with them ``members`` has cells and step too.
@@ -297,7 +350,7 @@ def candidates(members: DataFrame, threshold: float, places: int | None) -> Data
     ordered = members.repartition(F.xxhash64("bucket", "part")).sortWithinPartitions("bucket", "part", "key").select(*names)
 
     def run(batches):
-        at, rows, out = None, {}, set()
+        at, rows, out, full = None, {}, set(), set()
 
         def close():
             keys, values = list(rows), list(rows.values())
@@ -314,15 +367,17 @@ def candidates(members: DataFrame, threshold: float, places: int | None) -> Data
                 i, j, like = i[good], j[good], like[good]
                 chosen, more = first_places(i, j, like, places)
                 if more:
-                    out.add((None, None))
+                    full.add(at)
             else:
                 chosen = forest(i, j, like, root)
             out.update((keys[b], keys[a]) for a, b in zip(i[chosen].tolist(), j[chosen].tolist()))
 
         def sent():
-            rows = list(out)
+            rows = [(a, b, None, None) for a, b in out] + [(None, None, *x) for x in full]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["a", "b"])
+            full.clear()
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "bucket", "part"])
 
         for batch in batches:
             for bucket, part, key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -337,7 +392,7 @@ def candidates(members: DataFrame, threshold: float, places: int | None) -> Data
             close()
         yield sent()
 
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    return ordered.mapInArrow(run, "a binary, b binary, bucket long, part long").distinct()
 
 
 class Links:
@@ -347,11 +402,11 @@ class Links:
         self.scratch, self.docs, self.signed, self.named, self.rare, self.threshold = scratch, docs, signed, named, rare, threshold
         self.roots = self.found = self.tested = None
 
-    def _added(self, pairs: DataFrame) -> bool:
-        """Verify those of ``pairs`` that are new; whether there were more than ``candidates`` gave."""
+    def _added(self, pairs: DataFrame) -> DataFrame | None:
+        """Verify those of ``pairs`` that are new; the parts that hold more than ``candidates`` gave."""
         scratch = self.scratch
-        more = not pairs.where("a is null").isEmpty()
-        fresh = pairs.where("a is not null")
+        more = pairs.where("a is null").select("bucket", "part")
+        fresh = pairs.where("a is not null").select("a", "b")
         if self.tested is not None:
             fresh = scratch.cut(fresh.join(self.tested, ["a", "b"], "left_anti"), "near-fresh")
         if not fresh.isEmpty():
@@ -361,7 +416,7 @@ class Links:
                 self.found = good if self.found is None else self.found.unionByName(good)
                 before, self.roots = self.roots, components(self.found, scratch)
                 scratch.drop(before)
-        return more
+        return None if more.isEmpty() else more
 
     def settle(self, members: DataFrame) -> None:
         """``members`` (bucket, part, key, sig): afterwards no pair of one part that may be linked is untested between two components."""
@@ -369,9 +424,9 @@ class Links:
         here = scratch.cut(rooted(members, self.roots), "near-rooted")
         self._added(scratch.cut(candidates(here, threshold, None), "near-pairs"))
         scratch.drop(here)
-        places = 16
+        places, left = 16, members
         while True:
-            here = scratch.cut(rooted(members, self.roots), "near-rooted")
+            here = scratch.cut(rooted(left, self.roots), "near-rooted")
             open_ = here.groupBy("bucket", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "part")
             open_ = scratch.cut(open_, "near-open")
             if open_.isEmpty():
@@ -383,9 +438,10 @@ class Links:
             rows = rows.join(some.select("key", "cells", "step").dropDuplicates(["key"]), "key")
             more = self._added(scratch.cut(candidates(rows, threshold, places), "near-pairs"))
             scratch.drop(here)
-            if not more:
+            if more is None:
                 return
-            places *= 32
+            # all pairs of the other parts are tested
+            places, left = places * 32, members.join(more, ["bucket", "part"])
 
     def opened(self, members: DataFrame) -> DataFrame:
         """``members`` with roots, of the buckets that hold different components."""

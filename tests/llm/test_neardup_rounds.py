@@ -116,3 +116,37 @@ def test_classes_against_all_pairs(spark):
     assert len(links) > 150 and np.mean(linked) >= 0.99
     # no class holds what no link joins
     assert all(wanted[d] == wanted[c] for d, c in got.items())
+
+
+def test_samples_of_large_and_small_weights_agree_by_similarity():
+    rng, s = np.random.default_rng(2), neardup.Sampler()
+    for low, high in ((0.1, 1), (1, 1.25), (0.5, 9)):
+        h, other = rng.integers(0, 1 << 63, (2, 300), np.uint64)
+        a, b = rng.uniform(low, high, (2, 300))
+        other[60:] = h[60:]
+        shared = np.minimum(a, b)[60:].sum()
+        true = shared / (a.sum() + b.sum() - shared)
+        flips = rng.integers(0, 1 << 63, 30, np.uint64)
+        hits = [(s.samples(h ^ f, a) == s.samples(other ^ f, b)).mean() for f in flips]
+        assert abs(np.mean(hits) - true) < 0.03
+
+
+def test_occurrences_count_documents_once(spark):
+    text = " ".join(["a b c d e f"] * 40)
+    h, c = neardup.shingles(text)
+    assert len(h) == 6 and c.sum() == len(neardup.occurrences(text)) == 236
+    rare = neardup.rarity(spark.createDataFrame([(k, text if k < 5 else f"w{k} x y z v") for k in range(2000)], "doc_id long, text string"))
+    at = (h & np.uint64(neardup.COUNTERS - 1)).astype(np.int64)
+    assert len(set(rare[at].tolist())) == 1 and rare[at][0] > 200
+
+
+def test_candidates_name_the_parts_that_hold_more(spark):
+    """Only these are looked at again."""
+    rng = np.random.default_rng(1)
+    low = rng.integers(0, 3, (43, neardup.SAMPLES))
+    sig = signed(low, np.full(43, 9, np.float32))
+    rows = [(1 if k < 40 else 2, k % 2 if k < 40 else 0, bytes([k]) * 16, sig[k].tobytes(), bytes([k]) * 16, b"\x02" * 256, 1.0) for k in range(43)]
+    members = spark.createDataFrame(rows, "bucket long, part long, key binary, sig binary, root binary, cells binary, step float")
+    got = neardup.candidates(members, 0.8, 16).collect()
+    assert {(r.bucket, r.part) for r in got if r.a is None} == {(1, 0), (1, 1)}
+    assert len([r for r in got if r.a is not None]) == 3 + 2 * sum(min(k, 16) for k in range(20))
