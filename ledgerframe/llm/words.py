@@ -111,10 +111,20 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._array = array.array
-        self.memo = Memo(self._whole, memo)
+        self.model = self.tokenizer.model
+        self.memo = Memo(self._piece, memo)
+
+    def _piece(self, piece: str) -> bytes:
+        # letters a to z pass the file's front end as they are, in one piece: the library's model alone gives the same
+        if piece.isascii() and piece.isalpha() and piece.islower():
+            return self._bytes([t.id for t in self.model.tokenize(piece)])
+        return self._whole(piece)
 
     def _whole(self, text: str) -> bytes:
-        ids = self._array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, numbers: list[int]) -> bytes:
+        ids = self._array("I", numbers)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
