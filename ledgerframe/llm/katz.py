@@ -23,11 +23,11 @@ n-grams per block, and far fewer while blocks hold many n-grams of each bucket.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -46,27 +46,33 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 TABLE, REPLY, PART, WISH = range(4)
 STORED = -1  # the block number of a table that is asked again
 _U = np.uint64
+#: The type that holds numbers of so many bytes.
+_WIDTHS = [None, np.uint8, np.uint16, *[np.uint32] * 2, *[np.uint64] * 4]
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers in one value: in the narrowest type, by byte planes, compressed."""
-    parts = []
+    """Arrays of whole numbers in one value: as many bytes of each number as the largest needs, by byte planes, compressed."""
+    parts, compress = [], zstandard.ZstdCompressor(level=1).compress
     for x in map(np.asarray, arrays):
-        top = int(x.max()) if len(x) else 0
-        x = np.ascontiguousarray(x, next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
-        planes = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if len(x) else b""
-        data = zstandard.compress(planes, 3)
-        parts += [struct.pack("<BQ", x.itemsize, len(data)), data]
+        size = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+        x = x.astype(_WIDTHS[size], copy=False)
+        planes = np.empty((size, len(x)), np.uint8)
+        for k in range(size):
+            planes[k] = x >> x.dtype.type(8 * k) if k else x
+        data = compress(planes)
+        parts += [struct.pack("<BQ", size, len(data)), data]
     return b"".join(parts)
 
 
 def _load(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, decompress = [], 0, zstandard.ZstdDecompressor().decompress
     while at < len(data):
         size, n = struct.unpack_from("<BQ", data, at)
-        planes = np.frombuffer(zstandard.decompress(data[at + 9 : at + 9 + n]), np.uint8).reshape(size, -1)
-        x = np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}")
+        planes = np.frombuffer(decompress(data[at + 9 : at + 9 + n]), np.uint8).reshape(size, -1)
+        x = planes[0].astype(_WIDTHS[size])
+        for k in range(1, size):
+            x |= planes[k].astype(x.dtype) << x.dtype.type(8 * k)
         out.append(x.astype(np.int64) if size < 8 else x)
         at += 9 + n
     return out
@@ -82,8 +88,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def _order(columns: list[np.ndarray]) -> np.ndarray:
-    """The stable order of rows by columns of whole numbers, the first counts most.
+def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of rows by columns of whole numbers, the first counts most; and where, so ordered, a row differs from that before.
 
     Columns share a word with the row number where they fit, so that plain values are sorted.
     """
@@ -91,28 +97,33 @@ def _order(columns: list[np.ndarray]) -> np.ndarray:
     bits, order, word, used = max(1, n.bit_length()), None, None, 0
 
     def sorted_by(key, order):
+        """(order, the ordered keys)"""
         key = key if order is None else key[order]
         if int(key.max()).bit_length() + bits > 63:
             step = np.argsort(key, kind="stable")
+            key = key[step]
         else:
-            step = np.sort(key << bits | np.arange(n)) & ((1 << bits) - 1)
-        return step if order is None else order[step]
+            key = np.sort(key << bits | np.arange(n))
+            step = key & ((1 << bits) - 1)
+            key >>= bits
+        return step if order is None else order[step], key
 
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     for c in reversed(columns):
         c = c.astype(np.int64, copy=False)
         size = int(c.max()).bit_length()
         if word is not None and used + size + bits > 63:
-            order, word, used = sorted_by(word, order), None, 0
+            order, word, used = sorted_by(word, order)[0], None, 0
         word, used = (c, size) if word is None else (c << used | word, used + size)
-    return sorted_by(word, order)
+    whole = order is None
+    order, key = sorted_by(word, order)
+    return order, _starts([key] if whole else [c[order] for c in columns])
 
 
 def _groups(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(number of each row's combination in sorted order, a row of each)."""
-    order = _order(columns)
-    new = _starts([c[order] for c in columns])
+    order, new = _order(columns)
     where = np.empty(len(order), np.int64)
     where[order] = np.cumsum(new) - 1
     return where, order[new]
@@ -125,10 +136,9 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-class _Local(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of SipHash of each word's bytes."""
+    return pd.util.hash_array(words.cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False)
 
 
 def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -154,31 +164,30 @@ def make_blocks(docs: DataFrame, tokens: int, rows: int = 400) -> DataFrame:
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << 24, 0
-        local, stream, lengths, ids, train = _Local(), [], [], [], []
-        size = 0
+        end = _hashes(pa.array([END]))
+        hashes, stream, lengths, ids, train = [end], [], [], [], []  # the words of each slice; the end comes before them
+        held, size = 1, 0
 
         def closed():
-            flat, sizes = np.concatenate(stream), np.concatenate(lengths)
-            counts = np.bincount(flat[np.repeat(np.array(train, bool), sizes)], minlength=len(local))
-            hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in local]), "<u8")
             # the vocabulary goes in the order of its hashes
-            order = np.argsort(hashes)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            every, where = np.unique(np.concatenate(hashes), return_inverse=True)
+            flat, sizes = where[np.concatenate(stream)], np.concatenate(lengths)
+            counts = np.bincount(flat[np.repeat(np.array(train, bool), sizes)], minlength=len(every))
             numbers = np.array([0 if i is None else i for i in ids], np.int64)
-            data = _dump(numbers.view(_U), np.array([i is None for i in ids]), sizes, np.array(train, bool), np.diff(hashes[order], prepend=_U(0)), counts[order], place[flat])
-            return _rows([[base + made, len(ids), sum(train), size, len(local), data]], BLOCK).to_batches()[0]
+            data = _dump(numbers.view(_U), np.array([i is None for i in ids]), sizes, np.array(train, bool), np.diff(every, prepend=_U(0)), counts, flat)
+            return _rows([[base + made, len(ids), sum(train), size, len(every), data]], BLOCK).to_batches()[0]
 
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 words, found, counts = tokenized(batch.column(1))
-                mine = np.fromiter(map(local.__getitem__, words.cast(pa.binary()).to_pylist()), np.int64, len(words))
                 ends = np.cumsum(counts + 1) - 1
-                part = np.full(len(found) + len(counts), local[END])
+                part = np.zeros(len(found) + len(counts), np.int64)
                 inside = np.ones(len(part), bool)
                 inside[ends] = False
-                part[inside] = mine[found]
+                part[inside] = found + np.int64(held)
+                hashes.append(_hashes(words))
+                held += len(words)
                 stream.append(part)
                 lengths.append(counts + 1)
                 ids += batch.column(0).to_pylist()
@@ -187,7 +196,7 @@ def make_blocks(docs: DataFrame, tokens: int, rows: int = 400) -> DataFrame:
                 if size >= tokens:
                     yield closed()
                     made += 1
-                    local, stream, lengths, ids, train, size = _Local(), [], [], [], [], 0
+                    hashes, stream, lengths, ids, train, held, size = [end], [], [], [], [], 1, 0
         if ids:
             yield closed()
 
@@ -296,21 +305,21 @@ class _Block:
     """A block whose tokens have their numbers; orders are added one by one."""
 
     def __init__(self, values: list[np.ndarray], n_train: int, hot: int, buckets: int) -> None:
-        ids, null, self.lengths, train, self.numbers, counts, stream = values
+        ids, null, self.lengths, train, numbers, counts, stream = values
         self.doc_ids = [None if z else int(i) for i, z in zip(ids.view(np.int64), null)]
         self.train, self.hot, self.buckets = train.astype(bool), hot, buckets
         starts = np.cumsum(self.lengths) - self.lengths + np.arange(len(self.lengths))
-        self.v = len(self.numbers)  # the start mark's place in the vocabulary
-        self.stream = np.full(int(self.lengths.sum()) + len(starts), self.v, np.int32)
+        # the start mark is the first of the vocabulary, which goes by numbers; so places of n-grams go by what they spell
+        self.stream = np.zeros(int(self.lengths.sum()) + len(starts), np.int32)
         inside = np.ones(len(self.stream), bool)
         inside[starts] = False
-        self.stream[inside] = stream
+        self.stream[inside] = stream + 1
         self.depth = (np.arange(len(self.stream)) - np.repeat(starts, self.lengths + 1)).astype(np.int32)
         self.learned = np.repeat(self.train, self.lengths + 1)
         self.starts = starts
-        self.numbers = np.append(self.numbers, 0)
-        one = _Level(self.stream, None, np.arange(self.v + 1), None, None, 0)
-        one.count = np.append(counts, n_train)
+        self.numbers = np.append(0, np.cumsum(numbers))
+        one = _Level(self.stream, None, np.arange(len(self.numbers)), None, None, 0)
+        one.count = np.append(n_train, counts)
         self.levels = [None, one]
 
     def grow(self) -> int:
@@ -332,107 +341,115 @@ class _Block:
         level = self.levels[m]
         return [*self.spelled(m - 1, level.head[which]), self.numbers[level.tail[which]]]
 
+    def parts(self, m: int, head: np.ndarray) -> np.ndarray:
+        """Over how many buckets the followers of histories are dealt."""
+        return np.maximum(1, -(-self.levels[m - 1].count[head] // self.hot))
+
     def entries(self, m: int, passes: int = 1, turn: int = 0):
         """What order ``m`` asks (in one turn), sorted by bucket, history and follower: n-grams (-1: none,
-        a history alone), histories, their columns, followers, parts of a history, bounds of buckets."""
+        a history alone), histories, followers, where a history's run begins, bounds of buckets."""
         level, below = self.levels[m], self.levels[m - 1].count
         some = below[level.head] > 0
         gram = np.flatnonzero(some & (below[level.suffix] > 0))
+        head = level.head[gram]
         alone = np.zeros(len(below), bool)
         alone[level.head[some]] = True
-        alone[level.head[gram]] = False
+        alone[head] = False
         alone = np.flatnonzero(alone)
-        head = np.concatenate([level.head[gram], alone])
-        tail = np.concatenate([self.numbers[level.tail[gram]], np.zeros(len(alone), np.int64)])
-        gram = np.concatenate([gram, np.full(len(alone), -1)])
-        columns = self.spelled(m - 1, head)
-        parts = np.maximum(1, -(-below[head] // self.hot))
-        part = np.where(parts > 1, _mix(tail.astype(_U)) % parts.astype(_U), _U(0))
-        mixed = reduce(lambda x, c: _mix(x + c.astype(_U)), columns, part)
-        bucket = ((mixed >> _U(16)) % _U(self.buckets)).astype(np.int64)
+        # n-grams lie by history and follower already (only tokens that training has, each with its own number, are left)
+        at = np.searchsorted(head, alone)
+        gram, head = np.insert(gram, at, -1), np.insert(head, at, alone)
+        tail = self.numbers[level.tail[gram]]
+        tail[gram < 0] = 0
+        first = np.flatnonzero(_starts([head]))
+        sizes = np.diff(np.append(first, len(head)))
+        mixed = reduce(lambda x, c: _mix(x + c.astype(_U)), self.spelled(m - 1, head[first]), np.zeros(len(first), _U))
+        parts = self.parts(m, head[first])
+        bucket = np.repeat(self.bucket(mixed), sizes)
+        if (parts > 1).any():
+            split = np.flatnonzero(np.repeat(parts > 1, sizes))
+            mixed, parts = (np.repeat(x, sizes)[split] for x in (mixed, parts))
+            bucket[split] = self.bucket(_mix(mixed + _mix(tail[split].astype(_U)) % parts.astype(_U)))
         if passes > 1:
-            now = np.flatnonzero(bucket % passes == turn)
-            gram, head, tail, parts, bucket = (x[now] for x in (gram, head, tail, parts, bucket))
-            columns = [c[now] for c in columns]
-        order = _order([bucket, *columns, tail])
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        return gram[order], head[order], [c[order] for c in columns], tail[order], parts[order], cuts
-
-    @staticmethod
-    def runs(columns: list[np.ndarray]) -> np.ndarray:
-        """Where each history's run begins."""
-        return np.flatnonzero(_starts(columns))
+            now = np.flatnonzero((np.arange(self.buckets) % passes == turn)[bucket])
+            gram, head, tail, bucket = (x[now] for x in (gram, head, tail, bucket))
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=self.buckets)))
+        head = head[order]
+        new = _starts([head])
+        new[cuts[:-1][cuts[:-1] < cuts[1:]]] = True
+        return gram[order], head, tail[order], np.flatnonzero(new), cuts
+
+    def bucket(self, mixed: np.ndarray) -> np.ndarray:
+        # in few bytes, which sort faster
+        return ((mixed >> _U(16)) % _U(self.buckets)).astype(np.min_scalar_type(self.buckets))
 
     def asks(self, m: int, passes: int, turn: int) -> list[tuple[int, bytes]]:
-        gram, head, columns, tail, parts, cuts = self.entries(m, passes, turn)
+        gram, head, tail, runs, cuts = self.entries(m, passes, turn)
         level = self.levels[m]
         own = np.where(gram >= 0, level.own[gram], 0)
         low = np.where(gram >= 0, self.levels[m - 1].count[level.suffix[gram]], 0)
+        sizes = np.diff(np.append(runs, len(head)))
+        columns, parts, at = self.spelled(m - 1, head[runs]), self.parts(m, head[runs]), np.searchsorted(runs, cuts)
         out = []
         for b in range(turn, self.buckets, passes):
-            i, j = cuts[b], cuts[b + 1]
+            i, j, p, q = cuts[b], cuts[b + 1], at[b], at[b + 1]
             if i < j:
-                part = [c[i:j] for c in columns]
-                at = self.runs(part)
-                out.append((b, _ask(part, at, tail[i:j], own[i:j], low[i:j], parts[i:j][at])))
+                out.append((b, _ask([c[p:q] for c in columns], sizes[p:q], tail[i:j], own[i:j], low[i:j], parts[p:q])))
         return out
 
     def hear(self, m: int, replies: dict[int, bytes], parts: dict[bytes, list[float]]) -> None:
         """Takes the answers to ``asks``: by bucket, and of hot histories by their numbers."""
-        gram, head, columns, _, split, cuts = self.entries(m)
-        level = self.levels[m]
-        for b, data in replies.items():
-            i, j = cuts[b], cuts[b + 1]
-            total, few, low = _load(data)
-            g = gram[i:j]
-            level.count[g[g >= 0]] = total[g >= 0]
-            h = head[i:j][self.runs([c[i:j] for c in columns])]
-            level.few[:, h], level.low[:, h] = few.reshape(K, -1), low.reshape(K + 1, -1)
-        at = np.flatnonzero(split > 1)
-        for h, *key in zip(*(x[at].tolist() for x in (head, *columns))):
+        gram, head, _, runs, _ = self.entries(m)
+        level, head = self.levels[m], head[runs]
+        if replies:
+            total, *sums = (np.concatenate(x) for x in zip(*[_load(replies[b]) for b in sorted(replies)]))
+            some = gram >= 0
+            level.count[gram[some]] = total[some]
+            for row, x in zip((*level.few, *level.low), sums):
+                row[head] = x
+        hot = head[self.parts(m, head) > 1]
+        for h, *key in zip(*(x.tolist() for x in (hot, *self.spelled(m - 1, hot)))):
             sums = parts[struct.pack(f"<{len(key)}I", *key)]
             level.few[:, h], level.low[:, h] = sums[:K], sums[K:]
 
-    def scale(self, m: int, discount: list) -> np.ndarray:
-        """The denominators of the histories of order ``m``: their counts, and one event more where nothing is freed."""
-        count = self.levels[m - 1].count
-        return count + ((discount[m].freed @ self.levels[m].few) <= 0)
-
-    def probability(self, m: int, unigrams: Unigrams, discount: list) -> np.ndarray:
-        """P(last token | those before) of the distinct n-grams of order ``m``, by recursion over the orders."""
-        level = self.levels[m]
-        if m == 1:
-            return unigrams(level.count)
-        lower = self.probability(m - 1, unigrams, discount)[level.suffix]
-        scale, count = self.scale(m, discount), self.levels[m - 1].count
-        freed = discount[m].freed @ level.few
-        left = np.where(freed > 0, freed, 1.0) / np.maximum(scale, 1)
-        # the shorter history of each history is that of any n-gram without its first token
-        below = unigrams.scale if m == 2 else self.scale(m - 1, discount)[self.levels[m - 1].head[level.suffix]]
-        lows = (unigrams.discount if m == 2 else discount[m - 1]).sums(level.low)
-        mass = lows[level.head] / np.maximum(below, 1)
-        weight = np.where(count[level.head] > 0, left[level.head] / np.maximum(1 - mass, 1e-300), 1.0)
-        return np.where(level.count > 0, discount[m](level.count) / np.maximum(scale[level.head], 1), weight * lower)
+    def probabilities(self, unigrams: Unigrams, discount: list) -> list:
+        """P(last token | those before) of the distinct n-grams, order by order."""
+        out, below = [None, unigrams(self.levels[1].count)], None
+        for m in range(2, len(self.levels)):
+            level, count = self.levels[m], self.levels[m - 1].count
+            freed = discount[m].freed @ level.few
+            # the denominators of the histories: their counts, and one event more where nothing is freed
+            scale = count + (freed <= 0)
+            left = np.where(freed > 0, freed, 1.0) / np.maximum(scale, 1)
+            lows = (unigrams.discount if m == 2 else discount[m - 1]).sums(level.low)
+            # the denominators of each history's own shorter history
+            mass = lows / np.maximum(unigrams.scale if m == 2 else below[self.levels[m - 1].suffix], 1)
+            weight = np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+            out.append(np.where(level.count > 0, discount[m](level.count) / np.maximum(scale, 1)[level.head], weight[level.head] * out[-1][level.suffix]))
+            below = scale
+        return out
 
     def scores(self, unigrams: Unigrams, discount: list) -> pa.Table:
         top = len(self.levels) - 1
         log_p = np.zeros(len(self.stream))
-        for m in range(2, top + 1):
-            j = np.flatnonzero(self.depth == m - 1 if m < top else self.depth >= m - 1)
-            log_p[j] = np.log10(self.probability(m, unigrams, discount))[self.levels[m].place[j]]
-        inside = self.depth > 0
-        count = self.levels[1].count[self.stream]
-        base = np.where(inside, np.log10((count + 1) / (unigrams.total + unigrams.types + 1)), 0.0)
+        p = self.probabilities(unigrams, discount)
+        for m in range(2, top):
+            j = np.flatnonzero(self.depth == m - 1)
+            log_p[j] = np.log10(p[m][self.levels[m].place[j]])
+        j = np.flatnonzero(self.depth >= top - 1)
+        log_p[j] = np.log10(p[top])[self.levels[top].place[j]]
+        count = self.levels[1].count
+        base, known = np.log10((count + 1) / (unigrams.total + unigrams.types + 1)), (count > 0).astype(np.int64)
+        base[0], known[0] = 0.0, 0  # the start mark is no token
         add = lambda x: np.add.reduceat(x, self.starts).tolist()
-        columns = [self.doc_ids, (~self.train).tolist(), self.lengths.tolist(), add((inside & (count > 0)).astype(np.int64)), [unigrams.total] * len(self.lengths), add(base), add(log_p)]
+        columns = [self.doc_ids, (~self.train).tolist(), self.lengths.tolist(), add(known[self.stream]), [unigrams.total] * len(self.lengths), add(base[self.stream]), add(log_p)]
         return _rows(list(zip(*columns)), SCORES)
 
 
-def _ask(columns, at, tail, own, low, parts) -> bytes:
-    """An ask's value; a stored table has the same form."""
-    heads = [c[at] for c in columns]
-    heads[0] = np.diff(heads[0], prepend=0)
-    return _dump(*heads, np.diff(np.append(at, len(tail))), tail, own, low, parts)
+def _ask(heads, sizes, tail, own, low, parts) -> bytes:
+    """An ask's value: histories by column, their numbers of followers, these; a stored table has the same form."""
+    return _dump(np.diff(heads[0], prepend=0), *heads[1:], sizes, tail, own, low, parts)
 
 
 def answer_grams(m: int):
@@ -452,17 +469,22 @@ def answer_grams(m: int):
         of, tail = of[one], tail[one]
         total = np.bincount(gram, np.concatenate(own), len(one)).astype(np.int64)
         low = np.concatenate(low)[one]
-        seen = total > 0
-        few = np.stack([np.bincount(of[total == r], minlength=len(first)) for r in range(1, K + 1)])
-        lows = [np.bincount(of[seen & (low == r)], minlength=len(first)) for r in range(1, K + 1)]
-        large = seen & (low > K)
-        lows = np.stack([*lows, np.bincount(of[large], low[large], len(first)).astype(np.int64)])
+        seen, n = total > 0, len(first)
+
+        def up_to_k(x):
+            """How many followers of each history have 1 to K of ``x``."""
+            at = np.flatnonzero(seen & (x > 0) & (x <= K))
+            return np.bincount((x[at] - 1) * n + of[at], minlength=K * n).reshape(K, n)
+
+        few, large = up_to_k(total), seen & (low > K)
+        lows = np.vstack([up_to_k(low), np.bincount(of[large], low[large], n).astype(np.int64)])
         split = np.concatenate(parts)[first]
         spelled = [c[first] for c in columns]
-        at = _Block.runs([of[seen]]) if seen.any() else np.zeros(0, np.int64)
+        held = of[seen]
+        at = np.flatnonzero(_starts([held])) if len(held) else np.zeros(0, np.int64)
         stats = [float((total == r).sum()) for r in range(1, K + 2)]
-        inner = [c[of[seen]] for c in spelled]
-        rows = [[TABLE, b, None, None, _ask(inner, at, tail[seen], total[seen], low[seen], split[of[seen]][at]), stats]]
+        sizes = np.diff(np.append(at, len(held)))
+        rows = [[TABLE, b, None, None, _ask([c[held[at]] for c in spelled], sizes, tail[seen], total[seen], low[seen], split[held[at]]), stats]]
         hot = split > 1
         name = {h: struct.pack(f"<{m - 1}I", *(int(c[h]) for c in spelled)) for h in np.flatnonzero(hot).tolist()}
         rows += [[PART, b, None, key, None, [*few[:, h].astype(float).tolist(), *lows[:, h].astype(float).tolist()]] for h, key in name.items()]
@@ -471,7 +493,7 @@ def answer_grams(m: int):
             h, g = which[h0 : h0 + n], gram[g0 : g0 + k]
             h0, g0 = h0 + n, g0 + k
             if block != STORED:
-                rows.append([REPLY, b, block, None, _dump(total[g], few[:, h].ravel(), lows[:, h].ravel()), None])
+                rows.append([REPLY, b, block, None, _dump(total[g], *few[:, h], *lows[:, h]), None])
                 rows += [[WISH, b, block, name[x], None, None] for x in h[hot[h]].tolist()]
         return _rows(rows, ANSWER)
 
@@ -569,7 +591,11 @@ class Katz:
             *head, _, _, stream = _load(left.column("data")[0].as_py())
             replies = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
             numbers, counts = (np.concatenate(x) for x in zip(*[_load(d) for _, d in replies]))
-            return _rows([[left.column("block")[0].as_py(), _dump(*head, numbers, counts, stream)]], "block long, data binary")
+            # from here on the vocabulary goes in the order of its numbers
+            order = np.argsort(numbers, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            return _rows([[left.column("block")[0].as_py(), _dump(*head, np.diff(numbers[order], prepend=0), counts[order], place[stream])]], "block long, data binary")
 
         replies = answers.where(f"kind = {REPLY}").select("block", "bucket", "data")
         left, right = (x.repartition(spread, "block").groupBy("block") for x in (blocks.select("block", "data"), replies))
@@ -582,10 +608,10 @@ class Katz:
         def opened(data: bytes) -> _Block:
             values = _load(data)
             x = _Block(values[:7], n_train, hot, buckets)
-            for at in range(7, len(values), 3):
+            for at in range(7, len(values), 2 * K + 2):
                 level = x.levels[x.grow()]
-                level.count = values[at]
-                level.few, level.low = values[at + 1].reshape(K, -1).astype(np.int32), values[at + 2].reshape(K + 1, -1)
+                level.count, *sums = values[at : at + 2 * K + 2]
+                level.few, level.low = np.array(sums[:K], np.int32), np.array(sums[K:])
             return x
 
         return opened
@@ -635,7 +661,7 @@ class Katz:
     def _heard(self, block: DataFrame, answers: list[DataFrame], spread: int) -> DataFrame:
         def made(number: int, data: bytes, x: _Block) -> pa.Table:
             level = x.levels[-1]
-            return _rows([[number, data + _dump(level.count, level.few.ravel(), level.low.ravel())]], "block long, data binary")
+            return _rows([[number, data + _dump(level.count, *level.few, *level.low)]], "block long, data binary")
 
         return self._cogrouped(block, answers, spread, made, "block long, data binary")
 
