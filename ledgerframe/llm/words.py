@@ -16,16 +16,28 @@ from collections.abc import Callable
 
 #: Unicode's White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+#: Characters that the library looks at in one call, to learn its classes.
+BLOCK = 4096
 
 
 @functools.cache
 def _ranges(prop: str) -> str:
-    """A character class body: what the library's own expressions hold to have the property."""
+    """A character class body: what the library's own expressions hold to have the property.
+
+    The characters go to the library in blocks, and runs that touch are joined: for all of
+    them at once it takes some 270 MB for a moment, in each Python worker.
+    """
     from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
-    runs = pre_tokenizers.Split(Regex(rf"\p{{{prop}}}+"), "removed", invert=True).pre_tokenize_str(every)
-    return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run, _ in runs)
+    finder, runs = pre_tokenizers.Split(Regex(rf"\p{{{prop}}}+"), "removed", invert=True), []
+    for at in range(0, sys.maxunicode + 1, BLOCK):
+        block = "".join(chr(i) for i in range(at, min(at + BLOCK, sys.maxunicode + 1)) if not 0xD800 <= i < 0xE000)
+        for run, _ in finder.pre_tokenize_str(block):
+            first, last = ord(run[0]), ord(run[-1])
+            if runs and runs[-1][1] + 1 == first:
+                first = runs.pop()[0]
+            runs.append((first, last))
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
 
 
 def _pattern(letter: str, number: str, white: str) -> re.Pattern[str]:

@@ -2,6 +2,9 @@
 
 import itertools
 import string
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -21,3 +24,23 @@ def test_plain_pieces_get_the_ids_of_the_whole_encoder():
     encoder._whole = lambda text: seen.append(text) or b""
     encoder.ids("plain letters, 12 and naïve")
     assert sorted(seen) == [",", "1", "2", "naïve"] or sorted(seen) == [",", "12", "naïve"]
+
+
+@pytest.mark.parametrize("prop", ["L", "N"])
+def test_classes_are_those_of_one_call_over_all_characters(prop, monkeypatch):
+    found = words._ranges.__wrapped__(prop)
+    for block in (sys.maxunicode + 1, 1000):
+        monkeypatch.setattr(words, "BLOCK", block)
+        assert words._ranges.__wrapped__(prop) == found
+
+
+def test_a_worker_that_loads_the_encoder_stays_small():
+    code = """
+import re, public_tokenizers
+from ledgerframe.llm.words import library_encoder
+encoder = library_encoder(public_tokenizers.path("word_bpe_49k.json"))
+encoder.ids("plain"), encoder.ids("\\u03bb\\u03cc\\u03b3\\u03bf\\u03c2")
+print(int(re.search("VmHWM:\\\\s+(\\\\d+)", open("/proc/self/status").read())[1]) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(words.__file__).parents[2]).stdout
+    assert int(out.split()[-1]) < 200
