@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -122,6 +124,19 @@ class Scratch:
         self.paths.clear()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes (a row at least), in order.
+
+    What a Python worker makes of a batch (texts, results) is then small at any time, and
+    the memory that Arrow keeps is given back at the end, for workers outlive their tasks.
+    """
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32(column as text) mod ``modulus``; a null column counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, cut
+from .common import Scratch, cut, sliced
 
 LOCAL = "digest binary, text binary, keep long, size long, local long, members array<long>"
 HEAD = "bucket int, digest binary, text binary, keep long, size long, local long"
@@ -156,7 +156,7 @@ def local_groups(docs: DataFrame, save=cut, held_mb: int = 48, chunk: int = 10_0
 
         groups: dict[bytes, list] = {}
         held = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = (text or b"").translate(UPPER)
                 ids = groups.get(text)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, unused
+from .common import crc_mod, sliced, unused
 
 WINDOW = 256
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -175,7 +175,7 @@ def predict_language(docs: DataFrame, net: ByteNetwork, keep: list[str]) -> Data
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = sent.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])

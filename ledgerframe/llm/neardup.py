@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, cut
+from .common import Scratch, cut, sliced
 from .words import Memo
 
 WORDS, BANDS, ROWS = 5, 20, 5
@@ -93,7 +93,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         counts, n = np.zeros(COUNTERS, np.uint32), 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts[(occurrences(text) & _U(COUNTERS - 1)).astype(np.int64)] += 1  # a counter that is named twice goes up by one
             n += batch.num_rows
@@ -230,7 +230,7 @@ def signatures(docs: DataFrame, rare) -> DataFrame:
         sampler, seen = Sampler(), set()
         names = ["doc_id", "key", "sig", "bands", "cells", "step"]
         kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.float32()]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 key = hashlib.sha256((text or "").encode()).digest()[:16]
@@ -258,7 +258,7 @@ def signatures(docs: DataFrame, rare) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>, cells binary, step float")
 
 
-def likeness(sig: np.ndarray, root: np.ndarray, threshold: float, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def likeness(sig: np.ndarray, root: np.ndarray, threshold: float, block: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, equal samples) of members in different components whose weights allow the threshold, i > j."""
     low, weight = sig["low"], sig["weight"]
     out = []
@@ -303,8 +303,10 @@ def within_bound(i: np.ndarray, j: np.ndarray, weight: np.ndarray, held: list[tu
     def folded(n: int) -> np.ndarray:
         """All members with at least ``n`` cells, in ``n`` cells."""
         if n not in tables:
-            rows = [np.frombuffer(c, np.uint8).reshape(-1, n).sum(0, np.float32) * np.float32(s) if len(c) >= n else np.zeros(n, np.float32) for c, s in held]
-            tables[n] = np.stack(rows)
+            tables[n] = np.zeros((len(held), n), np.float32)
+            for row, (c, s) in zip(tables[n], held):
+                if len(c) >= n:
+                    row[:] = np.frombuffer(c, np.uint8).reshape(-1, n).sum(0, np.float32) * np.float32(s)
         return tables[n]
 
     out, common = np.zeros(len(i), bool), np.minimum(size[i], size[j])
@@ -506,7 +508,7 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, rare, threshol
 
     def run(batches):
         kept: tuple[bytes, tuple] | None = None
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
                 if kept is None or kept[0] != a:  # rows come sorted by a

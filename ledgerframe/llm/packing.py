@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, cut
+from .common import Scratch, cut, sliced
 from .words import library_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -129,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
 
     def run(batches):
         encoder, end = library_encoder(tokenizer), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.ids(text) + end

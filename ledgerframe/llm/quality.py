@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, unused
+from .common import crc_mod, sliced, unused
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = np.zeros((256, 6 + len(_PUNCT)), np.float64)
@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, model: BoostedTrees, keep: list[str], thresho
 
     def run(batches):
         trees = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             score = np.zeros(0)
             if batch.num_rows:
                 score = trees.score(np.stack([statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]))

@@ -12,6 +12,7 @@ import functools
 import re
 import sys
 import unicodedata
+import weakref
 from collections.abc import Callable
 
 #: Unicode's White_Space characters.
@@ -84,14 +85,26 @@ class Memo(dict):
     """piece -> value in two generations of at most ``size`` pieces each.
 
     A full generation becomes the old one; pieces still in use move on.  Memory
-    is bounded whatever the vocabulary of the corpus.
+    is bounded whatever the vocabulary of the corpus.  A Python worker outlives its
+    tasks and serves one operator after another: a memo that learns empties the one
+    that learned before, so a worker holds one at most.
     """
 
+    learning = staticmethod(lambda: None)
+
     def __init__(self, make: Callable[[str], object], size: int = 200_000) -> None:
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, piece: str) -> object:
+        if (other := Memo.learning()) is not self:
+            if other is not None:
+                other.forget()
+            Memo.learning = weakref.ref(self)
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
