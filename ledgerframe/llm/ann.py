@@ -3,7 +3,8 @@
 Vectors are dealt at random into shards of bounded size.  In each shard a directed
 graph is built: greedy searches from the medoid propose neighbours, and pruning
 with a relaxed distance keeps those that no kept neighbour already covers.  A query is
-searched with a beam in every shard, and the shards' best are merged.  Vectors of one
+searched with a beam in every shard, and the shards' best are merged.  A task opens some
+shards and lets all queries pass by them.  Vectors of one
 direction are one node, so that copies cannot fill a neighbourhood; all vectors of the
 nodes in the beam are ranked.  Scores are cosines of the original vectors in double
 precision.
@@ -15,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, cut
+from .common import Scratch, cut, sliced
 
 DEGREE, BEAM, ALPHA, SHARD_ROWS, BLOCK = 28, 160, 1.2, 16384, 1024
 #: Unit vectors nearer than this are one node: scaled copies differ by their rounding only.
 SAME = 1e-5
+#: Tasks that search, once there are as many shards; each gets all queries.  Bytes of shards that one holds open.
+TASKS, HELD = 64, 192 << 20
 
 
 def beam_search(unit: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, seen_too: bool = False):
@@ -195,7 +198,7 @@ def build_index(nodes: DataFrame, shards: int, per_node: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], [f.split(" ")[0] for f in INDEX.split(", ")])
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return dealt.repartitionByRange(shards, "shard").groupBy("dim", "shard").applyInArrow(run, INDEX)
+    return dealt.repartitionById(shards, "shard").groupBy("dim", "shard").applyInArrow(run, INDEX)
 
 
 def _blocks(queries: DataFrame, size: int) -> DataFrame:
@@ -221,6 +224,13 @@ def _blocks(queries: DataFrame, size: int) -> DataFrame:
     return rows.repartition(parts, "vec_id").mapInArrow(run, "dim int, query_ids binary, queries binary")
 
 
+def _together(index: DataFrame, shards: int) -> int:
+    """How many shards a task holds: TASKS tasks in all if the largest of its shards would fit HELD bytes."""
+    size = F.col("rows") * F.col("dim").cast("long") * 8 + F.col("nodes") * (F.col("dim").cast("long") * 4 + F.col("degree") * 4)
+    most = index.agg(F.max(size)).first()[0] or 1
+    return max(1, min(-(-shards // TASKS), HELD // most))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found by cosine, ties to the smaller vec_id.
 
@@ -234,20 +244,28 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_
         nodes = scratch.cut(local_nodes(vectors, per_node), "ann-nodes")
         shards = max(1, -(-nodes.count() // shard_rows))
         index = scratch.cut(build_index(nodes, shards, per_node), "ann-index")
-        blocks = _blocks(queries, BLOCK).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        pairs = blocks.join(index, ["dim", "shard"])  # every query block meets every shard once
+        together = _together(index, shards)
+        parts = -(-shards // together)
+        blocks = _blocks(queries, BLOCK).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        # A part's shards come first, then every query block, once.  No join: its sides are far larger than
+        # Spark takes them for (the copies for the parts are made after the last exchange), so it may broadcast one.
+        met = index.withColumn("part", F.floor(F.col("shard") / together).cast("int")).unionByName(blocks, allowMissingColumns=True)
+        met = met.repartitionById(parts, "part").sortWithinPartitions("part", "dim", F.col("shard").asc_nulls_last())
 
         def run(batches):
-            held, shard = None, None
-            for batch in batches:
+            of, held = None, []
+            for batch in sliced(batches):
                 for row in batch.to_pylist():
-                    if held != (row["dim"], row["shard"]):
-                        held, shard = (row["dim"], row["shard"]), _Shard(row)
-                    q = np.frombuffer(row["queries"], np.float64).reshape(-1, row["dim"])
-                    out = shard.search(np.frombuffer(row["query_ids"], np.int64), q, k, beam)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-        found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                    if of != (row["part"], row["dim"]):
+                        of, held = (row["part"], row["dim"]), []
+                    if row["shard"] is not None:
+                        held.append(_Shard(row))
+                    elif held:
+                        q = np.frombuffer(row["queries"], np.float64).reshape(-1, row["dim"])
+                        out = nearest(held, np.frombuffer(row["query_ids"], np.int64), q, k, beam)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query_id", "vec_id", "score"])
+
+        found = met.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
         return cut(found.withColumn("rank", number).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-nearest")
 
@@ -263,15 +281,15 @@ class _Shard:
         ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
         self.ids, self.ids_at = ids[:, 0], np.searchsorted(ids[:, 1], np.arange(row["rows"] + 1))
         self.unit, self.start = _unit(self.x[self.first[:-1]]), row["start"]
-        self.graph = np.frombuffer(row["graph"], np.int32).reshape(row["nodes"], -1).astype(np.int64)
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(row["nodes"], -1)
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[list, list, list]:
-        """(query ids, ids, scores) of the ``k`` best of each query."""
+        """(numbers of the queries, ids, scores) of the ``k`` best of each query."""
         out: tuple[list, list, list] = [], [], []
         for at in range(0, len(own), 256):
             part = queries[at : at + 256]
             found, _ = beam_search(self.unit, self.graph, self.start, _unit(part), beam)
-            for i, v, near in zip(own[at : at + 256].tolist(), part, found):
+            for n, (i, v, near) in enumerate(zip(own[at : at + 256].tolist(), part, found), at):
                 near = near[near >= 0]
                 rows = _ranges(self.first[near], self.first[near + 1])
                 score = (self.x[rows] * v).sum(1) / (self.norms[rows] * np.linalg.norm(v))
@@ -280,12 +298,23 @@ class _Shard:
                 some, ids = some[ids != i], ids[ids != i]
                 best = np.lexsort((ids, -some))
                 best = best[np.sort(np.unique(ids[best], return_index=True)[1])[:k]]  # an id counts once, with its best score
-                out[0].extend([i] * len(best))
+                out[0].extend([n] * len(best))
                 out[1].extend(ids[best].tolist())
                 out[2].extend(some[best].tolist())
         return out
 
 
+def nearest(shards: list[_Shard], own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores) of the ``k`` best that the shards have for each query, ``own`` its id."""
+    found = [s.search(own, queries, k, beam) for s in shards]
+    at, ids, score = (np.array([x for f in found for x in f[c]], kind) for c, kind in enumerate((np.int64, np.int64, np.float64)))
+    by = np.lexsort((-score, ids, at))
+    by = by[np.r_[True, (at[by][1:] != at[by][:-1]) | (ids[by][1:] != ids[by][:-1])][: len(by)]]  # an id counts once, with its best score
+    by = by[np.lexsort((ids[by], -score[by], at[by]))]
+    by = by[np.arange(len(by)) - np.searchsorted(at[by], at[by]) < k]
+    return own[at[by]], ids[by], score[by]
+
+
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers from each start up to its end, one after the other."""
     size = end - start
